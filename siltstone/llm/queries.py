@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, quality
+from . import bpe, lang_id, packing, quality, substring, wavelet
 from .shared import prepare
 
 
@@ -26,8 +27,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_files(_table(spark, sf_dir, "documents"), wavelet.TokenFileParams(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = bpe.BpeParams(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(_table(spark, sf_dir, "documents"), p, ids=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.PackingParams(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_lang_id": op3_lang_id, "op4_quality": op4_quality}
+    found = (op3_lang_id, op4_quality, op6_token_files, op7_substrings, op8_bpe, op10_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
