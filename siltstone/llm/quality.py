@@ -79,12 +79,11 @@ def weights(docs: DataFrame, labels: DataFrame, p: QualityParams, text_col: str
     own = docs.select(F.col(id_col).cast("long").alias("_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
     flagged = own.join(F.broadcast(trusted), "_id", "left")  # at most trusted_docs rows
     counts = flagged.select("_t", F.explode(_buckets(p.buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("r"), F.count("_t").alias("t"))
-    total = counts.agg(F.sum("r").alias("big_r"), F.sum("t").alias("big_t"))
-    dense = docs.sparkSession.range(p.buckets).select(F.col("id").cast("int").alias("b"))
+    dense = docs.sparkSession.range(p.buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    one = dense.agg(F.sort_array(F.collect_list(F.struct("b", "r", "t"))).alias("a"), F.sum("r").alias("big_r"), F.sum("t").alias("big_t"))
     k = F.lit(p.smoothing)
-    w = F.when(F.col("big_t") > 0, F.log(F.coalesce("t", F.lit(0)) + k) - F.log(F.coalesce("r", F.lit(0)) * F.col("big_t") / F.col("big_r") + k)).otherwise(0.0)
-    one = dense.join(counts, "b", "left").join(F.broadcast(total))  # total is one row
-    return one.agg(F.sort_array(F.collect_list(F.struct("b", w.alias("w")))).alias("a")).select(F.transform("a", lambda x: x["w"]).alias("w"))
+    w = lambda x: F.log(F.coalesce(x["t"], F.lit(0)) + k) - F.log(F.coalesce(x["r"], F.lit(0)) * F.col("big_t") / F.col("big_r") + k)
+    return one.select(F.transform("a", lambda x: F.when(F.col("big_t") > 0, w(x)).otherwise(0.0)).alias("w"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
