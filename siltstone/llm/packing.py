@@ -31,8 +31,8 @@ class PackingParams:
     capacity: int = 4096
     end_id: int = 2
     #: Padding tokens that one cut is worth: after a sentence, and anywhere else.
-    sentence_penalty: int = 12
-    hard_penalty: int = 96
+    sentence_penalty: int = 4
+    hard_penalty: int = 64
     #: Tokens that are planned together.
     block_tokens: int = 1 << 18
 
