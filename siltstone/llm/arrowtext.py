@@ -113,7 +113,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     out = h[:m] * _ODD
     for k in range(1, n):
-        out = mix(out + h[k : k + m]) * _ODD if k % 4 == 0 else (out ^ (out >> np.uint64(29))) * _ODD + h[k : k + m]
+        out = (out ^ (out >> np.uint64(29))) * _ODD + h[k : k + m]
     return mix(out)
 
 
