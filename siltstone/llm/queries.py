@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, packing, quality, substring, wavelet
+from . import bpe, lang_id, near_dup, packing, quality, substring, wavelet
 from .shared import prepare
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     known = docs.filter(~lang_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_lang_id, op4_quality, op6_token_files, op7_substrings, op8_bpe, op10_packing)
+    found = (op2_near_dup, op3_lang_id, op4_quality, op6_token_files, op7_substrings, op8_bpe, op10_packing)
     return {f.__name__: f for f in found}
 
 
