@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, near_dup, packing, quality, substring, wavelet
+from . import bpe, fingerprint, lang_id, lm_scoring, near_dup, packing, quality, substring, wavelet
 from .shared import prepare
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(_table(spark, sf_dir, "documents"), wavelet.TokenFileParams(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -49,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_dup, op3_lang_id, op4_quality, op6_token_files, op7_substrings, op8_bpe, op10_packing)
+    found = (op1_lm_scoring, op2_near_dup, op3_lang_id, op4_quality, op5_fingerprints, op6_token_files, op7_substrings, op8_bpe, op10_packing)
     return {f.__name__: f for f in found}
 
 

@@ -1,6 +1,6 @@
 """Substring deduplication by super-k-mer partitioning.
 
-A window is a fixed number of consecutive words of one document. Its minimiser is the 4-word sequence in it with the
+A window is a fixed number of consecutive words of one document. Its minimiser is the 3-word sequence in it with the
 smallest hash, the leftmost of equals. Consecutive windows that share one minimiser travel together, as one packed string of
 words (a super-k-mer), to the bucket of that minimiser; so all copies of a window meet in one bucket. There the windows are
 sorted by a 64-bit hash, windows of one hash are compared word for word, and the smallest document of each sequence is
@@ -33,7 +33,7 @@ from .shared import partitions, prepare, texts
 class SubstringParams:
     window: int = 13
     #: Words of a minimiser.
-    minimiser: int = 4
+    minimiser: int = 3
     #: Bytes of text for which a bucket is made; its super-k-mers have about three times as many.
     bucket_bytes: int = 3 << 20
     #: Bytes of packed strings that a map task gathers before it writes them to the buckets.
@@ -41,7 +41,7 @@ class SubstringParams:
 
 
 BUCKET_SCHEMA = "bucket long, payload binary"
-FLAG_SCHEMA = "doc_id long, version long, at int, n int"
+FLAG_SCHEMA = "doc_id long, version int, at int, n int"
 
 
 def _sliding_leftmost(key: np.ndarray, width: int) -> np.ndarray:
@@ -119,12 +119,12 @@ class _Packer:
         by = np.argsort(place[numbers], kind="stable")
         where, ids, versions, pos = place[numbers][by], ids[by], versions[by], pos[by]
         edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-        pack, out_b, out_p = zstandard.ZstdCompressor(level=1), [], []
+        pack, out_b, out_p = zstandard.ZstdCompressor(level=3), [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
             i, j = np.searchsorted(where, (lo, hi))
             own = [strings[x] for x in order[lo:hi]]
             body = b"".join((
-                np.array([hi - lo, j - i], np.int64).tobytes(), np.array([len(x) for x in own], np.int32).tobytes(), (where[i:j] - lo).astype(np.int32).tobytes(),
+                np.array([hi - lo, j - i], np.int64).tobytes(), np.array([len(x) for x in own], np.int32).tobytes(), np.diff(where[i:j], prepend=lo).astype(np.int32).tobytes(),
                 ids[i:j].tobytes(), versions[i:j].tobytes(), pos[i:j].tobytes(), b"".join(own),
             ))
             out_b.append(int(bucket[order[lo]]))
@@ -141,7 +141,7 @@ def _unpack(payload: bytes):
     body = zstandard.ZstdDecompressor().decompress(payload)
     s, o = np.frombuffer(body, np.int64, 2)
     out, here = [], 16
-    for n, kind in ((s, np.int32), (o, np.int32), (o, np.int64), (o, np.int64), (o, np.int32)):
+    for n, kind in ((s, np.int32), (o, np.int32), (o, np.int64), (o, np.int32), (o, np.int32)):
         out.append(np.frombuffer(body, kind, n, here))
         here += n * np.dtype(kind).itemsize
     return (*out, body[here:])
@@ -173,7 +173,7 @@ def _flags(payloads: list[bytes], p: SubstringParams) -> pa.Table:
     lens, which, ids, versions, pos, bodies, base = [], [], [], [], [], [], 0
     for x in payloads:
         n, w, i, v, q, body = _unpack(x)
-        lens.append(n), which.append(w + base), ids.append(i), versions.append(v), pos.append(q), bodies.append(body)
+        lens.append(n), which.append(np.cumsum(w) + base), ids.append(i), versions.append(v), pos.append(q), bodies.append(body)
         base += len(n)
     lens, which, ids, versions, pos = (np.concatenate(x) for x in (lens, which, ids, versions, pos))
     text = b"".join(bodies)
@@ -244,9 +244,9 @@ def dedup_substrings(docs: DataFrame, p: SubstringParams = SubstringParams(), id
     """
     prepare(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
-    own = texts(docs, id_col, text_col, row).withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", last)).withColumn("version", F.xxhash64("text"))
+    own = texts(docs, id_col, text_col, row).withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", last)).withColumn("version", F.hash("text"))
     flags = flagged_windows(own.select("doc_id", "version", "text"), p)
-    runs = flags.distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    runs = flags.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
     joined = own.join(runs, ["doc_id", "version"], "left").select(
         F.col("_id").alias("doc_id"), "text", F.transform("_runs", lambda x: x["at"]).alias("at"), F.transform("_runs", lambda x: x["n"]).alias("n"), *(["_row"] if row else [])
     )
