@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lang_id, lm_scoring, near_dup, packing, quality, substring, wavelet
+from . import bpe, fingerprint, lang_id, license_scan, lm_scoring, near_dup, packing, quality, substring, wavelet
 from .shared import prepare
 
 
@@ -52,12 +52,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), p, ids=False)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.PackingParams(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_near_dup, op3_lang_id, op4_quality, op5_fingerprints, op6_token_files, op7_substrings, op8_bpe, op10_packing)
+    found = (op1_lm_scoring, op2_near_dup, op3_lang_id, op4_quality, op5_fingerprints, op6_token_files, op7_substrings, op8_bpe, op9_licenses, op10_packing)
     return {f.__name__: f for f in found}
 
 
