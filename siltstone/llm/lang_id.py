@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrowtext as at
 from .shared import prepare, texts
@@ -201,8 +202,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     prepare(docs.sparkSession)
     own = texts(docs, id_col, text_col, row).withColumn("_letter", F.col("text").rlike(r"\p{L}"))
-    kept = f", _row {own.schema['_row'].dataType.simpleString()}" if row else ""
-    return own.mapInArrow(run, f"doc_id long, lang_pred string, score double, bits double{kept}")
+    schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, bits double")
+    return own.mapInArrow(run, T.StructType(schema.fields + ([own.schema["_row"]] if row else [])))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,9 +7,12 @@ grouped in bands; documents that agree in a band share a bucket.
 
 Documents with equal sets are first brought together under their smallest doc_id. In each bucket the smallest of these is a
 hub, and only edges from the hub to the others become candidates: as many as the bucket has members, never all pairs. Links
-are confirmed on the full sets, and linked documents are joined into components. A bucket that then still holds several
-components is taken up again: the members outside its largest component become hubs in turn (some at a time), towards all
-members of other components, until every bucket's members are joined or compared. So no link is lost to the choice of hub.
+are confirmed on the full sets, and linked documents are joined into components.
+
+A bucket that then still holds several components is taken up once more, so that no link is lost to the choice of hub. Its
+members outside its largest component are compared, by their signatures only, with all members of other components: both
+sides travel in blocks, a block of one against a block of the other in one numpy comparison. Only pairs whose signatures
+agree in nearly enough bins are given out, and they are confirmed on the full sets too.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
@@ -34,8 +37,10 @@ class NearDupParams:
     bands: int = 32
     #: Bins of a band; bands * rows must be a power of two.
     rows: int = 8
-    #: Hubs that one unresolved bucket gets in a round.
-    hubs: int = 8
+    #: Members of a block, on average, where an unresolved bucket is taken up again.
+    block: int = 128
+    #: Percent of equal bins from which a pair is confirmed then: standard errors below the threshold of 85: more than four.
+    sketch_percent: int = 75
     #: Up to so many documents in shared buckets, their ids (16 MB) are broadcast to pick out their texts; beyond, both are shuffled.
     broadcast_ids: int = 2_000_000
 
@@ -110,11 +115,12 @@ def _sketches(p: NearDupParams):
                 for k in range(p.rows):
                     bucket = at.mix(bucket + sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 total = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(np.stack([at.mix(codes), at.mix(codes ^ np.uint64(0x5DEECE66D))]), axis=1, dtype=np.uint64)], 1)
+                low = np.ascontiguousarray((sig.reshape(j - i, -1) & np.uint64(255)).astype(np.uint8))
                 set_a, set_b = (total[x][bounds[1:]] - total[x][bounds[:-1]] for x in (0, 1))
                 offsets = pa.array(np.arange(j - i + 1, dtype=np.int32) * p.bands)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bucket.reshape(-1).view(np.int64)))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bucket.reshape(-1).view(np.int64))), pa.array([x.tobytes() for x in low], pa.binary())],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets", "sketch"],
                 )
 
     return run
@@ -156,47 +162,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame
     return both.filter(100 * F.col("common") >= p.percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
 
 
-def _pairs(hub, n_hub, other, n_other, p: NearDupParams) -> list:
-    """Ordered pair; sizes too far apart can't be alike."""
-    alike = 100 * F.least(n_hub, n_other) >= p.percent * F.greatest(n_hub, n_other)
-    return [(hub != other) & alike, F.least(hub, other).alias("a"), F.greatest(hub, other).alias("b")]
+def _compare(p: NearDupParams):
+    """Pairs (a, b) of a block of stragglers and a block of members that lie in different components and have like sketches."""
+    bins = p.bands * p.rows
+
+    def side(rows: pa.Scalar) -> tuple[np.ndarray, ...]:
+        flat = rows.values
+        raw, offs = at.utf8(flat.field("sketch"))
+        return flat.field("doc_id").to_numpy(), flat.field("component").to_numpy(), flat.field("n_shingles").to_numpy(), raw.reshape(-1, bins)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("few"), batch.column("all")):
+                id_x, comp_x, n_x, sk_x = side(x)
+                id_y, comp_y, n_y, sk_y = side(y)
+                for k in range(len(id_x)):
+                    near = (comp_y != comp_x[k]) & (100 * np.minimum(n_y, n_x[k]) >= p.percent * np.maximum(n_y, n_x[k]))
+                    if near.any():
+                        hit = np.flatnonzero(near)
+                        hit = hit[100 * (sk_y[hit] == sk_x[k]).sum(1) >= p.sketch_percent * bins]
+                        if len(hit):
+                            one = np.full(len(hit), id_x[k])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, id_y[hit])), pa.array(np.minimum(one, id_y[hit]))], ["a", "b"])
+
+    return run
 
 
 def links(reps: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """node, component for all documents of reps (doc_id, n_shingles, buckets) that are linked to another. docs: doc_id, text."""
+    """node, component for all documents of reps (doc_id, n_shingles, buckets, sketch) that are linked to another. docs: doc_id, text."""
     rows = reps.select("doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     left = written(rows.join(shared.select("bucket", "hub"), "bucket"), "buckets")
-    ids = left.select("doc_id").distinct()
+    ids = written(left.select("doc_id").distinct(), "ids")
     n_ids = ids.count()
-    chosen = docs.join(F.broadcast(ids) if n_ids <= p.broadcast_ids else ids, "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(_sets(p), "doc_id long, codes array<long>"), "sets")
+    ids = F.broadcast(ids) if n_ids <= p.broadcast_ids else ids
+    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(p), "doc_id long, codes array<long>"), "sets")
 
     sizes = left.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_hub")).distinct()
-    ok, a, b = _pairs(F.col("hub"), F.col("n_hub"), F.col("doc_id"), F.col("n_shingles"), p)
-    pairs = left.select("hub", "doc_id", "n_shingles").filter("hub <> doc_id").distinct().join(sizes, "hub").filter(ok).select(a, b).distinct()
-    tested = written(pairs, "tested")
-    edges = written(_confirmed(tested, sets, p), "links")
-    left = left.filter("doc_id <> hub").drop("hub")
-    while True:
-        found = components(edges)
-        # Buckets whose members, hubs that were compared with all of them aside, still lie in several components.
-        placed = left.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        placed = written(placed.join(mixed, "bucket"), "unresolved")
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        hubs = placed.join(main, "bucket").filter("component <> main").withColumn("k", rank).filter(F.col("k") <= p.hubs)
-        hubs = written(hubs.select("bucket", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_hub"), F.col("component").alias("own")), "hubs")
-        if hubs.isEmpty():
-            return found
-        ok, a, b = _pairs(F.col("hub"), F.col("n_hub"), F.col("doc_id"), F.col("n_shingles"), p)
-        pairs = hubs.join(placed, "bucket").filter("own <> component").filter(ok).select(a, b).distinct()
-        more = written(pairs.join(tested, ["a", "b"], "left_anti"), "tested")
-        tested = tested.unionByName(more)
-        edges = written(edges.unionByName(_confirmed(more, sets, p)), "links")
-        left = placed.join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id", "n_shingles")
+    alike = 100 * F.least("n_hub", "n_shingles") >= p.percent * F.greatest("n_hub", "n_shingles")
+    pairs = left.select("hub", "doc_id", "n_shingles").filter("hub < doc_id").distinct().join(sizes, "hub").filter(alike)
+    edges = written(_confirmed(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), sets, p), "links")
+    found = components(edges)
+
+    # Buckets whose members lie in several components; the members outside the largest one meet all others.
+    placed = left.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = written(placed.select("bucket", "doc_id", "n_shingles", "component"), "placed")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("several"))
+    mixed = mixed.filter("several > 1").select("bucket", "main", F.ceil(F.col("total") / p.block).alias("of_all"), F.ceil((F.col("total") - F.col("most")) / p.block).alias("of_few"))
+    member = written(placed.join(mixed, "bucket").join(reps.select("doc_id", "sketch"), "doc_id"), "unresolved")
+    one = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch"))
+    number = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = member.groupBy("bucket", number("of_all").alias("block")).agg(one.alias("all")).drop("block")
+    few = member.filter("component <> main").groupBy("bucket", number("of_few").alias("block")).agg(one.alias("few")).drop("block")
+    more = few.join(every, "bucket").select("few", "all").mapInArrow(_compare(p), "a long, b long").distinct()
+    more = written(_confirmed(written(more, "candidates"), sets, p), "links")
+    return components(edges.unionByName(more)) if not more.isEmpty() else found
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,12 +231,12 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col:
     """
     prepare(docs.sparkSession)
     own = texts(docs, id_col, text_col)
-    rows = written(own.mapInArrow(_sketches(p), "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>"), "sketches")
+    rows = written(own.mapInArrow(_sketches(p), "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>, sketch binary"), "sketches")
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = some.join(classes, ["set_a", "set_b", "n_shingles"])
     equal = members.filter("doc_id <> rep").select(F.col("doc_id").alias("node"), "rep").distinct()
-    reps = members.filter("doc_id = rep").select("doc_id", "n_shingles", "buckets").distinct()
+    reps = members.filter("doc_id = rep").select("doc_id", "n_shingles", "buckets", "sketch")
     found = links(reps, own.filter("doc_id IS NOT NULL"), p)
     copies = equal.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     # Rows of one doc_id with different texts can bring several components together; else this changes nothing.

@@ -15,10 +15,12 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in the workers and keeps Arrow batches small."""
+    """Makes the package importable in the workers, keeps them to one thread and Arrow batches small."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        env.setdefault(name, "1")  # a task has one core
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
