@@ -99,11 +99,14 @@ def quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams
     own = docs.select(*cols, *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")] if row else []))
     df = rule_counts(own).withColumn("_w", weights(docs, labels, p, text_col, id_col).scalar())
     mean = F.expr("CASE WHEN n_words = 0 THEN 0D ELSE aggregate(_b, 0D, (s, b) -> s + get(_w, b)) / size(_b) END")
+    # True, but not deterministic to the optimizer: a filter on the result isn't pushed below, where it would be worked out
+    # from the texts anew for each use of each column.
+    stay = F.monotonically_increasing_id() >= 0
     failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
     return (
         df.withColumn("_b", _buckets(p.buckets))
         .withColumn("score", mean)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= p.threshold))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= p.threshold) & stay)
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", *(["_row"] if row else []))
     )
