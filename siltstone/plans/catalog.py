@@ -29,12 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load()
     return QUERIES["k01_cosine_topk"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return SQL
+
+
+def load() -> None:
+    """Imports all modules with queries."""
+    from . import evaluation, graphs, layout, pipelines, relational, retrieval, textual  # noqa: F401
