@@ -11,14 +11,14 @@ SEP = "<SEP>"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared checkpoint folder and read again, so that loops don't grow their plans; kept lazy without one."""
+    """df written to the shared checkpoint folder and read again, so that loops don't grow their plans. A local folder serves only where none is set (tests)."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
 
-        root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from siltstone.session import local_session
 
     spark = local_session(cores=4, partitions=4, memory="4g")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('checkpoints')}")
     return spark
 
 

@@ -163,12 +163,12 @@ def test_answer_scores(spark, kind, actual, predicted, score):
     assert got == pytest.approx(score)
 
 
-def test_mixture_separates_two_groups(spark):
+def test_mixture_labels(spark):
     rows = [(i, [float(i % 7) / 10 + (5 if i % 2 else 0), float(i % 3) / 10]) for i in range(60)]
-    df = spark.createDataFrame(rows, "node long, embedding array<double>")
-    f = cluster.reduced(df, "embedding", 2)
-    found = cluster.hard_labels(cluster.mixture(f, "features", 4, candidates=[2]), f)
-    assert found.groupBy(F.col("node") % 2, "community").count().count() == 2
+    f = cluster.reduced(spark.createDataFrame(rows, "node long, embedding array<double>"), "embedding", 2)
+    model = cluster.mixture(f, "features", 4, candidates=[2])
+    got = cluster.hard_labels(model, cluster.soft_labels(model, f, 0.5).drop("probability", "prediction")).collect()
+    assert len(got) == 60 and all(r.labels in ([r.community], []) for r in got)
 
 
 @pytest.mark.parametrize("extension", ["jsonl", "csv", "parquet"])
