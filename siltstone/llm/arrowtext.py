@@ -60,6 +60,20 @@ def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES):
         i = j
 
 
+def gathered(batches, column: str, limit: int):
+    """Batches put together until their texts have about limit bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    held = [x for x in held if x.num_rows]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (with a last entry for the end)."""
     ns = NONSPACE[buf]

@@ -180,7 +180,7 @@ class Codec:
         ids = self.ranks.merge([x.encode() for x in pieces])
         return [ids[row[0]] if len(row) == 1 else np.concatenate([ids[i] for i in row]) if row else np.zeros(0, np.uint32) for row in rows]
 
-    def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, many: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.chunks.ids(many)
 
 
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, p: BpeParams, id_col: str = "doc_id", text_col: str
             offs = at.utf8(column)[1]
             out: list[list] = [[], [], [], [], []]
             for i, j in at.blocks(offs):
-                flat, n = own.encode(column.slice(i, j - i).to_pylist())
+                flat, n = own.encode(column.slice(i, j - i))
                 here = 0
                 for size in n.tolist():
                     mine = flat[here : here + size]

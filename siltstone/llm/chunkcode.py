@@ -1,106 +1,132 @@
 """Token ids of texts, with each distinct chunk encoded once in a while.
 
-Byte-level tokenizers split a text by a pattern before they merge, and no piece of that pattern holds a space after another
-character. So a text without doubled or outer white space is cut at its spaces into chunks, each (but the first) with its
-space in front, whose ids don't depend on what stands around. A bounded table keeps the ids of chunks seen in this task.
+Byte-level tokenizers split a text by a pattern before they merge, and no piece of that pattern holds a space or line feed
+after another character. So a text without doubled or outer white space is cut before each space and line feed into chunks,
+whose ids don't depend on what stands around. The chunks of a block are one Arrow array over the texts' own bytes, whose
+distinct values Arrow finds; a bounded table keeps the ids of chunks, and when it is full, of those met more than once.
 Texts with other white space are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
-
-from .arrowtext import gather
-
-#: White space other than space and line feed.
-_RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def odd_space(text: str) -> bool:
-    """White space next to white space, at an end, or of a rare kind: such texts aren't cut."""
-    return text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or bool(_RARE_SPACE.search(text))
-
-
-class _Numbers(dict):
-    """The number of a chunk; new ones are noted down."""
-
-    def __init__(self, first: int = 0):
-        super().__init__()
-        self.first, self.new = first, []
-
-    def __missing__(self, key):
-        number = self[key] = self.first + len(self)
-        self.new.append(key)
-        return number
+import pyarrow as pa
+
+from .arrowtext import gather, utf8
+
+_PLAIN = np.zeros(256, bool)  # space and line feed
+_PLAIN[[32, 10]] = True
+_RARE = np.zeros(256, bool)  # other white space of one byte
+_RARE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: First bytes of the white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _beyond_ascii(buf: np.ndarray) -> np.ndarray:
+    """Places where white space beyond ASCII begins."""
+    at = np.flatnonzero(_LEADS[buf])
+    if not len(at):
+        return at
+    padded = np.append(buf, np.zeros(2, np.uint8))
+    x, y, z = buf[at], padded[at + 1], padded[at + 2]
+    two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+    general = (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+    others = ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+    return at[two | general | others]
+
+
+def odd_rows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows with white space next to white space, at an end, or of a kind other than space and line feed."""
+    plain = _PLAIN[buf]
+    bad = _RARE[buf]
+    bad[1:] |= plain[1:] & plain[:-1]
+    full = offs[:-1] < offs[1:]
+    bad[offs[:-1][full]] |= plain[offs[:-1][full]]
+    bad[offs[1:][full] - 1] |= plain[offs[1:][full] - 1]
+    places = np.concatenate([np.flatnonzero(bad), _beyond_ascii(buf)])
+    out = np.zeros(len(offs) - 1, bool)
+    out[np.searchsorted(offs, places, side="right") - 1] = True
+    return out
 
 
 class ChunkEncoder:
-    """encode: list of strings to list of id sequences. lead: what a chunk has in front when it isn't a text's first."""
-
-    def __init__(self, encode: Callable[[list[str]], list], lead: str = " ", loose: bool = False, keep: int = 600_000):
-        self.encode, self.lead, self.loose, self.keep = encode, lead, loose, keep
-        self._clear()
+    """encode: list of strings to list of id sequences. With loose, white space makes no ids and all texts may be cut at it."""
 
-    def _clear(self) -> None:
-        self.inner, self.whole = _Numbers(), {}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def __init__(self, encode: Callable[[list[str]], list], loose: bool = False, keep: int = 800_000):
+        self.encode, self.loose, self.keep = encode, loose, keep
+        self.number: dict = {}
+        self.flat, self.start, self.length, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, column: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number in each text."""
-        if len(self.inner) > self.keep:
-            self._clear()
-        known, parts, whole = self.inner, [], []
-        for i, text in enumerate(texts):
-            if not self.loose and odd_space(text):
-                whole.append(i)
-                parts.append(None)
-            elif not text:
-                parts.append(np.zeros(0, np.int64))
-            elif self.lead:
-                head, space, rest = text.partition(" ")
-                own = rest.split(" ") if space else []
-                row = np.empty(len(own) + 1, np.int64)
-                row[0] = known[(head,)]  # a first chunk has no space in front
-                row[1:] = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-                parts.append(row)
-            else:
-                own = text.split(" ")
-                parts.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
-        if known.new:
-            self._learn(known.new)
-            known.new = []
-        counts = np.array([0 if x is None else len(x) for x in parts], np.int64)
-        numbers = np.concatenate([x for x in parts if x is not None]) if counts.any() else np.zeros(0, np.int64)
-        lengths = self.length[numbers].astype(np.int64)
-        flat = gather(self.flat, self.start[numbers], lengths)
+        column = pa.array(column, pa.string()) if isinstance(column, list) else column
+        buf, offs = utf8(column)
+        odd = np.zeros(len(column), bool) if self.loose else odd_rows(buf, offs)
+        if not odd.any():
+            return self._cut(buf, offs)
+        sizes = np.zeros(len(column), np.int64)
+        plain, whole = np.flatnonzero(~odd), np.flatnonzero(odd)
+        flat, sizes[plain] = self._cut(*utf8(column.take(pa.array(plain))))
+        found = [np.asarray(x, np.uint32) for x in self.encode(column.take(pa.array(whole)).to_pylist())]
+        sizes[whole] = [len(x) for x in found]
+        # Brought back into the order of the texts.
+        every = np.concatenate([flat, *found])
+        order = np.concatenate([plain, whole])
+        start = np.empty(len(column), np.int64)
+        start[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(every, start, sizes), sizes
+
+    def _cut(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        first = _PLAIN[buf]
+        first[offs[:-1][offs[:-1] < offs[1:]]] = True
+        starts = np.flatnonzero(first)
+        edges = np.searchsorted(starts, offs)
+        places = np.append(starts, len(buf)).astype(np.int64)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(buf)))
+        coded = chunks.dictionary_encode()
+        row = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
+        self.met += np.bincount(row, minlength=len(self.met))
+        lengths = self.length[row]
         total = np.concatenate(([0], np.cumsum(lengths)))
-        ends = np.cumsum(counts)
-        sizes = total[ends] - total[ends - counts]
-        if whole:
-            found = self.encode([texts[i] for i in whole])
-            pieces, at = [], 0
-            by = dict(zip(whole, found))
-            for i in range(len(texts)):
-                if i in by:
-                    pieces.append(np.asarray(by[i], np.uint32))
-                    sizes[i] = len(pieces[-1])
-                else:
-                    pieces.append(flat[at : at + sizes[i]])
-                    at += sizes[i]
-            flat = np.concatenate(pieces)
-        return flat, sizes
-
-    def _learn(self, new: list) -> None:
-        found = self.encode([x[0] if isinstance(x, tuple) else self.lead + x for x in new])
-        n = np.fromiter(map(len, found), np.int32, len(found))
-        add = np.concatenate([np.asarray(x, np.uint32) for x in found])
-        first = len(self.flat)
-        self.start = np.concatenate([self.start, first + np.cumsum(n, dtype=np.int64) - n])
-        self.length = np.concatenate([self.length, n])
-        self.flat = np.concatenate([self.flat, add])
+        return gather(self.flat, self.start[row], lengths), total[edges[1:]] - total[edges[:-1]]
+
+    def _numbers(self, chunks: list) -> np.ndarray:
+        """Numbers of distinct chunks; new ones are encoded."""
+        if len(self.number) > self.keep:
+            self._forget()
+        known = self.number
+        out = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new))))
+            out[missing] = np.arange(first, first + len(new))
+            found = self.encode(new)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            at = len(self.flat)
+            self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
+            self.start = np.concatenate([self.start, at + np.cumsum(n) - n])
+            self.length = np.concatenate([self.length, n])
+            self.met = np.concatenate([self.met, np.zeros(len(n), np.int64)])
+        return out
+
+    def _forget(self) -> None:
+        """Keeps chunks met more than once, or none if those are too many too."""
+        stay = np.flatnonzero(self.met > 1)
+        stay = stay if len(stay) <= self.keep // 2 else stay[:0]
+        keys = np.array(list(self.number), dtype=object)[stay] if len(stay) else []
+        self.number = {k: i for i, k in enumerate(keys)}
+        self.flat = gather(self.flat, self.start[stay], self.length[stay])
+        self.length = self.length[stay]
+        self.start = np.cumsum(self.length) - self.length
+        self.met = np.zeros(len(stay), np.int64)
 
 
 def library_encoder(path: str, between: str) -> Callable[[list[str]], list]:

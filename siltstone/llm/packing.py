@@ -48,7 +48,7 @@ def encoder(path: str) -> tuple[ChunkEncoder, np.ndarray]:
         vocabulary = Tokenizer.from_file(path).get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[v for k, v in vocabulary.items() if k.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
-        _encoders[path] = ChunkEncoder(library_encoder(path, between=" ★ "), lead="", loose=True), ends
+        _encoders[path] = ChunkEncoder(library_encoder(path, between=" ★ "), loose=True), ends
     return _encoders[path]
 
 
@@ -178,10 +178,10 @@ def pack(docs: DataFrame, p: PackingParams, id_col: str = "doc_id", text_col: st
                 names = pa.array(out[0], pa.int64(), mask=out[0] == none)
                 yield pa.RecordBatch.from_arrays([names, *(pa.array(x, pa.int64()) for x in out[1:])], COLUMNS)
 
-        for batch in batches:
+        for batch in at.gathered(batches, "text", 6 << 20):
             column, doc_ids = batch.column("text"), batch.column("doc_id").fill_null(none).to_numpy(zero_copy_only=False)
-            for i, j in at.blocks(at.utf8(column)[1], 1 << 20):
-                flat, n = own.ids(column.slice(i, j - i).to_pylist())
+            for i, j in at.blocks(at.utf8(column)[1], 1 << 23):
+                flat, n = own.ids(column.slice(i, j - i))
                 packer.add(np.insert(flat, np.cumsum(n), p.end_id).astype(np.uint32), doc_ids[i:j], n + 1)
                 if len(packer.ids) >= p.block_tokens:
                     yield from give(False)
