@@ -31,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only where that is unset (tests on one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
