@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports all modules with queries."""
-    from . import evaluation, graphs, layout, pipelines, relational, retrieval, textual  # noqa: F401
+    from . import agents, evaluation, graphs, layout, pipelines, rag, relational, retrieval, textual  # noqa: F401
