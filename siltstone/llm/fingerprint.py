@@ -10,7 +10,6 @@ share of what they could.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,16 +158,16 @@ def likeness(a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.nd
     return out
 
 
-def digests(many: list[str], p: FingerprintParams) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Filters, their bounds, and the printed digest of each text: the number of filters, a colon and their bytes in base64."""
+def digests(many: list[str], p: FingerprintParams) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Filters, their bounds, and the digest of each text: the bytes of its filters."""
     raw = [x.encode() for x in many]
     buf = np.frombuffer(b"".join(raw), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
     made, bounds = filters(*features(buf, offs, p), p)
-    return made, bounds, [f"{b - a}:" + base64.b64encode(made[a:b].tobytes()).decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return made, bounds, [made[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _COLUMNS = [x.split()[0] for x in RESULT.split(", ")]
 
 
@@ -182,7 +181,7 @@ def _rows(ids: list, own: list[str], following: list[str], p: FingerprintParams,
     a, e = bounds[: m + 1], bounds[last:]
     nxt = bounds[1 : m + 2] if in_order else bounds[m : 2 * m + 1]
     return [
-        pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array(printed[:m]), pa.array(printed[last:]),
+        pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()), pa.array(printed[:m], pa.binary()), pa.array(printed[last:], pa.binary()),
         pa.array(likeness(made, a, made, e, p)), pa.array(likeness(made, a, made, nxt, p)),
     ]
 
@@ -192,7 +191,7 @@ def fingerprints(docs: DataFrame, p: FingerprintParams = FingerprintParams(), id
 
     The edited text is the text with its last quarter of characters replaced by the first as many of the next document, in
     ascending doc_id order; after the last comes the first. near_edited and near_next: likeness of the fingerprint to that of
-    the edited text and of the next document. A null text counts as empty; an empty text has the digest '0:', like only
+    the edited text and of the next document. A null text counts as empty; fingerprints are hexadecimal, that of an empty text is empty, like only
     itself. Rows of one doc_id follow each other by a hash of their text; null ids come first. A single document is followed
     by itself. An empty table gives an empty result. Other columns are not looked at.
     """
@@ -204,13 +203,13 @@ def fingerprints(docs: DataFrame, p: FingerprintParams = FingerprintParams(), id
         part = TaskContext.get().partitionId()
 
         def edge(kind: int, doc_id, text: str) -> pa.RecordBatch:
-            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *empty, pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([text])], [*_COLUMNS, "kind", "part", "text"])
 
         held: tuple | None = None  # the document whose next one isn't known yet
         for batch in batches:
             ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i, j in at.blocks(at.utf8(column)[1], 1 << 19):
+            for i, j in at.blocks(at.utf8(column)[1], 1 << 17):
                 names, own = ids[i:j], column.slice(i, j - i).to_pylist()
                 if held is None:
                     yield edge(1, names[0], own[0])
@@ -240,4 +239,5 @@ def fingerprints(docs: DataFrame, p: FingerprintParams = FingerprintParams(), id
     after = after.select("part", F.coalesce("then", "least").alias("then"))
     lasts = made.filter("kind = 2").select("doc_id", "text", "part").join(after, "part")
     paired = lasts.join(firsts.withColumnRenamed("part", "then"), "then").select("doc_id", "text", "following")
-    return made.filter("kind = 0").select(*_COLUMNS).unionByName(paired.mapInArrow(join, RESULT))
+    found = made.filter("kind = 0").select(*_COLUMNS).unionByName(paired.mapInArrow(join, RESULT))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
