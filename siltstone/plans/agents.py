@@ -169,6 +169,7 @@ def g07_keyword_graph(spark, d):
     n = table(spark, d, "nation")
     nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.col("n_name").alias("name"))
     edges = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("tgt"))
+    edges = edges.unionByName(n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.lit("root").alias("tgt")).distinct())
     first = [r.n_name for r in n.orderBy("n_nationkey").limit(3).collect()]
     return M.keyword_graph_search(edges, nodes, " ".join(first), 10)
 
