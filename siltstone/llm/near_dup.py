@@ -40,7 +40,7 @@ class NearDupParams:
     #: Members of a block, on average, where an unresolved bucket is taken up again.
     block: int = 128
     #: Percent of equal bins from which a pair is confirmed then: standard errors below the threshold of 85: more than four.
-    sketch_percent: int = 75
+    sketch_percent: int = 76
     #: Up to so many documents in shared buckets, their ids (16 MB) are broadcast to pick out their texts; beyond, both are shuffled.
     broadcast_ids: int = 2_000_000
 
@@ -169,18 +169,21 @@ def _compare(p: NearDupParams):
     def side(rows: pa.Scalar) -> tuple[np.ndarray, ...]:
         flat = rows.values
         raw, offs = at.utf8(flat.field("sketch"))
-        return flat.field("doc_id").to_numpy(), flat.field("component").to_numpy(), flat.field("n_shingles").to_numpy(), raw.reshape(-1, bins)
+        buckets = flat.field("buckets").flatten().to_numpy().reshape(-1, p.bands)
+        return flat.field("doc_id").to_numpy(), flat.field("component").to_numpy(), flat.field("n_shingles").to_numpy(), raw.reshape(-1, bins), buckets, flat.field("few").to_numpy(zero_copy_only=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("few"), batch.column("all")):
-                id_x, comp_x, n_x, sk_x = side(x)
-                id_y, comp_y, n_y, sk_y = side(y)
+            for bucket, x, y in zip(batch.column("bucket").to_pylist(), batch.column("few"), batch.column("all")):
+                id_x, comp_x, n_x, sk_x, in_x, _ = side(x)
+                id_y, comp_y, n_y, sk_y, in_y, few_y = side(y)
+                band = int(np.flatnonzero(in_x[0] == bucket)[0])
                 for k in range(len(id_x)):
-                    near = (comp_y != comp_x[k]) & (100 * np.minimum(n_y, n_x[k]) >= p.percent * np.maximum(n_y, n_x[k]))
+                    near = (comp_y != comp_x[k]) & ~(few_y & (id_y < id_x[k])) & (100 * np.minimum(n_y, n_x[k]) >= p.percent * np.maximum(n_y, n_x[k]))
                     if near.any():
                         hit = np.flatnonzero(near)
                         hit = hit[100 * (sk_y[hit] == sk_x[k]).sum(1) >= p.sketch_percent * bins]
+                        hit = hit[~(in_y[hit, :band] == in_x[k, :band]).any(1)]  # given out in the first bucket they share
                         if len(hit):
                             one = np.full(len(hit), id_x[k])
                             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, id_y[hit])), pa.array(np.minimum(one, id_y[hit]))], ["a", "b"])
@@ -210,12 +213,12 @@ def links(reps: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("several"))
     mixed = mixed.filter("several > 1").select("bucket", "main", F.ceil(F.col("total") / p.block).alias("of_all"), F.ceil((F.col("total") - F.col("most")) / p.block).alias("of_few"))
-    member = written(placed.join(mixed, "bucket").join(reps.select("doc_id", "sketch"), "doc_id"), "unresolved")
-    one = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch"))
+    member = written(placed.join(mixed, "bucket").join(reps.select("doc_id", "sketch", "buckets"), "doc_id"), "unresolved")
+    one = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "buckets", (F.col("component") != F.col("main")).alias("few")))
     number = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     every = member.groupBy("bucket", number("of_all").alias("block")).agg(one.alias("all")).drop("block")
     few = member.filter("component <> main").groupBy("bucket", number("of_few").alias("block")).agg(one.alias("few")).drop("block")
-    more = few.join(every, "bucket").select("few", "all").mapInArrow(_compare(p), "a long, b long").distinct()
+    more = few.join(every, "bucket").select("bucket", "few", "all").mapInArrow(_compare(p), "a long, b long").distinct()
     more = written(_confirmed(written(more, "candidates"), sets, p), "links")
     return components(edges.unionByName(more)) if not more.isEmpty() else found
 
