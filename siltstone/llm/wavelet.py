@@ -51,14 +51,17 @@ class Shard:
             raise ValueError(f"ids need more than {bits} bits")
         seq, planes = ids.astype(np.uint16 if bits <= 16 else np.uint32), []
         for k in range(bits - 1, -1, -1):
-            one = ((seq >> k) & 1).astype(bool)
+            one = (seq & seq.dtype.type(1 << k)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             words = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<u8")
             before = np.cumsum(np.bitwise_count(words), dtype=np.uint32)
             directory = np.concatenate([np.zeros(1, np.uint32), before[_EVERY - 1 :: _EVERY]])
-            low = seq[~one]
-            planes.append((len(low), words, directory))
-            seq = np.concatenate([low, seq[one]])
+            zeros = len(seq) - int(np.count_nonzero(one))
+            planes.append((zeros, words, directory))
+            dealt = np.empty_like(seq)
+            np.compress(one, seq, out=dealt[zeros:])
+            np.compress(np.logical_not(one, out=one), seq, out=dealt[:zeros])
+            seq = dealt
         return cls(len(ids), bits, doc_ids.astype("<i8"), lengths.astype("<u4"), planes)
 
     def to_bytes(self) -> bytes:
@@ -127,13 +130,14 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes' deals are undone from the lowest up."""
-        seq = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        seq = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             zeros, words, _ = self.planes[k]
             one = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").view(bool)
-            back = np.empty(self.n, np.uint32)
-            back[~one] = seq[:zeros]
-            back[one] = seq[zeros:] | np.uint32(1 << (self.bits - 1 - k))
+            back = np.empty(self.n, kind)
+            back[np.flatnonzero(one)] = seq[zeros:] | kind(1 << (self.bits - 1 - k))
+            back[np.flatnonzero(np.logical_not(one))] = seq[:zeros]
             seq = back
         return seq
 
@@ -186,10 +190,10 @@ def write_shards(docs: DataFrame, p: TokenFileParams, id_col: str = "doc_id", te
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "seq", "prior", "n_tokens", "n_docs", "file"])
 
-        for batch in batches:
+        for batch in at.gathered(batches, "text", 6 << 20):
             column, doc_ids = batch.column("text"), batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            for i, j in at.blocks(at.utf8(column)[1], 1 << 20):
-                flat, n = own.ids(column.slice(i, j - i).to_pylist())
+            for i, j in at.blocks(at.utf8(column)[1], 1 << 23):
+                flat, n = own.ids(column.slice(i, j - i))
                 ends = np.cumsum(n)
                 ids.append(np.insert(flat, ends, p.end_id).astype(np.uint32))
                 lengths.append(n + 1)
