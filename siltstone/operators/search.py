@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
 
+from .graph import settled
+
 #: Queries that are broadcast to all tasks at once; more are taken in further passes.
 QUERY_BLOCK = 4096
 
@@ -23,10 +26,14 @@ def top_k(df: DataFrame, score: Column, key: str, k: int, name: str = "score") -
 
 def search(df: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "vec_id", metric: str = "cosine", where: Column | None = None, threshold: float | None = None) -> DataFrame:
     """Exact k nearest rows to one vector. where is applied before scoring; threshold is strict."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    size = math.sqrt(sum(float(x) ** 2 for x in query)) if metric == "cosine" else 1.0
+    q = F.array(*[F.lit(float(x) / size if size else 0.0) for x in query])  # a cosine's query is normalised here, once
     if where is not None:
         df = df.filter(where)
-    scored = df.withColumn("score", V.cosine(F.col(vector), q) if metric == "cosine" else V.dot(F.col(vector), q))
+    score = V.dot(F.col(vector), q)
+    if metric == "cosine":
+        score = F.when(V.norm(F.col(vector)) == 0, 0.0).otherwise(score / V.norm(F.col(vector)))
+    scored = df.withColumn("score", score)
     if threshold is not None:
         scored = scored.filter(F.col("score") > threshold)
     return scored.orderBy(F.desc("score"), key).limit(k)
@@ -108,12 +115,14 @@ def bm25(docs: DataFrame, terms: list[str], k: int, key: str = "doc_id", text: s
     idf is ln((n - df + 0.5) / (df + 0.5)); negative ones become epsilon times the mean idf of all terms. Only postings of
     the query's terms are scored; the statistics are over all documents.
     """
-    # tf of the few query terms needs no shuffle; document frequencies of all terms are needed for the mean idf alone.
     own = docs.select(key, T.tokens(F.col(text)).alias("_t")).withColumn("length", F.size("_t"))
-    stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    df_all = own.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # One pass for all statistics: a line for each distinct term of a document, and one without term for the document itself.
+    line = lambda x, n: F.struct(x.cast("string").alias("term"), n.cast("long").alias("length"))
+    lines = F.concat(F.transform(F.array_distinct("_t"), lambda x: line(x, F.lit(0))), F.array(line(F.lit(None), F.col("length"))))
+    counts = settled(own.select(F.explode(lines).alias("l")).groupBy("l.term").agg(F.count("*").alias("df"), F.sum("l.length").alias("total")), "terms")
+    stats = counts.filter("term IS NULL").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean_length"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df_all.join(F.broadcast(stats)).withColumn("raw", raw)
+    idf = counts.filter("term IS NOT NULL").join(F.broadcast(stats)).withColumn("raw", raw)
     mean = idf.agg((F.sum("raw") / F.count("*")).alias("mean_idf"))
     wanted = F.array(*[F.lit(x) for x in terms])
     few = idf.filter(F.array_contains(wanted, F.col("term"))).join(F.broadcast(mean)).select("term", "n", "mean_length", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
