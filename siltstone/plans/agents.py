@@ -177,7 +177,7 @@ def g07_keyword_graph(spark, d):
 @query()
 def q11_layered_triples(spark, d):
     corpus = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("key"), F.concat_ws(" ", F.lit("1."), "n_name", F.lit("| lies in |"), "r_name").alias("text"))
-    seeds = table(spark, d, "nation").filter("n_nationkey < 5").select(F.col("n_name").alias("entry"))
+    seeds = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("entry"))
     extract = lambda m: m.select(F.explode(T.triples(F.col("text"))).alias("t")).select("t.*")
     return layered_triples(corpus, seeds, extract, 3)
 
@@ -192,5 +192,5 @@ def q16_comparative(spark, d):
 @query()
 def c02_header_then_size(spark, d):
     t = F.concat(F.lit("# Title\n"), "text", F.lit("\n## More\n"), "lang")
-    parts = C.by_headers(table(spark, d, "documents").filter("doc_id < 100").select("doc_id", t.alias("t")), "t", "doc_id")
+    parts = C.by_headers(table(spark, d, "documents").select("doc_id", t.alias("t")), "t", "doc_id")
     return C.by_function(parts.withColumn("section", F.col("section").cast("int")), "content", ["doc_id", "section"], partial(C.split_by_size, size=600, overlap=60, stops=C.STOPS["en"]))

@@ -9,7 +9,7 @@ from siltstone.operators import graph as G
 from .catalog import query, table
 
 _TREE = "(SELECT 's' || s_suppkey AS node, 'n' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region UNION ALL SELECT 'root', NULL)"
-_EDGES = "(SELECT o_custkey AS src, 100000 + l_suppkey AS tgt, count(*) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 37 = 0 GROUP BY ALL)"
+_EDGES = "(SELECT o_custkey AS src, 100000 + l_suppkey AS tgt, count(*) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"
 
 
 def _tree(spark, d):
@@ -19,7 +19,7 @@ def _tree(spark, d):
 
 
 def _edges(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 37 = 0").select("o_orderkey", F.col("o_custkey").alias("src"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("src"))
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.lit(100000) + F.col("l_suppkey")).alias("tgt"))
     return o.join(li, "o_orderkey").groupBy("src", "tgt").agg(F.count("*").alias("weight"))
 
@@ -40,16 +40,16 @@ def a05_merge_edges(spark, d):
     return G.merge_edges(r).select("src", "tgt", "weight", F.col("order").alias("first"))
 
 
-@query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS entity_name, 'UNKNOWN' AS entity_type FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS entity_name, 'UNKNOWN' AS entity_type FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)")
 def a05_unknown_ends(spark, d):
-    nodes = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("entity_name"))
+    nodes = table(spark, d, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").cast("string").alias("entity_name"))
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("tgt"))
     return G.missing_ends(nodes, e)
 
 
-@query("SELECT c_nationkey AS entity, string_agg(c_name, ' | Here is another description : ' ORDER BY c_custkey) AS description FROM customer WHERE c_custkey < 200 GROUP BY 1")
+@query("SELECT c_nationkey AS entity, string_agg(c_name, ' | Here is another description : ' ORDER BY c_custkey) AS description FROM customer GROUP BY 1")
 def a06_concat_merge(spark, d):
-    g = table(spark, d, "customer").filter("c_custkey < 200").groupBy(F.col("c_nationkey").alias("entity")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
+    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("entity")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
     return g.select("entity", F.array_join(F.transform("l", lambda x: x["c_name"]), " | Here is another description : ").alias("description"))
 
 
@@ -66,9 +66,9 @@ def a09_merge_duplicates(spark, d):
     return p.groupBy(F.regexp_replace("x", '^"|"$', "").alias("name")).agg(F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"))
 
 
-@query("WITH h AS (SELECT l_linenumber + 10 * l_orderkey AS pos, l_suppkey AS chunk FROM lineitem WHERE l_orderkey < 20), g AS (SELECT chunk, count(*) AS n, min(pos) AS pos FROM h GROUP BY 1) SELECT * FROM g ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, CASE WHEN n > 1 THEN -n ELSE 0 END, pos, chunk LIMIT 12")
+@query("WITH h AS (SELECT l_linenumber + 10 * l_orderkey AS pos, l_suppkey AS chunk FROM lineitem), g AS (SELECT chunk, count(*) AS n, min(pos) AS pos FROM h GROUP BY 1) SELECT * FROM g ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, CASE WHEN n > 1 THEN -n ELSE 0 END, pos, chunk LIMIT 12")
 def a10_chunk_votes(spark, d):
-    h = table(spark, d, "lineitem").filter("l_orderkey < 20").select((F.col("l_linenumber") + 10 * F.col("l_orderkey")).alias("pos"), F.col("l_suppkey").alias("chunk"))
+    h = table(spark, d, "lineitem").select((F.col("l_linenumber") + 10 * F.col("l_orderkey")).alias("pos"), F.col("l_suppkey").alias("chunk"))
     return G.chunk_votes(h, 12)
 
 
@@ -123,25 +123,24 @@ def a15_sparsity(spark, d):
     return G.sparsity(table(spark, d, "supplier").select(F.col("s_nationkey").alias("community"))).select(F.round("sparsity", 8).alias("sparsity"))
 
 
-@query("SELECT s_suppkey, s_acctbal, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey WHERE s_suppkey < 40")
+@query("SELECT s_suppkey, s_acctbal, n_name FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 20) JOIN nation ON s_nationkey = n_nationkey JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
 def j07_hydrate(spark, d):
     n = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    s = table(spark, d, "supplier").filter("s_suppkey < 40").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return s.join(n, F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_acctbal", "n_name")
 
 
-@query(f"WITH e AS {_EDGES} SELECT a.src AS node, b.src AS neighbour, count(*) AS shared FROM e a JOIN e b ON a.tgt = b.tgt AND a.src <> b.src WHERE a.src < 100 GROUP BY ALL")
+@query(f"WITH e AS {_EDGES}, h AS (SELECT 100000 + s_suppkey AS node FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10) SELECT node, src AS neighbour, weight AS shared FROM e JOIN h ON tgt = node")
 def j08_one_hop(spark, d):
-    e = G.settled(_edges(spark, d), "edges")
-    a = e.filter("src < 100").select(F.col("src").alias("node"), "tgt")
-    return a.join(e.select(F.col("src").alias("neighbour"), "tgt"), "tgt").filter("node <> neighbour").groupBy("node", "neighbour").agg(F.count("*").alias("shared"))
+    h = table(spark, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10).select((F.lit(100000) + F.col("s_suppkey")).alias("tgt"))
+    return _edges(spark, d).join(F.broadcast(h), "tgt").select(F.col("tgt").alias("node"), F.col("src").alias("neighbour"), F.col("weight").alias("shared"))
 
 
-@query(f"SELECT src, tgt, weight FROM {_EDGES} WHERE src < 500 AND tgt > 100050")
+@query(f"SELECT src, tgt, weight FROM {_EDGES} JOIN customer ON c_custkey = src JOIN supplier ON 100000 + s_suppkey = tgt WHERE c_nationkey = 3 AND s_nationkey = 5")
 def j09_direct_relations(spark, d):
     e = _edges(spark, d)
-    a = e.select(F.col("src").alias("node")).filter("node < 500").distinct()
-    b = e.select(F.col("tgt").alias("node")).filter("node > 100050").distinct()
+    a = table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("node"))
+    b = table(spark, d, "supplier").filter("s_nationkey = 5").select((F.lit(100000) + F.col("s_suppkey")).alias("node"))
     return e.join(a, e.src == a.node, "left_semi").join(b, e.tgt == b.node, "left_semi").select("src", "tgt", "weight")
 
 
@@ -176,9 +175,9 @@ def j17_key_entities(spark, d):
     return table(spark, d, "nation").withColumn("k", k).filter("k <= 2").select(F.col("n_regionkey").alias("community"), F.col("n_nationkey").alias("node"))
 
 
-@query(f"WITH e AS {_EDGES} SELECT src, tgt, weight FROM e WHERE src < 300 ORDER BY weight DESC, src, tgt LIMIT 30")
+@query(f"WITH e AS {_EDGES} SELECT src, tgt, weight FROM e ORDER BY weight DESC, src, tgt LIMIT 30")
 def k17_ranked_edges(spark, d):
-    return _edges(spark, d).filter("src < 300").orderBy(F.desc("weight"), "src", "tgt").limit(30)
+    return _edges(spark, d).orderBy(F.desc("weight"), "src", "tgt").limit(30)
 
 
 @query("SELECT n_name AS name, 'in' AS relation, r_name AS tail FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> '' AND r_name <> ''")
@@ -191,27 +190,33 @@ def g01_node_edges(spark, d):
     return _edges(spark, d).filter("src = 1 OR tgt = 100007")
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey >= 10 UNION ALL SELECT n_nationkey, 'new' FROM nation WHERE n_nationkey < 10")
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT n_nationkey, 'new' FROM nation WHERE n_regionkey = 1")
 def g02_upsert(spark, d):
     from siltstone.operators.relational import upsert
 
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return upsert(n, n.filter("id < 10").withColumn("name", F.lit("new")), "id")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    return upsert(n.select("id", "name"), n.filter("n_regionkey = 1").select("id", F.lit("new").alias("name")), "id")
+
+
+_UP = f"t AS MATERIALIZED {_TREE}, u AS MATERIALIZED (SELECT node AS src, parent AS tgt FROM t WHERE parent IS NOT NULL UNION SELECT parent, node FROM t WHERE parent IS NOT NULL)"
+
+
+def _up(spark, d):
+    return _tree(spark, d).filter("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("tgt"))
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, u AS MATERIALIZED (SELECT src, tgt FROM e UNION SELECT tgt, src FROM e),
-    p AS (SELECT 100001 AS node, [100001] AS path UNION ALL SELECT u.tgt, list_append(p.path, u.tgt) FROM p JOIN u ON u.src = p.node WHERE len(p.path) < 4 AND NOT list_contains(p.path, u.tgt))
-    SELECT node, len(path) - 1 AS hops, count(*) AS n FROM p WHERE len(path) > 1 GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_UP}, p AS (SELECT node, [node] AS path FROM t WHERE node LIKE 'r%' UNION ALL SELECT u.tgt, list_append(p.path, u.tgt) FROM p JOIN u ON u.src = p.node WHERE len(p.path) < 4 AND NOT list_contains(p.path, u.tgt))
+    SELECT path[1] AS start, node, len(path) - 1 AS hops, count(*) AS n FROM p WHERE len(path) > 1 GROUP BY ALL""")
 def g03_bounded_paths(spark, d):
-    start = spark.range(1).select(F.lit(100001).cast("long").alias("node"))
-    return G.paths(G.settled(_edges(spark, d), "edges"), start, 3).groupBy("node", "hops").agg(F.count("*").alias("n"))
+    start = _tree(spark, d).filter("node LIKE 'r%'").select("node")
+    return G.paths(_up(spark, d), start, 3).groupBy("start", "node", "hops").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, u AS MATERIALIZED (SELECT src, tgt FROM e UNION SELECT tgt, src FROM e),
-    p AS (SELECT 100001 AS node, 0 AS hops UNION SELECT u.tgt, p.hops + 1 FROM p JOIN u ON u.src = p.node WHERE p.hops < 4) SELECT node, min(hops) AS hops, min(hops) + 1 AS n FROM p WHERE node <> 100001 GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_UP}, p AS (SELECT node AS start, node, 0 AS hops FROM t WHERE node LIKE 'n%' UNION SELECT p.start, u.tgt, p.hops + 1 FROM p JOIN u ON u.src = p.node WHERE p.hops < 4)
+    SELECT start, node, min(hops) AS hops, min(hops) + 1 AS n FROM p GROUP BY ALL HAVING min(hops) > 0""")
 def g04_shortest_paths(spark, d):
-    start = spark.range(1).select(F.lit(100001).cast("long").alias("node"))
-    return G.shortest_paths(G.settled(_edges(spark, d), "edges"), start, 4).select("node", "hops", F.size("path").alias("n"))
+    start = _tree(spark, d).filter("node LIKE 'n%'").select("node")
+    return G.shortest_paths(_up(spark, d), start, 4).select("start", "node", "hops", F.size("path").alias("n"))
 
 
 @query(f"""WITH RECURSIVE t AS {_TREE}, p AS (SELECT node AS start, parent AS node, 1 AS hops, [node, parent] AS path FROM t WHERE parent IS NOT NULL
@@ -227,18 +232,18 @@ def g06_one_hop_edges(spark, d):
     return u.filter("src = 5 OR src = 100003").select(F.col("src").alias("node"), F.col("tgt").alias("other"), F.lit(20).alias("score"))
 
 
-_FOREST = "(SELECT p_partkey AS src, p_partkey - p_partkey % 16 AS tgt FROM part WHERE p_partkey % 16 <> 0 AND p_partkey < 1000)"
+_FOREST = "(SELECT p_partkey AS src, p_partkey - p_partkey % 16 AS tgt FROM part WHERE p_partkey % 16 <> 0)"
 
 
 @query(f"SELECT node, node - node % 16 AS component FROM (SELECT src AS node FROM {_FOREST} UNION SELECT tgt FROM {_FOREST})")
 def g08_components(spark, d):
-    e = table(spark, d, "part").filter("p_partkey % 16 <> 0 AND p_partkey < 1000").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_partkey") % 16).alias("tgt"))
+    e = table(spark, d, "part").filter("p_partkey % 16 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_partkey") % 16).alias("tgt"))
     return G.components(_nodes(e), e)
 
 
 @query(f"WITH c AS (SELECT src AS node FROM {_FOREST} UNION SELECT tgt FROM {_FOREST}), g AS (SELECT node - node % 16 AS k, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, k LIMIT 1) SELECT node FROM c, g WHERE node - node % 16 = k")
 def g08_largest_component(spark, d):
-    e = table(spark, d, "part").filter("p_partkey % 16 <> 0 AND p_partkey < 1000").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_partkey") % 16).alias("tgt"))
+    e = table(spark, d, "part").filter("p_partkey % 16 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_partkey") % 16).alias("tgt"))
     return G.largest_component(_nodes(e), e)
 
 
@@ -251,7 +256,7 @@ def g09_communities(spark, d):
 @query()
 def g11_walks(spark, d):
     e = G.settled(_edges(spark, d), "edges")
-    return G.walks(e, _nodes(e).filter("node < 50"), 6, 2)
+    return G.walks(e, _nodes(e), 6, 2)
 
 
 @query(f"WITH e AS {_EDGES} SELECT src, tgt, weight FROM e WHERE src IN (SELECT src FROM e WHERE tgt = 100001) AND tgt IN (100001, 100002, 100003)")

@@ -25,16 +25,16 @@ def s15_to_json(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.to_json(F.array("label", F.col("label") + 1)).alias("j"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE NOT (vec_id >= 100)")
+@query("SELECT vec_id FROM embeddings WHERE NOT (label >= 5)")
 def s20_delete_rows(spark, d):
-    return table(spark, d, "embeddings").filter("NOT (vec_id >= 100)").select("vec_id")
+    return table(spark, d, "embeddings").filter("NOT (label >= 5)").select("vec_id")
 
 
-@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS term FROM documents WHERE doc_id < 100) WHERE term <> '' GROUP BY ALL")
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY ALL")
 def s25_postings(spark, d):
     from siltstone.operators.search import postings
 
-    return postings(table(spark, d, "documents").filter("doc_id < 100"), "doc_id", "text").select("doc_id", "term", "tf")
+    return postings(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
 
 
 @query("SELECT doc_id, pos + 1 AS id, md5(p) AS body, source || '.pdf' AS path FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE trim(p) <> ''")
@@ -122,9 +122,9 @@ def f21_markdown_table(spark, d):
     return rows.select("source", F.concat(F.lit("| id | lang |\n| --- | --- |\n"), F.array_join(line, "\n")).alias("md"))
 
 
-@query("SELECT source, doc_id, unnest(['text', 'table']) AS type FROM documents WHERE doc_id < 100")
+@query("SELECT source, doc_id, unnest(['text', 'table']) AS type FROM documents")
 def c10_table_chunks(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id < 100").select("source", "doc_id")
+    docs = table(spark, d, "documents").select("source", "doc_id")
     return docs.withColumn("type", F.lit("text")).unionByName(docs.withColumn("type", F.lit("table")))
 
 

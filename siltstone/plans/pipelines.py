@@ -24,7 +24,7 @@ def answer_contexts(questions: DataFrame, chunks: DataFrame, k: int, budget: int
 
 @query()
 def q15_question_contexts(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars < 20000")
+    docs = table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text", P.embed(F.col("text")).alias("embedding"))
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), P.embed(F.col("text")).alias("embedding"))
     return answer_contexts(questions, G.settled(chunks, "chunks"), 5, 4000)
@@ -36,7 +36,7 @@ def q02_local_context(spark, d):
     e = table(spark, d, "embeddings")
     vector = e.filter("vec_id = 1").select("embedding").first()[0]
     hits = S.search(e, vector, 20, threshold=0.05).select(F.col("vec_id").alias("node"), "score")
-    edges = G.settled(table(spark, d, "lineitem").filter("l_suppkey < 500").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 200 + 1000).alias("tgt")).groupBy("src", "tgt").agg(F.count("*").alias("weight")), "edges")
+    edges = G.settled(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 200 + 1000).alias("tgt")).groupBy("src", "tgt").agg(F.count("*").alias("weight")), "edges")
     near = G.both_ways(edges).join(F.broadcast(hits), F.col("src") == F.col("node"), "left_semi")
     ranked = near.join(G.degrees(edges).withColumnRenamed("node", "tgt"), "tgt")
     return ranked.select("src", "tgt", "weight", "degree").orderBy(F.desc("degree"), F.desc("weight"), "src", "tgt").limit(50)

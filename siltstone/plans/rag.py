@@ -107,17 +107,18 @@ def context(s: Store, vector: list[float], p: QueryParam) -> DataFrame:
 
 
 def toy_store(spark, d) -> Store:
-    """Suppliers as entities, parts they share as edges, nations and regions as communities, documents as chunks."""
+    """Suppliers as entities, neighbours in a nation and a group as edges, nations and regions as communities, documents as chunks."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"), F.concat_ws(" ", F.lit("supplier in nation"), F.col("s_nationkey")).alias("description"), "s_nationkey", "s_acctbal")
     ent = sup.join(v, "node").withColumn("source_ids", F.array(F.col("node") % 50, F.col("node") % 31))
-    li = table(spark, d, "lineitem").filter("l_orderkey < 3000").select("l_suppkey", "l_partkey")
-    both = li.select(F.col("l_suppkey").alias("src"), "l_partkey").distinct().join(li.select(F.col("l_suppkey").alias("tgt"), "l_partkey").distinct(), "l_partkey").filter("src < tgt")
-    edges = both.groupBy("src", "tgt").agg(F.count("*").cast("double").alias("weight")).withColumn("description", F.concat_ws(" ", F.lit("shared parts"), F.col("src"), F.col("tgt")))
+    beside = sup.select(F.col("node").alias("src"), F.lead("node").over(Window.partitionBy("s_nationkey").orderBy("node")).alias("tgt"), F.abs("s_acctbal").alias("weight"))
+    across = sup.select(F.col("node").alias("src"), F.lead("node").over(Window.partitionBy(F.pmod(F.xxhash64("name"), F.lit(10))).orderBy("node")).alias("tgt"), F.lit(1.0).alias("weight"))
+    edges = beside.unionByName(across).filter("tgt IS NOT NULL").groupBy("src", "tgt").agg(F.sum("weight").alias("weight"))
+    edges = edges.withColumn("description", F.concat_ws(" ", F.lit("trade of"), F.col("src"), F.col("tgt")))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     of = sup.join(n, "s_nationkey")
     make = lambda level, c: of.groupBy(F.lit(level).alias("level"), F.col(c).cast("long").alias("community")).agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.concat_ws(" ", F.lit("report"), F.first(c)).alias("report"), F.round(F.avg("s_acctbal"), 2).alias("rating"))
-    chunks = table(spark, d, "documents").filter("doc_id < 50").select(F.col("doc_id").alias("chunk"), "text")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), "text")
     w = lambda df, name: G.settled(df, name)
     return Store(w(ent.select("node", "name", "description", "embedding", "source_ids"), "entities"), w(edges, "edges"), w(make(1, "s_nationkey").unionByName(make(0, "n_regionkey")), "communities"), chunks)
 

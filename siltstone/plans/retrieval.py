@@ -38,9 +38,9 @@ def k03_inner_product_per_document(spark, d):
     return _hits(spark, d, 7, 6, metric="ip", where=F.col("label") == 2)
 
 
-@query("SELECT page_id, url, 0.5 AS distance FROM pages WHERE page_id < 30 ORDER BY page_id")
+@query("SELECT page_id, url, 0.5 AS distance FROM pages ORDER BY page_id")
 def k05_all_pages(spark, d):
-    return table(spark, d, "pages").filter("page_id < 30").select("page_id", "url", F.lit(0.5).alias("distance")).orderBy("page_id")
+    return table(spark, d, "pages").select("page_id", "url", F.lit(0.5).alias("distance")).orderBy("page_id")
 
 
 @query(f"SELECT e.vec_id, e.label, round({_COS}, 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q WHERE {_COS} > 0.2 ORDER BY {_COS} DESC, e.vec_id LIMIT 15")
@@ -59,9 +59,9 @@ def k10_similar_without_exact(spark, d):
     return near.select("vec_id", "label", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 7 = 0) SELECT e.vec_id, round({_COS}, 4) AS score FROM c e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q ORDER BY {_COS} DESC, e.vec_id LIMIT 5")
+@query(f"WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE label = 3) SELECT e.vec_id, round({_COS}, 4) AS score FROM c e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q ORDER BY {_COS} DESC, e.vec_id LIMIT 5")
 def k12_cosine_rerank(spark, d):
-    some = table(spark, d, "embeddings").filter("vec_id % 7 = 0")
+    some = table(spark, d, "embeddings").filter("label = 3")
     return S.search(some, _vector(spark, d, 2), 5).select("vec_id", F.round("score", 4).alias("score"))
 
 
@@ -72,19 +72,18 @@ def k13_similarity_kernels(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 10) AS sc FROM embeddings e, embeddings q WHERE q.vec_id % 25 = 0),
+    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 10) AS sc FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(sc, 4) AS score, rank FROM r WHERE rank <= 5"""
 )
 def k18_batched_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return S.batched_search(q, e, 5).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
-@query("SELECT doc_id, n_chars, running FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE source = 'src3') WHERE running <= 40000")
+@query("SELECT doc_id, n_chars, running FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 40000")
 def w01_token_budget(spark, d):
-    docs = table(spark, d, "documents").filter("source = 'src3'")
-    return S.within_budget(docs, "n_chars", ["doc_id"], 40000).select("doc_id", "n_chars", F.col("running").cast("decimal(38,0)").cast("long").alias("running"))
+    return S.within_budget(table(spark, d, "documents"), "n_chars", ["doc_id"], 40000, ["source"]).select("doc_id", "n_chars", F.col("running").cast("decimal(38,0)").cast("long").alias("running"))
 
 
 @query(
@@ -122,10 +121,10 @@ def r04_hybrid_fusion(spark, d):
     return S.fuse(v, t, 0.6, 15, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("SELECT doc_id, 1 AS store FROM documents WHERE doc_id < 30 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id, 1 AS store FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 2 FROM documents WHERE source = 'src0'")
 def u01_union_hits(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    return docs.filter("doc_id < 30").withColumn("store", F.lit(1)).unionByName(docs.filter("doc_id % 20 = 0").withColumn("store", F.lit(2)))
+    docs = table(spark, d, "documents")
+    return docs.filter("lang = 'fr'").select("doc_id", F.lit(1).alias("store")).unionByName(docs.filter("source = 'src0'").select("doc_id", F.lit(2).alias("store")))
 
 
 @query("SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role, turn ORDER BY conv_id) AS rank FROM conversations) WHERE rank = 1")
@@ -141,21 +140,21 @@ def w04_sequential_ids(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT doc_id, n_chars, (doc_id * 37 % 100) / 100.0 AS llm, (doc_id * 61 % 100) / 100.0 AS dist, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents WHERE doc_id < 60)
+    """WITH s AS (SELECT doc_id, n_chars, (doc_id * 37 % 100) / 100.0 AS llm, (doc_id * 61 % 100) / 100.0 AS dist, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // 4 AS batch FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60)
     SELECT doc_id, batch, round(0.7 * llm + 0.3 * dist, 4) AS combined FROM s ORDER BY combined DESC, doc_id LIMIT 20"""
 )
 def r07_weighted_rerank(spark, d):
-    s = table(spark, d, "documents").filter("doc_id < 60").select("doc_id", ((F.col("doc_id") * 37 % 100) / 100.0).alias("llm"), ((F.col("doc_id") * 61 % 100) / 100.0).alias("dist"))
-    s = s.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 4))
+    s = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(60).select("doc_id", "n_chars", ((F.col("doc_id") * 37 % 100) / 100.0).alias("llm"), ((F.col("doc_id") * 61 % 100) / 100.0).alias("dist"))
+    s = s.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1) / 4))
     return s.select("doc_id", "batch", F.round(0.7 * F.col("llm") + 0.3 * F.col("dist"), 4).alias("combined")).orderBy(F.desc("combined"), "doc_id").limit(20)
 
 
 @query(
     """WITH o AS (SELECT ordinality - 1 AS pos, CAST(x AS BIGINT) AS idx FROM (SELECT unnest(['3','1','2','9']) AS x, generate_subscripts(['3','1','2','9'], 1) AS ordinality)),
-    c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS idx FROM documents WHERE doc_id < 10) SELECT c.doc_id, o.pos, 4 - o.pos AS score FROM o JOIN c USING (idx)"""
+    c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS idx FROM documents ORDER BY n_chars DESC, doc_id LIMIT 9) SELECT c.doc_id, o.pos, 4 - o.pos AS score FROM o JOIN c USING (idx)"""
 )
 def r06_index_list_rerank(spark, d):
-    c = table(spark, d, "documents").filter("doc_id < 10").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("idx"))
+    c = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(9).select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("idx"))
     order = spark.range(1).select(F.posexplode(F.split(F.lit("3,1,2,9"), ",")).alias("pos", "x")).select(F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("idx"))
     return c.join(F.broadcast(order), "idx").select("doc_id", "pos", (4 - F.col("pos")).alias("score"))
 

@@ -35,9 +35,9 @@ def f04_clean_string(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.clean_string(F.col("html"))).alias("cleaned"))
 
 
-@query("SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\||###'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\||###'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents")
 def f05_split_markers(spark, d):
-    return _docs(spark, d).filter("doc_id < 200").select("doc_id", T.split_by_markers(F.col("text"), ["|", "###"]).alias("parts"))
+    return _docs(spark, d).select("doc_id", T.split_by_markers(F.col("text"), ["|", "###"]).alias("parts"))
 
 
 @query("SELECT p_partkey, regexp_full_match(x, '[-+]?[0-9]*\\.?[0-9]+') AS ok FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-1.5' WHEN 1 THEN '.5' WHEN 2 THEN '1e5' ELSE p_name END AS x FROM part)")
@@ -240,11 +240,11 @@ def c15_report_chunks(spark, d):
     return C.by_tokens(_docs(spark, d), "text", 1024, 128, ["doc_id"]).select("doc_id", "chunk_no", T.hash_id(F.col("chunk")).alias("hash_code"))
 
 
-@query("""WITH m AS (SELECT doc_id, 'intro' || chr(10) || '# A' || doc_id || chr(10) || 'body' || chr(10) || '####### x' || chr(10) || '  ## B ' || chr(10) || lang AS t FROM documents WHERE doc_id < 100)
+@query("""WITH m AS (SELECT doc_id, 'intro' || chr(10) || '# A' || doc_id || chr(10) || 'body' || chr(10) || '####### x' || chr(10) || '  ## B ' || chr(10) || lang AS t FROM documents)
     SELECT doc_id, unnest([0, 1, 2]) AS section, unnest([0, 1, 2]) AS level, unnest(['', 'A' || doc_id, 'B']) AS header, unnest(['intro', 'body' || chr(10) || '####### x', split_part(t, chr(10), 6)]) AS content FROM m""")
 def c01_markdown_headers(spark, d):
     t = F.concat(F.lit("intro\n# A"), "doc_id", F.lit("\nbody\n####### x\n  ## B \n"), "lang")
-    return C.by_headers(_docs(spark, d).filter("doc_id < 100").select("doc_id", t.alias("t")), "t", "doc_id")
+    return C.by_headers(_docs(spark, d).select("doc_id", t.alias("t")), "t", "doc_id")
 
 
 @query("""WITH p AS (SELECT o_custkey AS doc, CAST(o_orderkey % 7 + 1 AS INT) AS page, min(o_orderkey) AS k FROM orders GROUP BY ALL), l AS (SELECT doc, unnest(range(1, max(page) + 1)) AS page FROM p GROUP BY doc)
