@@ -41,6 +41,8 @@ class NearDupParams:
     block: int = 128
     #: Percent of equal bins from which a pair is confirmed then: standard errors below the threshold of 85: more than four.
     sketch_percent: int = 76
+    #: Tasks over which the rows of one set are dealt.
+    salts: int = 32
     #: Up to so many documents in shared buckets, their ids (16 MB) are broadcast to pick out their texts; beyond, both are shuffled.
     broadcast_ids: int = 2_000_000
 
@@ -236,8 +238,12 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col:
     own = texts(docs, id_col, text_col)
     rows = written(own.mapInArrow(_sketches(p), "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>, sketch binary"), "sketches")
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = some.join(classes, ["set_a", "set_b", "n_shingles"])
+    keys = ["set_a", "set_b", "n_shingles"]
+    classes = some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    # A class may hold a large part of all rows, so its rows are dealt over several tasks, and its line is sent to each.
+    classes = classes.select(*keys, "rep", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("salt"))
+    members = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(p.salts)).cast("int")).join(classes, [*keys, "salt"], "left")
+    members = members.withColumn("rep", F.coalesce("rep", "doc_id"))
     equal = members.filter("doc_id <> rep").select(F.col("doc_id").alias("node"), "rep").distinct()
     reps = members.filter("doc_id = rep").select("doc_id", "n_shingles", "buckets", "sketch")
     found = links(reps, own.filter("doc_id IS NOT NULL"), p)
