@@ -119,7 +119,7 @@ class _Packer:
         by = np.argsort(place[numbers], kind="stable")
         where, ids, versions, pos = place[numbers][by], ids[by], versions[by], pos[by]
         edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-        pack, out_b, out_p = zstandard.ZstdCompressor(level=3), [], []
+        pack, out_b, out_p = zstandard.ZstdCompressor(level=6), [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
             i, j = np.searchsorted(where, (lo, hi))
             own = [strings[x] for x in order[lo:hi]]
