@@ -48,7 +48,7 @@ def encoder(path: str) -> tuple[ChunkEncoder, np.ndarray]:
         vocabulary = Tokenizer.from_file(path).get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[v for k, v in vocabulary.items() if k.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
-        _encoders[path] = ChunkEncoder(library_encoder(path, between=" ★ "), loose=True), ends
+        _encoders[path] = ChunkEncoder(library_encoder(path, between=" ★ "), loose=True, keep=400_000), ends
     return _encoders[path]
 
 
