@@ -1,19 +1,24 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from its neighbours on both sides.
 
-Tokens are words (A-Z lower-cased). The most frequent words of all documents are symbols of their own, all others fall into
-hashed classes. The network adds an embedding for each neighbour by its place, takes tanh, and gives odds for every symbol.
-It starts from the symbol frequencies of the whole corpus and is trained in numpy, data-parallel: in each round every task
-trains on a fixed share of the positions of its own documents, and the parameters are averaged, weighted by examples. A
+Tokens are words (A-Z lower-cased). Frequent words of all documents are symbols of their own, and their number follows the
+corpus; all others fall into hashed classes. The network adds an embedding for each neighbour by its place, takes tanh, and
+goes down a Huffman tree of the symbols (hierarchical softmax), so that a token costs about as many steps as it has bits. A
+word of a class then has its own probability in it, from the counts over all documents: P(word) = P(class) P(word | class).
+The tree starts from the symbol frequencies of the whole corpus and is trained in numpy, data-parallel: in each round every
+task trains on a fixed share of the positions of its own documents, and the parameters are averaged, weighted by examples. A
 document's score is the sum of the log-probabilities of its tokens, each given its neighbours.
 """
 
 from __future__ import annotations
 
+import copy
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +31,9 @@ UNIT = 1 << 20
 
 @dataclass(frozen=True)
 class LmParams:
+    #: So many most frequent words are symbols of their own, and with them every word seen own_count times.
     words: int = 383
+    own_count: int = 5000
     #: Hashed classes of all other words.
     classes: int = 128
     #: Neighbours on each side.
@@ -37,6 +44,8 @@ class LmParams:
     rounds: int = 2
     rate: float = 0.15
     batch: int = 512
+    #: Counts of up to so many words (16 bytes each) are sent to every task; those of rarer words are joined.
+    listed: int = 2_000_000
 
     @property
     def symbols(self) -> int:
@@ -46,18 +55,50 @@ class LmParams:
 CHUNK = 4096
 
 
+def _tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree: all leaves' nodes and turns on the way from the root, one leaf after the other, the ways' bounds, and each node's odds of a turn."""
+    n = len(weight)
+    heap = [(x, i) for i, x in enumerate(weight.tolist())]
+    heapq.heapify(heap)
+    up, turn, odds = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32), np.zeros(n - 1, np.float32)
+    for node in range(n - 1):
+        (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
+        up[i] = up[j] = n + node
+        turn[j], odds[node] = 1, np.log(y / x)
+        heapq.heappush(heap, (x + y, n + node))
+    where, now, rows, nodes, turns = np.arange(n), np.arange(n), [], [], []
+    while (left := now < 2 * n - 2).any():  # all leaves climb together
+        where, now = where[left], now[left]
+        rows.append(where), nodes.append(up[now] - n), turns.append(turn[now])
+        now = up[now]
+    if not rows:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(n + 1, np.int64), odds
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    return np.concatenate(nodes)[order].astype(np.int32), np.concatenate(turns)[order], bounds, odds
+
+
 class Network:
-    """Vocabulary and parameters."""
+    """Vocabulary and parameters. frequency: of the outside (not looked at), of the vocabulary's words and of the classes."""
 
     def __init__(self, p: LmParams, vocabulary: np.ndarray, frequency: np.ndarray):
         self.p = p
         self.order = np.argsort(vocabulary)
         self.sorted = vocabulary[self.order]
+        self.first = 1 + len(vocabulary)  # class
         rng = np.random.Generator(np.random.PCG64(5))
-        v, d = p.symbols, p.dim
+        v, d = self.first + p.classes, p.dim
+        self.path, self.turn, self.bounds, odds = _tree(frequency[1:] + 0.5)
         self.inner = (rng.standard_normal((2 * p.reach, v, d)) * 0.1).astype(np.float32)
-        self.outer = (rng.standard_normal((d, v)) * 0.1).astype(np.float32)
-        self.bias = np.log((frequency + 0.5) / (frequency.sum() + 0.5 * v)).astype(np.float32)
+        self.outer = (rng.standard_normal((len(odds), d)) * 0.1).astype(np.float32)
+        self.bias = odds
+        self.class_size = frequency[self.first :]
+        self.listed, self.units = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rare: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rare": None}  # not for tasks
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.inner.ravel(), self.outer.ravel(), self.bias]).astype(np.float64)
@@ -69,13 +110,32 @@ class Network:
         self.bias = flat[b:].astype(np.float32)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
-        out = self.p.words + 1 + (h % np.uint64(self.p.classes)).astype(np.int64)
+        out = self.first + (h % np.uint64(self.p.classes)).astype(np.int64)
         if len(self.sorted):
             place = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             known = self.sorted[place] == h
             out[known] = self.order[place[known]] + 1
         return out
 
+    def within_class(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | symbol) = log n - log (class size + 1) in units, and which words aren't listed: their log n is left out.
+
+        A word that was never counted has the probability of one counted once, whose log n is 0.
+        """
+        out, unlisted = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at_ = np.flatnonzero(own >= self.first)
+        if len(at_):
+            out[at_] = np.rint(-np.log(self.class_size + 1) * UNIT).astype(np.int64)[own[at_] - self.first]
+            word, where = np.unique(h[at_], return_inverse=True)
+            n, missing = np.zeros(len(word), np.int64), np.ones(len(word), bool)
+            if len(self.listed):
+                place = np.minimum(np.searchsorted(self.listed, word), len(self.listed) - 1)
+                missing = self.listed[place] != word
+                n = np.where(missing, 0, self.units[place])
+            out[at_] += n[where]
+            unlisted[at_] = missing[where]
+        return out, unlisted
+
     def neighbours(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words, and those of each word's neighbours, one row a place."""
         own, r = self.symbols(h), self.p.reach
@@ -90,38 +150,57 @@ class Network:
             total = total + self.inner[k][near[k]]
         return np.tanh(total)
 
+    def ways(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and turns on the symbols' ways, one after the other, the place of each in own, and the ways' starts."""
+        low, n = self.bounds[own - 1], self.bounds[own] - self.bounds[own - 1]
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1]) + np.repeat(low - (ends - n), n)
+        return self.path[where], self.turn[where], np.repeat(np.arange(len(own)), n), ends - n
+
     def log_probabilities(self, own: np.ndarray, near: np.ndarray) -> np.ndarray:
-        out = np.empty(len(own))
-        for i in range(0, len(own), 2048):
-            logits = self.hidden(near[:, i : i + 2048]) @ self.outer
-            logits += self.bias
-            picked = logits[np.arange(len(logits)), own[i : i + 2048]]
-            np.exp(logits, out=logits)
-            logits[:, 0] = 0  # the outside is never a token
-            out[i : i + 2048] = picked - np.log(logits.sum(1))
+        out = np.zeros(len(own))
+        for i in range(0, len(own) if len(self.path) else 0, 2048):
+            node, turn, row, starts = self.ways(own[i : i + 2048])
+            z = np.einsum("nd,nd->n", self.hidden(near[:, i : i + 2048])[row], self.outer[node])
+            z += self.bias[node]
+            z *= 2 * turn - 1  # the log-odds of the turn taken
+            out[i : i + 2048] = -np.add.reduceat(np.maximum(-z, 0) + np.log1p(np.exp(-np.abs(z))), starts)
         return out
 
     def train(self, own: np.ndarray, near: np.ndarray, squares: list[np.ndarray]) -> None:
         """One pass of Adagrad over the examples; squares: sums of squared gradients, one for each parameter array."""
+        if not len(self.path):
+            return
+        v = self.inner.shape[1]
+        inner, inner_squares = self.inner.reshape(-1, self.p.dim), squares[0].reshape(-1, self.p.dim)
         for i in range(0, len(own), self.p.batch):
             y, x = own[i : i + self.p.batch], near[:, i : i + self.p.batch]
             h = self.hidden(x)
-            e = h @ self.outer + self.bias
-            e -= e.max(1, keepdims=True)
-            np.exp(e, out=e)
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(y)), y] -= 1
-            e /= len(y)
-            back = (e @ self.outer.T) * (1 - h * h)
-            for value, square, grad in ((self.outer, squares[1], h.T @ e), (self.bias, squares[2], e.sum(0))):
-                square += grad * grad
-                value -= self.p.rate * grad / (np.sqrt(square) + 1e-6)
-            for k in range(len(x)):
-                rows, where = np.unique(x[k], return_inverse=True)
-                grad = np.zeros((len(rows), self.p.dim), np.float32)
-                np.add.at(grad, where, back)
-                squares[0][k][rows] += grad * grad
-                self.inner[k][rows] -= self.p.rate * grad / (np.sqrt(squares[0][k][rows]) + 1e-6)
+            node, turn, row, starts = self.ways(y)
+            w, hr = self.outer[node], h[row]
+            e = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nd->n", w, hr) + self.bias[node], -60, 60)))
+            e -= turn
+            e /= np.float32(len(y))
+            w *= e[:, None]
+            back = np.add.reduceat(w, starts) * (1 - h * h)
+            hr *= e[:, None]
+            self._step(self.outer, squares[1], *_summed(node, hr))
+            self._step(self.bias, squares[2], *_summed(node, e))
+            key = (x + np.arange(0, v * len(x), v)[:, None]).ravel()
+            self._step(inner, inner_squares, *_summed(key, np.tile(back, (len(x), 1))))
+
+    def _step(self, value: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+        total = square[rows] + grad * grad
+        square[rows] = total
+        value[rows] -= self.p.rate * grad / (np.sqrt(total) + 1e-6)
+
+
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their values."""
+    order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(values[order], first)
 
 
 def _hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -161,35 +240,61 @@ def _averaged(trained: DataFrame, size: int) -> np.ndarray | None:
         return pa.table({"chunk": table.column("chunk")[:1], "v": pa.array([total], pa.list_(pa.int64())), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
     some = trained.groupBy("chunk", F.pmod("task", F.lit(256)).alias("salt")).applyInArrow(add, "chunk int, v array<long>, n long")
-    rows = some.groupBy("chunk").applyInArrow(add, "chunk int, v array<long>, n long").collect()  # as many numbers as parameters
-    if not rows:
+    rows = some.groupBy("chunk").applyInArrow(add, "chunk int, v array<long>, n long").toArrow()  # as many numbers as parameters
+    if not rows.num_rows:
         return None
-    return np.concatenate([np.array(r.v, np.float64) / UNIT / r.n for r in sorted(rows)])[:size]
+    rows = rows.sort_by("chunk").combine_chunks()
+    sizes, n = pa.compute.list_value_length(rows.column("v")).to_numpy(), rows.column("n").to_numpy()
+    return (pa.compute.list_flatten(rows.column("v")).to_numpy() / UNIT / np.repeat(n, sizes))[:size]
+
+
+def _network(counts: DataFrame, p: LmParams) -> Network:
+    """An untrained network for the words of counts (word, n)."""
+    top = counts.orderBy(F.desc("n"), "word").limit(p.words).toArrow()
+    if top.num_rows and top.column("n")[-1].as_py() >= p.own_count:
+        top = counts.filter(F.col("n") >= p.own_count).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    # The hash is unsigned, a long isn't.
+    unsigned = F.pmod(F.pmod("word", F.lit(p.classes)) + F.when(F.col("word") < 0, 2**64 % p.classes).otherwise(0), F.lit(p.classes))
+    classes = np.zeros(p.classes)
+    for r in counts.groupBy(unsigned.alias("c")).agg(F.sum("n").alias("n")).collect():  # a row for each class
+        classes[r.c] = r.n
+    np.subtract.at(classes, (words % np.uint64(p.classes)).astype(np.int64), n)
+    return Network(p, words, np.concatenate([[0], n, classes]))
+
+
+def _list_words(network: Network, counts: DataFrame) -> None:
+    """Gives the network the counts of the most frequent words; those of the others stay a table. A word seen once needs none."""
+    more = counts.filter("n > 1")
+    steps = more.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # at most 512 rows
+    total, least = 0, None
+    for r in steps:
+        total += r.words
+        if total > network.p.listed:
+            break
+        least = r.least
+    units = more.select("word", "n", F.rint(F.log("n") * UNIT).cast("long").alias("units"))
+    if least is not None:
+        found = units.filter(F.col("n") >= least).select("word", "units").toArrow()
+        word = found.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        network.listed, network.units = word[order], found.column("units").to_numpy()[order]
+    if total > network.p.listed:
+        network.rare = units.filter(F.col("n") < least if least is not None else F.lit(True)).select("word", "units")
 
 
 def train(docs: DataFrame, p: LmParams = LmParams()) -> Network:
     """docs: doc_id, text. Symbols and frequencies from all words, parameters from all documents' sampled positions."""
     prepare(docs.sparkSession)
     counts = written(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(p.words).collect()]
-    network = Network(p, np.array(top, np.int64).view(np.uint64), np.ones(p.symbols))
-    vocabulary = network.sorted.copy(), network.order.copy()
-    known = F.array_position(F.lit(np.array(top or [0], np.int64).tolist()), F.col("word"))
-    symbol = F.when(known > 0, known).otherwise(p.words + 1 + F.pmod("word", F.lit(p.classes)))
-    frequency = np.zeros(p.symbols)
-    for r in counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).collect():  # a row for each symbol
-        frequency[r.s] = r.n
-    network = Network(p, np.array(top, np.int64).view(np.uint64), frequency)
-    assert (network.sorted == vocabulary[0]).all()
+    network = _network(counts, p)
     for _ in range(p.rounds):
         shared = docs.sparkSession.sparkContext.broadcast(network)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            base = shared.value
-            own = Network(p, base.sorted[np.argsort(base.order)], np.ones(p.symbols))
-            own.load(base.flat())
+            own = copy.deepcopy(shared.value)
             squares = [np.full_like(own.inner, 1e-4), np.full_like(own.outer, 1e-4), np.full_like(own.bias, 1e-4)]
             seen = 0
             for batch in batches:
@@ -212,6 +317,7 @@ def train(docs: DataFrame, p: LmParams = LmParams()) -> Network:
         if mean is None:
             break  # no text at all
         network.load(mean)
+    _list_words(network, counts)
     return network
 
 
@@ -225,20 +331,33 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        from pyspark import TaskContext
+
+        own, key = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for i, j, h, bounds in _hashes(batch.column("text")):
-                whole = np.rint(own.log_probabilities(*own.neighbours(h, bounds)) * UNIT).astype(np.int64)
-                total = np.concatenate([[0], np.cumsum(whole)])
-                n = np.diff(bounds)
-                sums = (total[bounds[1:]] - total[bounds[:-1]]) / UNIT
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(sums), mean, pa.array(np.exp(-sums / np.maximum(n, 1)), mask=n == 0)],
-                    ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood", "perplexity"],
-                )
-
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double, perplexity double")
+                symbols, near = own.neighbours(h, bounds)
+                whole = np.rint(own.log_probabilities(symbols, near) * UNIT).astype(np.int64)
+                inside, unlisted = own.within_class(h, symbols)
+                total = np.concatenate([[0], np.cumsum(whole + inside)])
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(total[bounds[1:]] - total[bounds[:-1]])]
+                if joined:
+                    some = np.concatenate([[0], np.cumsum(unlisted)])[bounds]
+                    columns += [pa.array(np.arange(key, key + j - i)), pa.ListArray.from_arrays(pa.array(some.astype(np.int32)), pa.array(h[unlisted].view(np.int64)))]
+                    key += j - i
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = network.rare is not None
+    kinds = {"doc_id": "long", "n_tokens": "long", "units": "long"} | ({"key": "long", "rest": "array<long>"} if joined else {})
+    names = list(kinds)
+    rows = texts(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    if joined:
+        rows = written(rows, "scores")
+        more = rows.select("key", F.explode("rest").alias("word")).join(network.rare, "word").groupBy("key").agg(F.sum("units").alias("more"))
+        rows = rows.join(more, "key", "left").withColumn("units", F.col("units") + F.coalesce("more", F.lit(0)))
+    total = F.col("units") / F.lit(float(UNIT))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"), F.exp(-mean).alias("perplexity"))
 
 
 def pseudo_likelihood(docs: DataFrame, p: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

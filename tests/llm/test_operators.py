@@ -54,6 +54,24 @@ def test_lm_is_the_same_twice(docs):
     assert np.array_equal(lm_scoring.train(docs, p).flat(), lm_scoring.train(docs, p).flat())
 
 
+def test_lm_every_word_has_its_own_probability(spark):
+    """Words of one class are told apart by their counts; the vocabulary follows the corpus; counts may be listed or joined."""
+    text = " ".join(["often"] * 40 + ["seldom"] * 8 + ["pair"] * 2 + ["once"])
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "often seldom"), (None, "pair")], "doc_id long, text string")
+    probe = spark.createDataFrame(list(enumerate(["often", "seldom", "pair", "once", "never"])), "doc_id long, text string")
+    count = {"often": 81, "seldom": 17, "pair": 5, "once": 2, "never": 1}
+    for listed in (100, 1, 0):
+        p = lm_scoring.LmParams(words=0, classes=1, rounds=0, listed=listed)
+        net = lm_scoring.train(docs, p)
+        assert (net.rare is not None) == (listed < 4)
+        got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(probe, net).collect()}
+        for i, n in enumerate(count.values()):
+            assert got[i] == pytest.approx(math.log(n / 106), abs=1e-4)
+        assert [r.n_tokens for r in lm_scoring.score(docs, net).orderBy("n_tokens").collect()] == [1, 2, 51, 51]
+    net = lm_scoring.train(docs, lm_scoring.LmParams(words=1, own_count=5, classes=2, rounds=0))
+    assert len(net.sorted) == 3  # often, seldom and pair
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
