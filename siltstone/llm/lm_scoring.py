@@ -5,7 +5,7 @@ corpus; all others fall into hashed classes. The network adds an embedding for e
 goes down a Huffman tree of the symbols (hierarchical softmax), so that a token costs about as many steps as it has bits. A
 word of a class then has its own probability in it, from the counts over all documents: P(word) = P(class) P(word | class).
 The tree starts from the symbol frequencies of the whole corpus and is trained in numpy, data-parallel: in each round every
-task trains on a fixed share of the positions of its own documents, and the parameters are averaged, weighted by examples. A
+task trains on all positions of its own documents, and the parameters are averaged, weighted by examples. A
 document's score is the sum of the log-probabilities of its tokens, each given its neighbours.
 """
 
@@ -39,8 +39,8 @@ class LmParams:
     #: Neighbours on each side.
     reach: int = 2
     dim: int = 16
-    #: Every so many-th position (by hash) is trained on, in all documents.
-    one_in: int = 16
+    #: Trained on: all positions (1), or every so many-th by a hash of the document, the word and its place.
+    one_in: int = 1
     rounds: int = 2
     rate: float = 0.15
     batch: int = 512
@@ -230,6 +230,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give(parts)
 
 
+def _trained_on(ids: pa.Array, h: np.ndarray, bounds: np.ndarray, one_in: int) -> np.ndarray:
+    """The positions to train on. With the document in the hash, no word is left out at the same place of all documents."""
+    row = at.row_of(bounds)
+    place = (np.arange(len(h)) - bounds[:-1][row]).astype(np.uint64)
+    doc = at.mix(ids.fill_null(0).to_numpy().view(np.uint64) + np.uint64(1))
+    return np.flatnonzero(at.mix((h + place * np.uint64(0x9E3779B97F4A7C15)) ^ doc[row]) % np.uint64(one_in) == 0)
+
+
 def _averaged(trained: DataFrame, size: int) -> np.ndarray | None:
     """The mean of the tasks' parameters: sums of groups of tasks first, then of the groups."""
 
@@ -284,7 +292,7 @@ def _list_words(network: Network, counts: DataFrame) -> None:
 
 
 def train(docs: DataFrame, p: LmParams = LmParams()) -> Network:
-    """docs: doc_id, text. Symbols and frequencies from all words, parameters from all documents' sampled positions."""
+    """docs: doc_id, text. Symbols and frequencies from all words, parameters from all positions of all documents."""
     prepare(docs.sparkSession)
     counts = written(docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     network = _network(counts, p)
@@ -298,10 +306,9 @@ def train(docs: DataFrame, p: LmParams = LmParams()) -> Network:
             squares = [np.full_like(own.inner, 1e-4), np.full_like(own.outer, 1e-4), np.full_like(own.bias, 1e-4)]
             seen = 0
             for batch in batches:
-                for _, _, h, bounds in _hashes(batch.column("text")):
+                for i, j, h, bounds in _hashes(batch.column("text")):
                     y, near = own.neighbours(h, bounds)
-                    place = (np.arange(len(h)) - bounds[:-1][at.row_of(bounds)]).astype(np.uint64)
-                    use = np.flatnonzero(at.mix(h + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(p.one_in) == 0)
+                    use = _trained_on(batch.column("doc_id").slice(i, j - i), h, bounds, p.one_in)
                     own.train(y[use], near[:, use], squares)
                     seen += len(use)
             if seen:

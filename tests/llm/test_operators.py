@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -72,6 +73,14 @@ def test_lm_every_word_has_its_own_probability(spark):
     assert len(net.sorted) == 3  # often, seldom and pair
 
 
+def test_lm_trains_on_all_positions():
+    h, bounds = np.arange(1000, dtype=np.uint64) % np.uint64(500), np.array([0, 500, 1000])
+    used = lambda n: lm_scoring._trained_on(pa.array([3, None]), h, bounds, n)
+    assert np.array_equal(used(lm_scoring.LmParams().one_in), np.arange(1000))
+    some = used(4)
+    assert 150 < len(some) < 350 and set(some[some < 500]) != set(some[some >= 500] - 500)  # copies give other picks
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
