@@ -44,6 +44,23 @@ def test_stages(spark, docs, labels, sf_dir):
             check_packing(now.collect(), before, library_ids("word_bpe_49k.json", before), 4096)
 
 
+def test_near_duplicates_from_80_percent(spark, docs, sf_dir):
+    """Pairs of 200 words, of which the second has from 1 to 14 changed: similarities from 0.95 down to below 0.60."""
+    data = []
+    for i in range(140):
+        text = [f"p{i}w{j}" for j in range(200)]
+        data.append((i, " ".join(text)))
+        for j in range(1 + i % 14):
+            text[5 + 14 * j] = f"changed{j}"
+        data.append((1000 + i, " ".join(text)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, sf_dir).collect())
+    want = {p: sorted(d for d, _, c in near_brute(data, percent=p) if d == c) for p in (80, 85)}
+    assert got == want[80] != want[85]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, _, c in near_brute(rows(docs), percent=80) if d == c)
+
+
 def test_run_equals_the_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert P.path("word_bpe_49k.json")
