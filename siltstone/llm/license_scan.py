@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
 
-Scanning uses DataFrame functions only. Units are the lines of a text that hold a word no notice goes without (an anchor),
-each alone and together with the two lines after it. A unit's features are its distinct word 1-, 2- and 3-grams, hashed.
+Scanning uses DataFrame functions only. An anchor is a word or phrase no notice goes without; it is looked for in the words of
+the whole text, so that line breaks, comment marks and doubled spaces don't matter. Units are windows of words around each
+anchor, which reach before and after it, and the lines with an anchor, each alone and together with the two lines after it. A
+unit's features are its distinct word 1-, 2- and 3-grams, hashed.
 Multinomial logistic regression gives the odds of each licence family and of 'unknown'; it is trained on the driver from the
 notices below, worn down and padded with foreign words, against near misses. The probability that a family needs is
 calibrated on other worn copies and near misses. A prediction stands only if the unit also holds most word pairs of one of
-the family's templates; that needs an anchor, so lines without one can be left out.
+the family's templates; that needs an anchor, so text without one can be left out.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ NEAR_MISSES = [
     "SPDX-License-Identifier: LicenseRef-Proprietary", "licensed under the terms agreed with the owner", "under the license of the county, section 3",
 ]
 ANCHORS = r"(?i)licen[cs]e|spdx|creative commons|public domain|permission is hereby|redistribution and use|\bcc0?[ -]"
+#: A text with an anchor has one of these words.
+ROUGH = r"(?i)licen[cs]e|spdx|commons|domain|hereby|redistribution|\bcc0?\b"
+#: Words before and after an anchor; together they hold each template, wherever its anchor stands.
+WINDOWS = ((2, 5), (10, 4), (1, 15), (10, 9))
 TOKEN = r"[^\p{L}\p{N}.+]+"
 
 
@@ -60,6 +66,27 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " +"), lambda x: x != "")
 
 
+def _anchors(words: Column) -> Column:
+    """Indices of the words at which an anchor starts."""
+
+    def anchor(w: Column, i: Column) -> Column:
+        second, third = F.get(words, i + 1), F.get(words, i + 2)
+        single = w.rlike(r"licen[cs]e|spdx|(^|[.+])cc0?$")
+        double = (w.endswith("creative") & second.startswith("commons")) | (w.endswith("public") & second.startswith("domain"))
+        triple = (w.endswith("permission") & (second == "is") & third.startswith("hereby")) | (w.endswith("redistribution") & (second == "and") & third.startswith("use"))
+        return F.when(single | double | triple, i)
+
+    return F.filter(F.transform(words, anchor), lambda i: i.isNotNull())
+
+
+def _windows(words: Column, at: Column) -> Column:
+    def around(before: int, after: int):
+        start = lambda i: F.greatest(i - before, F.lit(0))
+        return lambda i: F.slice(words, start(i) + 1, i + after + 1 - start(i))
+
+    return F.concat(*[F.transform(at, around(*x)) for x in WINDOWS])
+
+
 def _pairs(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
 
@@ -132,7 +159,7 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     """doc_id, n_candidates, family, families, probability, containment for every row.
 
     families: the confirmed families of all units, ascending; family: the most probable confirmed one (of equals the first by
-    name), 'unknown' if the text has candidate lines but none confirmed, 'none' without candidate lines (also for null and
+    name), 'unknown' if the text has candidates (anchors) but none confirmed, 'none' without candidates (also for null and
     empty texts). probability and containment: the largest of that family's confirmed units, null without one. Whole texts
     are scanned; repeated rows give the same; an empty table gives an empty result. Other columns are not looked at.
     """
@@ -144,12 +171,15 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     pairs = docs.sparkSession.range(1).select(F.transform(templates, lambda t: F.transform(t, lambda s: _pairs_of(_words(s)))).alias("t"))
     names = F.array(*[F.lit(x) for x in model.families])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("_lines"))
-    own = own.withColumn("_lines", F.when(F.exists("_lines", lambda x: x.rlike(ANCHORS)), F.col("_lines")).otherwise(F.array().cast("array<string>")))
-    at = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(ANCHORS), i)), lambda i: i.isNotNull())
-    own = own.withColumn("_at", at).withColumn("n_candidates", F.size("_at").cast("long"))
-    units = F.concat(F.transform("_at", lambda i: F.get("_lines", i)), F.transform("_at", lambda i: F.concat_ws(" ", F.slice("_lines", i + 1, 3))))
-    own = own.withColumn("_units", F.transform(F.array_distinct(units), lambda x: _words(x))).withColumn("_t", pairs.scalar()).withColumn("_weights", flat)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    nothing = F.array().cast("array<string>")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(ROUGH), text).otherwise("").alias("_text"))
+    own = own.select("doc_id", F.split("_text", "\n").alias("_lines"), F.when(F.col("_text") != "", _words(F.col("_text"))).otherwise(nothing).alias("_words"))
+    own = own.withColumn("_at", _anchors(F.col("_words"))).withColumn("n_candidates", F.size("_at").cast("long"))
+    own = own.withColumn("_line", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(ANCHORS), i)), lambda i: i.isNotNull()))
+    lines = F.concat(F.transform("_line", lambda i: F.get("_lines", i)), F.transform("_line", lambda i: F.concat_ws(" ", F.slice("_lines", i + 1, 3))))
+    units = F.concat(F.transform(F.array_distinct(lines), lambda x: _words(x)), _windows(F.col("_words"), F.col("_at")))
+    own = own.withColumn("_units", F.array_distinct(units)).withColumn("_t", pairs.scalar()).withColumn("_weights", flat)
     logits = lambda f: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.aggregate(f, F.get(bias, c), lambda s, b: s + F.get(F.col("_weights"), (b * k + c).cast("int"))))
     own = own.withColumn("_units", F.transform("_units", lambda w: F.struct(logits(_features(w, p)).alias("z"), _pairs_of(w).alias("pairs"))))
 

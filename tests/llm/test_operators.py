@@ -470,6 +470,20 @@ def test_licenses(spark, docs, odd, none):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 
 
+def test_licenses_across_line_breaks_and_in_long_lines(spark):
+    filler = " ".join(f"word{i} and{i % 7} then{i % 13}" for i in range(1700))
+    cases = {
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one": "MPL-2.0",
+        "# Permission is\n# hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated files": "MIT",
+        "This is free and unencumbered software released into the public\n  domain.": "Unlicense",
+        " * Redistribution  and\n * use in source and binary forms, with or without\n * modification, are permitted": "BSD",
+        f"{filler} Licensed under the Apache License, Version 2.0 {filler}": "Apache-2.0",
+        "the public\nworks of the domain": "none",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.family for r in license_scan.scan(df).collect()} == dict(enumerate(cases.values()))
+
+
 # shared ----------------------------------------------------------------------------------------------------------------
 
 
