@@ -14,7 +14,7 @@ from siltstone.functions.text import tokens
 from . import graph as G
 from .search import postings
 
-#: Dictionary entries that are sent to every task; larger dictionaries are joined by words.
+#: Dictionary entries, about, that are sent to every task in one automaton; larger dictionaries are split into several.
 BROADCAST_ENTRIES = 200_000
 
 
@@ -25,19 +25,24 @@ def _word(c: str) -> bool:
 def match_dictionary(docs: DataFrame, key: str, text: str, entries: DataFrame, entry: str) -> DataFrame:
     """key, entry, n: how often each entry stands in each text on word boundaries, case aside.
 
-    A dictionary of at most BROADCAST_ENTRIES goes to the tasks as one automaton; a larger one is met by an equi-join on runs
-    of as many words as its entries have.
+    Entries go to the tasks as automata of about BROADCAST_ENTRIES each, one after the other; a larger dictionary takes more
+    passes over the texts, with the same definition of a match.
     """
     entries = entries.select(F.lower(F.trim(entry)).alias("entry")).filter("entry <> ''").distinct()
     few = [r.entry for r in entries.limit(BROADCAST_ENTRIES + 1).collect()]
-    if len(few) > BROADCAST_ENTRIES:
-        sizes = [r[0] for r in entries.select(F.size(F.split("entry", " ")).alias("n")).distinct().collect()]
-        words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-        runs = docs.select(F.col(key), words.alias("_w"))
-        run_of = lambda n: lambda i: F.array_join(F.slice("_w", i, n), " ")
-        of_size = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), run_of(n))).otherwise(F.array().cast("array<string>"))
-        grams = F.flatten(F.array(*[of_size(n) for n in sizes]))
-        return runs.select(key, F.explode(grams).alias("entry")).join(entries, "entry").groupBy(key, "entry").agg(F.count("*").alias("n"))
+    if len(few) <= BROADCAST_ENTRIES:
+        return _match_part(docs, key, text, few)
+    entries = entries.persist()
+    parts = -(-entries.count() // BROADCAST_ENTRIES)
+    found = None
+    for k in range(parts):
+        part = _match_part(docs, key, text, [r.entry for r in entries.filter(F.pmod(F.xxhash64("entry"), F.lit(parts)) == k).collect()])
+        found = part if found is None else found.unionByName(part)
+    entries.unpersist()
+    return found
+
+
+def _match_part(docs: DataFrame, key: str, text: str, few: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

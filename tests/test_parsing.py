@@ -101,3 +101,14 @@ def test_modes(spark, sf_dir):
 def test_boundary_is_about_letters_of_any_alphabet(spark):
     at = lambda t, a, b: spark.range(1).select(parsing.on_word_boundary(F.lit(t), F.lit(a), F.lit(b))).first()[0]
     assert at("ab", 0, 2) and not at("éab", 1, 3) and at("é ab!", 2, 4)
+
+
+def test_large_dictionaries_match_as_small_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "AT&T and O'Neil write C++ at U.S. Bank"), (2, "the new-york times of new  york"), (2, "new york, AT&T, at&t")], "k long, t string")
+    names = spark.createDataFrame([("AT&T",), ("O'Neil",), ("C++",), ("U.S. Bank",), ("new york",), ("new  york",), ("york",)], "e string")
+    found = lambda: sorted((r.k, r.entry, r.n) for r in matching.match_dictionary(docs, "k", "t", names, "e").collect())
+    small = found()
+    assert small == sorted([(1, "at&t", 1), (1, "o'neil", 1), (1, "c++", 1), (1, "u.s. bank", 1), (2, "new  york", 1), (2, "york", 2), (2, "york", 1), (2, "new york", 1), (2, "at&t", 2)])
+    for limit in (6, 2, 1):
+        monkeypatch.setattr(matching, "BROADCAST_ENTRIES", limit)
+        assert found() == small
