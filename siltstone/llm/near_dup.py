@@ -39,8 +39,8 @@ class NearDupParams:
     rows: int = 8
     #: Members of a block, on average, where an unresolved bucket is taken up again.
     block: int = 128
-    #: Percent of equal bins from which a pair is confirmed then: standard errors below the threshold of 85: more than four.
-    sketch_percent: int = 76
+    #: Percent of equal bins from which a pair is confirmed then; a pair at the threshold of 85 has fewer with probability 9e-6.
+    sketch_percent: int = 75
     #: Tasks over which the rows of one set are dealt.
     salts: int = 32
     #: Up to so many documents in shared buckets, their ids (16 MB) are broadcast to pick out their texts; beyond, both are shuffled.

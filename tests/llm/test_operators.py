@@ -147,6 +147,13 @@ def test_densified_signatures_estimate_likeness():
     assert (sig != 0).all() and abs((sig[0] == sig[1]).mean() - true) < 0.15
 
 
+def test_sketches_lose_few_pairs_at_the_threshold():
+    p = near_dup.NearDupParams()
+    bins, same = p.bands * p.rows, p.percent / 100 + (1 - p.percent / 100) / 256
+    fewest = -(-p.sketch_percent * bins // 100)
+    assert sum(math.comb(bins, k) * same**k * (1 - same) ** (bins - k) for k in range(fewest)) < 1e-5
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
