@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
-from .shared import partitions, prepare, texts
+from .shared import partitions, prepare, texts, written
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,16 @@ class SubstringParams:
     window: int = 13
     #: Words of a minimiser.
     minimiser: int = 3
-    #: Bytes of text for which a bucket is made; its super-k-mers have about three times as many.
-    bucket_bytes: int = 3 << 20
+    #: Bytes of text for which a bucket is made; its super-k-mers have about three times as many. Many buckets a task even out.
+    bucket_bytes: int = 3 << 19
     #: Bytes of packed strings that a map task gathers before it writes them to the buckets.
     flush_bytes: int = 48 << 20
+    #: Up to so many doc_ids of several rows (16 MB) are broadcast to mark their rows; beyond, both are shuffled.
+    broadcast_ids: int = 2_000_000
 
 
 BUCKET_SCHEMA = "bucket long, payload binary"
-FLAG_SCHEMA = "doc_id long, version int, at int, n int"
+FLAG_SCHEMA = "doc_id long, version long, at int, n int"
 
 
 def _sliding_leftmost(key: np.ndarray, width: int) -> np.ndarray:
@@ -141,7 +143,7 @@ def _unpack(payload: bytes):
     body = zstandard.ZstdDecompressor().decompress(payload)
     s, o = np.frombuffer(body, np.int64, 2)
     out, here = [], 16
-    for n, kind in ((s, np.int32), (o, np.int32), (o, np.int64), (o, np.int32), (o, np.int32)):
+    for n, kind in ((s, np.int32), (o, np.int32), (o, np.int64), (o, np.int64), (o, np.int32)):
         out.append(np.frombuffer(body, kind, n, here))
         here += n * np.dtype(kind).itemsize
     return (*out, body[here:])
@@ -234,6 +236,17 @@ def flagged_windows(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     return docs.mapInArrow(pack, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(check, FLAG_SCHEMA)
 
 
+def _versioned(own: DataFrame, p: SubstringParams) -> DataFrame:
+    """own (doc_id, _id, text) with version, which tells rows of one doc_id apart: a 64-bit hash of text and size, 0 for the only row of an id."""
+    hashed = F.xxhash64("text", F.octet_length("text"))
+    repeated = written(own.filter("_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
+    n = repeated.count()
+    if not n:
+        return own.withColumn("version", F.when(F.col("_id").isNull(), hashed).otherwise(F.lit(0).cast("long")))
+    own = own.join(F.broadcast(repeated) if n <= p.broadcast_ids else repeated, "doc_id", "left")
+    return own.withColumn("version", F.when(F.col("_id").isNull() | F.col("_n").isNotNull(), hashed).otherwise(F.lit(0).cast("long"))).drop("_n")
+
+
 def dedup_substrings(docs: DataFrame, p: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256 for every row.
 
@@ -244,7 +257,7 @@ def dedup_substrings(docs: DataFrame, p: SubstringParams = SubstringParams(), id
     """
     prepare(docs.sparkSession)
     last = F.lit((1 << 63) - 1)
-    own = texts(docs, id_col, text_col, row).withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", last)).withColumn("version", F.hash("text"))
+    own = _versioned(texts(docs, id_col, text_col, row).withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", last)), p)
     flags = flagged_windows(own.select("doc_id", "version", "text"), p)
     runs = flags.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
     joined = own.join(runs, ["doc_id", "version"], "left").select(
