@@ -5,7 +5,8 @@ top bits of a hash name its bin, and each bin keeps its least hash. An empty bin
 pseudo-random order of its own (optimal densification), so that all signatures are full and comparable bin by bin. Bins are
 grouped in bands; documents that agree in a band share a bucket.
 
-Documents with equal sets are first brought together under their smallest doc_id. In each bucket the smallest of these is a
+Documents with equal sets, confirmed by a 128-bit cryptographic digest of the whole set, are first brought together under
+their smallest doc_id. In each bucket the smallest of these is a
 hub, and only edges from the hub to the others become candidates: as many as the bucket has members, never all pairs. Links
 are confirmed on the full sets, and linked documents are joined into components.
 
@@ -17,6 +18,7 @@ agree in nearly enough bins are given out, and they are confirmed on the full se
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -116,13 +118,13 @@ def _sketches(p: NearDupParams):
                 bucket = np.zeros(sig.shape[:2], np.uint64) + np.arange(p.bands, dtype=np.uint64)
                 for k in range(p.rows):
                     bucket = at.mix(bucket + sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-                total = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(np.stack([at.mix(codes), at.mix(codes ^ np.uint64(0x5DEECE66D))]), axis=1, dtype=np.uint64)], 1)
+                body = memoryview(codes.astype("<u8").tobytes())
+                digest = [hashlib.blake2b(body[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 low = np.ascontiguousarray((sig.reshape(j - i, -1) & np.uint64(255)).astype(np.uint8))
-                set_a, set_b = (total[x][bounds[1:]] - total[x][bounds[:-1]] for x in (0, 1))
                 offsets = pa.array(np.arange(j - i + 1, dtype=np.int32) * p.bands)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bucket.reshape(-1).view(np.int64))), pa.array([x.tobytes() for x in low], pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets", "sketch"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bucket.reshape(-1).view(np.int64))), pa.array([x.tobytes() for x in low], pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "buckets", "sketch"],
                 )
 
     return run
@@ -139,16 +141,25 @@ def _sets(p: NearDupParams):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) for all ends of edges (a, b), by alternating large and small stars."""
+def _with_least(edges: DataFrame, least: DataFrame, salts: int) -> DataFrame:
+    """edges (a, b) joined with least (a, m): a hub's edges are dealt over several tasks, and its line is sent to each."""
+    sent = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(sent, ["a", "salt"]).drop("salt")
+
+
+def components(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """node, component (its smallest reachable node) for all ends of edges (a, b), by alternating large and small stars.
+
+    Least neighbours are combined before they are shuffled, and joined back to salts parts of each node's edges.
+    """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        large = _with_least(both, least, salts).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = _with_least(large, least, salts)
         edges = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -218,9 +229,11 @@ def links(reps: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     member = written(placed.join(mixed, "bucket").join(reps.select("doc_id", "sketch", "buckets"), "doc_id"), "unresolved")
     one = F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "buckets", (F.col("component") != F.col("main")).alias("few")))
     number = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    every = member.groupBy("bucket", number("of_all").alias("block")).agg(one.alias("all")).drop("block")
-    few = member.filter("component <> main").groupBy("bucket", number("of_few").alias("block")).agg(one.alias("few")).drop("block")
-    more = few.join(every, "bucket").select("bucket", "few", "all").mapInArrow(_compare(p), "a long, b long").distinct()
+    # The blocks of a bucket's few are dealt over up to so many tasks, and all of its blocks are sent to each of these.
+    every = member.groupBy("bucket", "of_few", number("of_all").alias("block")).agg(one.alias("all"))
+    every = every.withColumn("deal", F.explode(F.sequence(F.lit(0), F.least("of_few", F.lit(p.salts)).cast("int") - 1))).select("bucket", "deal", "all")
+    few = member.filter("component <> main").groupBy("bucket", number("of_few").alias("block")).agg(one.alias("few")).withColumn("deal", F.pmod("block", F.lit(p.salts)).cast("int")).drop("block")
+    more = few.join(every, ["bucket", "deal"]).select("bucket", "few", "all").mapInArrow(_compare(p), "a long, b long").distinct()
     more = written(_confirmed(written(more, "candidates"), sets, p), "links")
     return components(edges.unionByName(more)) if not more.isEmpty() else found
 
@@ -236,9 +249,9 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col:
     """
     prepare(docs.sparkSession)
     own = texts(docs, id_col, text_col)
-    rows = written(own.mapInArrow(_sketches(p), "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>, sketch binary"), "sketches")
+    rows = written(own.mapInArrow(_sketches(p), "doc_id long, n_shingles long, digest binary, buckets array<long>, sketch binary"), "sketches")
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    keys = ["set_a", "set_b", "n_shingles"]
+    keys = ["digest", "n_shingles"]
     classes = some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     # A class may hold a large part of all rows, so its rows are dealt over several tasks, and its line is sent to each.
     classes = classes.select(*keys, "rep", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("salt"))
