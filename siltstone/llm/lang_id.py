@@ -31,7 +31,7 @@ START = 10
 
 @dataclass(frozen=True)
 class LangParams:
-    #: Training texts a language, on average: rows are taken by a hash of doc_id at the rate docs_per_lang / rows. A bound on the labelled sample.
+    #: Training texts a language, on average: rows are taken by a hash of doc_id (of the text where that is null) at the rate docs_per_lang / rows. A bound on the labelled sample.
     docs_per_lang: int = 600
     #: Contexts of 2 and 3 bytes are kept from so many occurrences on (in a language), of those the most frequent.
     min_count: int = 24
@@ -60,7 +60,8 @@ def training_counts(train: DataFrame, p: LangParams) -> DataFrame:
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = train.groupBy("lang").agg(F.count("*").alias("rows"))  # a row for each language
     rate = F.least(F.lit(1.0), F.lit(float(p.docs_per_lang)) / F.col("rows"))
-    sample = train.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < rate * (1 << 30))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    sample = train.join(F.broadcast(sizes), "lang").filter(F.pmod(own, F.lit(1 << 30)) < rate * (1 << 30))
     return sample.select("lang", "text").mapInArrow(_pairs, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
