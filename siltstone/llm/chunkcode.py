@@ -4,7 +4,7 @@ Byte-level tokenizers split a text by a pattern before they merge, and no piece
 after another character. So a text without doubled or outer white space is cut before each space and line feed into chunks,
 whose ids don't depend on what stands around. The chunks of a block are one Arrow array over the texts' own bytes, whose
 distinct values Arrow finds; a bounded table keeps the ids of chunks, and when it is full, of those met more than once.
-Texts with other white space are encoded whole.
+Texts with other white space, and texts in which one of the tokenizer's added tokens is spelled out, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from .arrowtext import gather, utf8
 
@@ -56,8 +57,8 @@ def odd_rows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """encode: list of strings to list of id sequences. With loose, white space makes no ids and all texts may be cut at it."""
 
-    def __init__(self, encode: Callable[[list[str]], list], loose: bool = False, keep: int = 800_000):
-        self.encode, self.loose, self.keep = encode, loose, keep
+    def __init__(self, encode: Callable[[list[str]], list], loose: bool = False, keep: int = 800_000, added: tuple[str, ...] = ()):
+        self.encode, self.loose, self.keep, self.added = encode, loose, keep, added
         self.number: dict = {}
         self.flat, self.start, self.length, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -66,6 +67,8 @@ class ChunkEncoder:
         column = pa.array(column, pa.string()) if isinstance(column, list) else column
         buf, offs = utf8(column)
         odd = np.zeros(len(column), bool) if self.loose else odd_rows(buf, offs)
+        for token in self.added:
+            odd |= pa.compute.match_substring(column, token).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._cut(buf, offs)
         sizes = np.zeros(len(column), np.int64)
@@ -129,10 +132,17 @@ class ChunkEncoder:
         self.met = np.zeros(len(stay), np.int64)
 
 
+def added_tokens(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer at path takes for one token wherever they stand."""
+    from tokenizers import Tokenizer
+
+    return tuple(x.content for x in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
 def library_encoder(path: str, between: str) -> Callable[[list[str]], list]:
-    """The tokenizers library with the file at path; special tokens in a text are ordinary text.
+    """The tokenizers library with the file at path, add_special_tokens=False, and else as it is.
 
-    Short strings are encoded many at a time, joined by between: that must become exactly one id of its own wherever it
+    A special token that is spelled out in a text gets its own id, as the library gives it. Short strings are encoded many at a time, joined by between: that must become exactly one id of its own wherever it
     stands. Strings in which it occurs, and groups for which the ids don't split up as expected, are encoded singly.
     """
     import os
@@ -141,9 +151,8 @@ def library_encoder(path: str, between: str) -> Callable[[list[str]], list]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     (mark,) = tokenizer.encode(between, add_special_tokens=False).ids
-    core = between.strip(" ")
+    apart = (between.strip(" "), *added_tokens(path))
 
     def singly(many: list[str]) -> list:
         return [x.ids for x in tokenizer.encode_batch_fast(many, add_special_tokens=False)]
@@ -154,7 +163,7 @@ def library_encoder(path: str, between: str) -> Callable[[list[str]], list]:
         out: list = []
         for k in range(0, len(many), 500):
             group = many[k : k + 500]
-            if any(core in x or len(x) > 200 for x in group):
+            if any(len(x) > 200 or any(s in x for s in apart) for x in group):
                 out += singly(group)
                 continue
             ids = np.array(tokenizer.encode_batch_fast([between.join(group)], add_special_tokens=False)[0].ids, np.uint32)

@@ -3,9 +3,10 @@
 Documents are taken in ascending doc_id order, dealt out by ranges. Cuts may fall after a document, after a token that ends a
 sentence, or, where neither comes in time, anywhere. Over the possible cuts in order, the best cost up to cut j is
 min(cost(i) + capacity - (pos(j) - pos(i))) + penalty(j) over all i with pos(j) - pos(i) <= capacity: padding of the sequence
-between i and j plus what cutting at j costs. As the minimum only needs cost(i) + pos(i) over a sliding range of i, a monotone
-queue gives every step in constant time. The sequence still open at the end of a block of documents goes on in the next
-block. What is left at the end of a range is cut into sequences whose sizes are powers of two, which need no padding.
+between i and j plus what a sequence and a cut at j cost. As the minimum only needs cost(i) + pos(i) over a sliding range of
+i, a monotone queue gives every step in constant time. A sequence whose size is a power of two needs no padding, so the few i
+at such a distance are priced besides. The sequence still open at the end of a block of documents goes on in the next block.
+In the last sequence's reach before the end of a range, cuts may fall anywhere, at their price.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .chunkcode import ChunkEncoder, library_encoder
+from .chunkcode import ChunkEncoder, added_tokens, library_encoder
 from .shared import partitions, prepare, texts
 
 
@@ -33,6 +34,8 @@ class PackingParams:
     #: Padding tokens that one cut is worth: after a sentence, and anywhere else.
     sentence_penalty: int = 4
     hard_penalty: int = 64
+    #: Padding tokens that one more sequence is worth.
+    sequence_price: int = 32
     #: Tokens that are planned together.
     block_tokens: int = 1 << 18
 
@@ -48,30 +51,48 @@ def encoder(path: str) -> tuple[ChunkEncoder, np.ndarray]:
         vocabulary = Tokenizer.from_file(path).get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[v for k, v in vocabulary.items() if k.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
-        _encoders[path] = ChunkEncoder(library_encoder(path, between=" ★ "), loose=True, keep=400_000), ends
+        _encoders[path] = ChunkEncoder(library_encoder(path, between=" ★ "), loose=True, keep=400_000, added=added_tokens(path)), ends
     return _encoders[path]
 
 
-def plan_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int]:
-    """Indices of the chosen cuts, ascending, the last place included; what stands after the last but one is left open and not padded.
+def _exact(pos: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
+    """For each cut, the earlier cuts at a distance of a power of two below capacity, one after the other, and their bounds."""
+    cuts, before = [], []
+    for k in range((capacity - 1).bit_length()):
+        i = np.searchsorted(pos, pos - (1 << k))
+        found = np.flatnonzero(pos[i] == pos - (1 << k))
+        cuts.append(found), before.append(i[found])
+    cuts, before = np.concatenate(cuts), np.concatenate(before)
+    order = np.argsort(cuts, kind="stable")
+    return before[order].tolist(), np.searchsorted(cuts[order], np.arange(len(pos) + 1)).tolist()
 
-    pos: possible cuts, ascending, from 0 on, at most capacity apart.
+
+def plan_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int, price: int = 0, closed: bool = False) -> list[int]:
+    """Indices of the chosen cuts, ascending, the last place included.
+
+    pos: possible cuts, ascending, from 0 on, at most capacity apart. A sequence costs price and its padding, none at a power
+    of two. What stands after the last cut but one is left open and costs nothing; with closed, it is a sequence like others.
     """
-    p, extra = pos.tolist(), penalty.tolist()
+    p, extra = pos.tolist(), (penalty + price).tolist()
+    exact, edges = _exact(pos, capacity) if len(p) > 1 else ([], [0, 0])
     cost, back = [0] * len(p), [0] * len(p)
     queue, keys = deque([0]), deque([0])
     for j in range(1, len(p)):
         low = p[j] - capacity
         while p[queue[0]] < low:
             queue.popleft(), keys.popleft()
-        back[j] = queue[0]
-        cost[j] = c = keys[0] + capacity - p[j] + extra[j]
+        i, c = queue[0], keys[0] + capacity - p[j]
+        for x in exact[edges[j] : edges[j + 1]]:  # sizes that need no padding
+            if cost[x] < c:
+                i, c = x, cost[x]
+        back[j] = i
+        cost[j] = c = c + extra[j]
         key = c + p[j]
         while keys and keys[-1] >= key:
             queue.pop(), keys.pop()
         queue.append(j), keys.append(key)
     chosen, j = [], len(p) - 1
-    if j:
+    if j and not closed:
         near = range(int(np.searchsorted(pos, p[j] - capacity)), j)
         back[j] = min(near, key=lambda i: (cost[i], -i))
     while j:
@@ -80,9 +101,11 @@ def plan_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int]:
     return chosen[::-1]
 
 
-def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, p: PackingParams) -> tuple[np.ndarray, np.ndarray]:
-    """Places where ids may be cut, and what each costs."""
+def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, p: PackingParams, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places where ids may be cut, and what each costs; with last, all places within reach of the end."""
     cost = np.full(len(ids) + 1, -1, np.int64)
+    if last:
+        cost[max(len(ids) - p.capacity, 0) :] = p.hard_penalty
     cost[np.flatnonzero(sentence_end[ids]) + 1] = p.sentence_penalty
     cost[len(ids)] = 0
     cost[doc_ends] = 0
@@ -113,17 +136,10 @@ class Packer:
     def pieces(self, last: bool) -> list[list]:
         """Columns of the pieces of all sequences but the open one; with last, of all."""
         ends = np.cumsum(self.left)
-        pos, penalty = possible_cuts(self.ids, ends, self.sentence_end, self.p)
-        cuts = pos[plan_cuts(pos, penalty, self.p.capacity)].tolist()
+        pos, penalty = possible_cuts(self.ids, ends, self.sentence_end, self.p, last)
+        cuts = pos[plan_cuts(pos, penalty, self.p.capacity, self.p.sequence_price, last)].tolist()
         if not last:
             cuts = cuts[:-1]
-        elif cuts:
-            at_, end = (cuts[-2] if len(cuts) > 1 else 0), cuts.pop()
-            while at_ < end and end - at_ < self.p.capacity:  # the rest: powers of two
-                at_ += 1 << (end - at_).bit_length() - 1
-                cuts.append(at_)
-            if at_ < end:
-                cuts.append(end)
         out: list[list] = [[] for _ in range(7)]
         stop = cuts[-1] if cuts else 0
         if stop:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .chunkcode import ChunkEncoder, library_encoder
+from .chunkcode import ChunkEncoder, added_tokens, library_encoder
 from .shared import partitions, prepare, texts, written
 
 MAGIC = b"WVM1"
@@ -167,7 +167,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(library_encoder(path, between="\x0b"))
+        _encoders[path] = ChunkEncoder(library_encoder(path, between="\x0b"), added=added_tokens(path))
     return _encoders[path]
 
 

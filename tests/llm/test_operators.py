@@ -305,7 +305,6 @@ def test_window_entropies():
 
 def library_ids(name, data):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for _, x in data], add_special_tokens=False)]
 
 
@@ -326,6 +325,18 @@ def test_token_files(docs, odd, none):
     assert wavelet.token_files(none, p).count() == 0
 
 
+def test_special_tokens_in_texts_are_as_the_library_has_them(spark):
+    data = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|>", "<|ENDOFTEXT|> ★", "plain words", "★ <|endoftext|>\x0b"] * 40))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for name, got in (("byte_bpe_50k.json", wavelet.token_files(df, wavelet.TokenFileParams(P.path("byte_bpe_50k.json")))), ("word_bpe_49k.json", None)):
+        want = library_ids(name, data)
+        assert any(50000 > max(x) for x in want) and any(max(x) in (50256, 49407) for x in want)
+        if got is None:
+            check_packing(packing.pack(df, packing.PackingParams(P.path(name))).collect(), data, want, 4096)
+        else:
+            assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {d: zlib.crc32(x.tobytes()) for (d, _), x in zip(data, want)}
+
+
 def test_wavelet_matrix_access_count_and_occurrences():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 64, 65, 600, 3000):
@@ -406,12 +417,13 @@ def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(5)
     for _ in range(30):
         pos = np.concatenate([[0], np.cumsum(rng.integers(1, 6, 12))])
-        penalty, capacity = rng.integers(0, 9, 13), 10
+        penalty, capacity, price = rng.integers(0, 9, 13), 10, int(rng.integers(0, 4))
 
-        def cost(cuts):
+        def cost(cuts, closed):
             at, total = 0, 0
-            for c in cuts[:-1]:
-                total += capacity - (pos[c] - at) + penalty[c]
+            for c in cuts if closed else cuts[:-1]:
+                size = pos[c] - at
+                total += (0 if size in (1, 2, 4, 8) else capacity - size) + penalty[c] + price
                 at = pos[c]
             return total
 
@@ -423,7 +435,8 @@ def test_cuts_are_the_cheapest():
                     for rest in every(j):
                         yield [j, *rest]
 
-        assert cost(packing.plan_cuts(pos, penalty, capacity)) == min(map(cost, every(0)))
+        for closed in (False, True):
+            assert cost(packing.plan_cuts(pos, penalty, capacity, price, closed), closed) == min(cost(x, closed) for x in every(0))
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------------
@@ -454,6 +467,18 @@ def test_substrings(docs, odd, none):
     assert back.columns == odd.columns and Counter(back.collect()) == Counter(odd.collect())
 
 
+def test_rows_without_or_with_one_id_are_told_apart(spark):
+    """Two texts with one 32-bit hash and one or no id: only the one that shares a passage with a smaller document loses words."""
+    many = spark.range(300_000).select(F.concat_ws(" ", F.lit("p q r s t u v w x y z a b"), F.concat(F.lit("n"), "id"), F.concat(F.lit("m"), F.col("id") * 7)).alias("text"))
+    twins = many.groupBy(F.hash("text").alias("h")).agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").first()
+    other = " ".join(f"k{i}" for i in range(15))
+    for low in (None, 9):
+        data = [(1, twins.a[:26] + " end"), (low, twins.a), (low, " ".join(reversed(twins.b.split()))), (low, other), (2, "x")]
+        got = substring.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == substring_brute(data)
+    assert all(n == 13 for (d, _, n, _) in substring_brute(data) if n)
+
+
 def test_windows_with_one_hash_are_told_apart():
     text, codes = b"aa bb aa cc aa bb", np.array([5, 5, 5], np.uint64)
     got = substring._smallest(text, codes, np.array([0, 6, 12]), np.array([5, 11, 17]), np.array([9, 1, 4]))
