@@ -1,9 +1,10 @@
 """Document fingerprints: digests of improbable features in chained Bloom filters.
 
-Every window of 32 bytes is a possible feature. Its entropy follows from that of the window before by the counts of the byte
+Every window of 12 bytes is a possible feature. Its entropy follows from that of the window before by the counts of the byte
 that leaves and of the byte that comes; those counts are found for all places at once. Windows whose entropy lies far from
-that of common text are rare and rank first. In every run of 32 windows the rarest, leftmost one gets a point; windows with
-enough points are the selected features. They are put, in order, into Bloom filters of 2,048 bits with five bits a feature;
+that of common text are rare and rank first. In every run of 16 windows the rarest, leftmost one gets a point; windows with
+enough points are the selected features, in texts of any size. A text with fewer windows than a run is one run, whose rarest
+window is its feature; one without a window or feature is its own feature. Features are put, in order, into Bloom filters of 2,048 bits with five bits a feature;
 a full filter is followed by the next. Two digests are compared by the bits that their filters share beyond chance, as a
 share of what they could.
 """
@@ -28,17 +29,14 @@ SUB_HASHES = 5
 
 @dataclass(frozen=True)
 class FingerprintParams:
-    window: int = 32
+    window: int = 12
     #: Windows of a run; points that a feature needs.
-    run: int = 32
-    points: int = 8
+    run: int = 16
+    points: int = 6
     #: Entropy (bits) of common text windows, and below which a window is no feature.
     common_entropy: float = 3.5
     least_entropy: float = 1.0
-    features_per_filter: int = 160
-    #: Texts of fewer bytes have all windows of this size as features.
-    short_bytes: int = 128
-    short_window: int = 8
+    features_per_filter: int = 192
     #: Share of the room between chance and full overlap that counts as nothing.
     cutoff: float = 0.15
 
@@ -100,15 +98,9 @@ def features(buf: np.ndarray, offs: np.ndarray, p: FingerprintParams) -> tuple[n
     codes = at.span_hashes(buf, places, places + p.window)
     rows = np.searchsorted(bounds, picked, side="right") - 1
     size = np.diff(offs)
-    little = (size > 0) & (size < p.short_bytes)
-    codes, rows = codes[~little[rows]], rows[~little[rows]]
-    bare = np.flatnonzero((np.bincount(rows, minlength=len(size)) == 0) & (size > 0) & ~(little & (size >= p.short_window)))
-    fine = at.starts_within(offs, p.short_window) if little.any() else np.zeros(0, np.int64)
-    of = np.searchsorted(offs, fine, side="right") - 1
-    fine, of = fine[little[of]], of[little[of]]
-    # Texts without a feature are one themselves; short ones have all their short windows.
-    codes = np.concatenate([codes, at.span_hashes(buf, offs[bare], offs[bare + 1]), at.span_hashes(buf, fine, fine + p.short_window)])
-    rows = np.concatenate([rows, bare, of])
+    bare = np.flatnonzero((np.bincount(rows, minlength=len(size)) == 0) & (size > 0))
+    codes = np.concatenate([codes, at.span_hashes(buf, offs[bare], offs[bare + 1])])  # texts without a feature are one themselves
+    rows = np.concatenate([rows, bare])
     order = np.argsort(rows, kind="stable")
     codes, counts = codes[order], np.bincount(rows, minlength=len(size))
     return codes, np.concatenate([[0], np.cumsum(counts)])
