@@ -32,30 +32,71 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-def typed(value: str):
-    """null, true, false, a whole number, a float, or the string without quotes."""
-    value = value.strip()
-    known = {"null": None, "true": True, "false": False}
-    if value.lower() in known:
-        return known[value.lower()]
-    for kind in (int, float):
-        try:
-            return kind(value)
-        except ValueError:
-            pass
-    return value.strip('"')
+def scalar(raw: str):
+    """A JSON null, boolean (in any case), number or string as its value; anything else as the text without outer quotes."""
+    raw = raw.strip()
+    try:
+        value = json.loads(raw.lower() if raw.lower() in ("null", "true", "false") else raw)
+    except ValueError:
+        return raw.strip('"')
+    return raw if isinstance(value, (list, dict)) else value
+
+
+class _Pairs:
+    """Reads key: value pairs out of text that is nearly JSON, one character after the other."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def _upto(self, stops: str) -> str:
+        """What stands before the next of stops, which is passed."""
+        start = self.at
+        while self.at < len(self.text) and self.text[self.at] not in stops:
+            self.at += 1
+        self.at += 1
+        return self.text[start : self.at - 1]
+
+    def _blank(self) -> str:
+        """The next character that isn't white space; empty at the end."""
+        while self.text[self.at : self.at + 1].isspace():
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def _inner(self) -> str:
+        """What stands between the brace here and the one that closes it, or the end."""
+        start, depth = self.at + 1, 0
+        while self.at < len(self.text):
+            depth += {"{": 1, "}": -1}.get(self.text[self.at], 0)
+            self.at += 1
+            if not depth:
+                return self.text[start : self.at - 1]
+        return self.text[start:]
+
+    def read(self) -> dict:
+        out: dict = {}
+        while self.at < len(self.text):
+            words = self._upto(":").replace('"', " ").replace("{", " ").replace(",", " ").split()  # the key is the last word before a colon
+            if self.at > len(self.text) or not words:
+                continue
+            here = self._blank()
+            if here == "{":
+                out[words[-1]] = _Pairs(self._inner()).read()
+            elif here == '"':
+                self.at += 1
+                out[words[-1]] = self._upto('"')
+            else:
+                out[words[-1]] = scalar(self._upto(",}"))
+        return out
 
 
-_PAIR = re.compile(r'"?(\w+)"?\s*:\s*(\{[^}]*\}|"[^"]*"|[^,}]+)', re.S)
+def lenient_object(text: str | None) -> dict:
+    """Key: value pairs of malformed JSON: the last word before each colon, and an object in braces, a quoted string, or what stands up to a comma or brace."""
+    return _Pairs(text or "").read()
 
 
-def lenient_object(text: str | None) -> dict:
-    """Key: value pairs of malformed JSON; a value in braces is read in the same way."""
-    out = {}
-    for key, value in _PAIR.findall(text or ""):
-        value = value.strip()
-        out[key] = lenient_object(value) if value.startswith("{") and value.endswith("}") else typed(value)
-    return out
+def lenient_json(text: str | None) -> str:
+    """lenient_object as JSON."""
+    return json.dumps(lenient_object(text), ensure_ascii=False)
 
 
 def object_or_pairs(text: str | None) -> str | None:
@@ -78,9 +119,11 @@ def extract_names(text: str | None, names: list[str]) -> list[str]:
     return out
 
 
-def rewrite_citations(text: str | None, numbers: dict[str, int]) -> str | None:
-    """[source] marks as [n]; unknown ones are taken out."""
-    return None if text is None else re.sub(r"\[([^\]\[]+)\](?!\()", lambda m: f"[{numbers[m[1]]}]" if m[1] in numbers else "", text)
+def rewrite_citations(text: Column, numbers: dict[str, int]) -> Column:
+    """[source] marks as [n]; unknown ones are taken out; links with an address stay. numbers: a few sources."""
+    for source, n in numbers.items():
+        text = F.replace(text, F.lit(f"[{source}]"), F.lit(f"\x01{n}\x02"))
+    return F.translate(F.regexp_replace(text, r"\[[^\]\[]+\](?!\()", ""), "\x01\x02", "[]")
 
 
 def by_batches(f, kind: str, **fixed):
