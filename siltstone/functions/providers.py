@@ -32,8 +32,8 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             for w in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+                h = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
+                out[i, h % self.dim] += 1 if h >> 59 else -1
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0).astype(np.float32).tolist()
 

@@ -136,3 +136,65 @@ def semantic_breaks(df: DataFrame, key: str, pos: str, vector: str, percent: flo
     cut = far.groupBy(key).agg(F.percentile("_d", percent).alias("_cut"))
     far = far.join(cut, key).withColumn("_new", F.coalesce(F.col("_d") > F.col("_cut"), F.lit(False)).cast("int"))
     return far.withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).select(key, pos, "group")
+
+
+def separator_chunks(tokens: list[str], separators: list[list[str]], size: int, overlap: int) -> list[list[str]]:
+    """Chunks of at most size tokens that end after separators where they can.
+
+    Tokens are cut after each separator, neighbouring parts put together while they fit, and each chunk but the first begins
+    with the last overlap tokens of the chunk before, cut at size. If all is one part longer than size, it is cut into windows
+    of size, overlap shared, and a last window that holds nothing new is left out.
+    """
+    by_first: dict[str, list[list[str]]] = {}
+    for s in separators:
+        by_first.setdefault(s[0], []).append(s)
+    edges, i = [], 0
+    while i < len(tokens):
+        hit = next((s for s in by_first.get(tokens[i], ()) if tokens[i : i + len(s)] == s), None)
+        i += len(hit) if hit else 1
+        if hit:
+            edges.append(i)
+    if tokens and (not edges or edges[-1] < len(tokens)):
+        edges.append(len(tokens))
+    starts = [0]
+    for before, edge in zip(edges, edges[1:]):
+        if edge - starts[-1] > size:
+            starts.append(before)
+    if len(starts) == 1 and len(tokens) > size:
+        return [tokens[a : a + size] for a in range(0, len(tokens), size - overlap) if min(size, len(tokens) - a) > overlap]
+    spans = list(zip(starts, [*starts[1:], len(tokens)])) if tokens else []
+    return [tokens[max(a - overlap, spans[n - 1][0]) if n else a : b][: size if n and overlap else None] for n, (a, b) in enumerate(spans)]
+
+
+def by_separators(df: DataFrame, text: str, keep: list[str], separators: list[list[str]], size: int, overlap: int) -> DataFrame:
+    """keep, chunk_no, chunk by separator_chunks of the text's words."""
+    return by_function(df, text, keep, lambda x: [" ".join(c) for c in separator_chunks(x.split(), separators, size, overlap)])
+
+
+def by_whole_document(pages: DataFrame, size: int, overlap: int) -> DataFrame:
+    """doc, chunk_no, page, chunk of pages (doc, page, text): windows of tokens over all pages in order; page: where the chunk's text first stands in the document, -1 if nowhere."""
+    own = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", F.array_join(tokens(F.col("text")), " ").alias("t")))).alias("_p"))
+    own = own.withColumn("_p", F.filter("_p", lambda x: x["t"] != "")).withColumn("_text", F.array_join(F.transform("_p", lambda x: x["t"]), " "))
+    cut = by_fixed_tokens(own, "_text", size, overlap, ["doc"]).join(own, "doc")
+    ends = F.aggregate("_p", F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), s), -1), F.lit(0)) + F.length(x["t"]) + 1)))
+    where = F.instr(F.col("_text"), F.col("chunk"))
+    index = F.size(F.filter(ends, lambda e: e < where))
+    return cut.select("doc", "chunk_no", F.when(where > 0, F.get(F.col("_p"), index)["page"]).otherwise(F.lit(-1)).alias("page"), "chunk")
+
+
+def with_table_chunks(texts: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc, id, page, type, text: chunks (doc, page, pos, text) and after those of a page its serialised tables (doc, page, table_id, text), numbered through each document."""
+    both = texts.select("doc", "page", F.lit("content").alias("type"), "pos", "text").unionByName(tables.select("doc", "page", F.lit("serialized_table").alias("type"), F.col("table_id").alias("pos"), "text"))
+    w = Window.partitionBy("doc").orderBy("page", "type", "pos")
+    return both.select("doc", (F.row_number().over(w) - 1).alias("id"), "page", "type", "text")
+
+
+#: Layout of a parsed page.
+PAGE_LAYOUT = "blocks array<struct<id: long, bbox: array<double>, lines: array<struct<spans: array<struct<text: string>>>>>>"
+
+
+def by_layout(pages: DataFrame, keep: list[str], layout: str) -> DataFrame:
+    """keep, chunk_id, bbox, text: a chunk for each block with lines of a page's layout (JSON), of all its spans' texts."""
+    blocks = pages.select(*keep, F.explode(F.from_json(layout, PAGE_LAYOUT)["blocks"]).alias("b")).filter("b.lines IS NOT NULL")
+    text = F.array_join(F.transform(F.flatten(F.transform("b.lines", lambda line: line["spans"])), lambda s: s["text"]), "")
+    return blocks.select(*keep, F.col("b.id").alias("chunk_id"), F.col("b.bbox").alias("bbox"), text.alias("text"))

@@ -65,7 +65,7 @@ def layers(nodes: DataFrame, summarise: Callable[[DataFrame], DataFrame], most:
         if out[-1].count() <= 2:
             break
         features = reduced(out[-1], "embedding", dim)
-        model = mixture(features, "features", 16, candidates=[2, 4, 8, 16])
+        model = mixture(features, "features", 50)
         if model is None:
             break
         members = settled(hard_labels(model, features).select("community", "node", "embedding"), "members")

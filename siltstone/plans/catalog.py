@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports all modules with queries."""
-    from . import agents, clusters, evaluation, graphs, layout, pipelines, rag, relational, retrieval, textual  # noqa: F401
+    from . import agents, clusters, evaluation, files, graphs, layout, pipelines, rag, relational, retrieval, textual, trees  # noqa: F401

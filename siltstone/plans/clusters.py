@@ -8,6 +8,7 @@ from siltstone.functions import providers as P
 from siltstone.functions import vectors as V
 from siltstone.operators import cluster as M
 from siltstone.operators import graph as G
+from siltstone.operators import knowledge as K
 from siltstone.operators import layout as L
 from siltstone.operators import search as S
 
@@ -24,41 +25,46 @@ def m01_reduced(spark, d):
 @query()
 def m05_hard_labels(spark, d):
     f = M.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding"), "embedding", 3)
-    model = M.mixture(f, "features", 8, candidates=[2, 4])
+    model = M.mixture(f, "features", 50)
     return M.hard_labels(model, f).select("node", "community")
 
 
 @query()
 def m04_soft_labels(spark, d):
     f = M.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding"), "embedding", 3)
-    model = M.mixture(f, "features", 8, candidates=[2, 4])
+    model = M.mixture(f, "features", 50)
     return M.soft_labels(model, f, 0.1).select("node", "labels")
 
 
 @query()
 def m08_cluster_tree(spark, d):
     """node, parent, level: clusters of clusters up to one root."""
-    nodes = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    mean = F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(64)])
-    links: list = []
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("node"), "embedding")
+    return K.cluster_tree(nodes, layers=3)[0]
 
-    def summarise(members):
-        level = len(links)
-        named = members.withColumn("parent", F.concat(F.lit(f"c{level}-"), "community"))
-        links.append(G.settled(named.select("node", "parent", F.lit(level).alias("level")), "links"))
-        return named.groupBy("parent").agg(mean.alias("embedding")).select(F.col("parent").alias("node"), "embedding")
 
-    last = M.layers(nodes, summarise, most=2)[-1]
-    out = last.select("node", F.lit("root").alias("parent"), F.lit(len(links)).alias("level"))
-    for one in links:
-        out = out.unionByName(one)
-    return out
+@query()
+def m06_clusters(spark, d):
+    """The global stage: reduction, the mixture of least BIC, labels above a threshold."""
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
+    return K.clustered(nodes, "embedding", 3, 50, 0.1)
 
 
-@query()
+_H = "('0x' || substr(md5(w), 1, 15))::BIGINT"
+#: Hash embeddings of a table's texts, as non-zero dimensions (k, i, x).
+EMBED = """WITH w AS (SELECT {key} AS k, unnest(list_filter(string_split_regex(lower({text}), '\\s+'), lambda v: v <> '')) AS w FROM {table}), e AS (SELECT k, """ + f"{_H} % 64 AS i, sum(CASE WHEN {_H} >= 576460752303423488 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w GROUP BY ALL)"
+
+
+@query(
+    EMBED.format(key="item_id", text="text", table="benchmark")
+    + """, n AS (SELECT k, sqrt(sum(x * x)) AS n FROM e GROUP BY 1), p AS (SELECT a.k, sum(a.x * b.x) AS s FROM e a JOIN e b ON b.k = a.k + 1 AND b.i = a.i GROUP BY 1)
+    SELECT a.item_id, round(CASE WHEN x.n = 0 OR y.n = 0 THEN 0 ELSE coalesce(s, 0) / (x.n * y.n) END, 4) AS score FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 LEFT JOIN p ON p.k = a.item_id LEFT JOIN n x ON x.k = a.item_id LEFT JOIN n y ON y.k = b.item_id"""
+)
 def k06_text_similarity(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", P.embed(F.col("text")).alias("x"), P.embed(F.substring("text", 1, 100)).alias("y"))
-    return b.select("item_id", F.round(V.cosine(F.col("x"), F.col("y")), 4).alias("score"))
+    """Cosine of the embeddings of each text and the next."""
+    b = table(spark, d, "benchmark").select("item_id", P.embed(F.col("text")).alias("x"))
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
+    return b.join(after, "item_id").select("item_id", F.round(V.cosine(F.col("x"), F.col("y")), 4).alias("score"))
 
 
 @query("SELECT e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 8) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10")
@@ -113,12 +119,21 @@ def e05_page_blocks(spark, d):
     return L.page_blocks(p).select("doc", "block_type", "page")
 
 
-@query()
+_NO = "regexp_replace({0}, '{1}', '{2}', 'gis')"
+_BODY = "html"
+for _tag in ("script", "style", "nav", "head"):
+    _BODY = _NO.format(_BODY, rf"<{_tag}\b.*?</{_tag}>", " ")
+_BODY = _NO.format(_NO.format(_NO.format(_BODY, "<!--.*?-->", " "), r"<br\s*/?>|</p>|</h[1-6]>|</li>|</div>", "\n"), "<[^>]+>", " ")
+for _mark, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _BODY = f"replace({_BODY}, '{_mark}', '{_char}')"
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(" + _BODY + r", '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM pages")
 def e08_page_texts(spark, d):
     return table(spark, d, "pages").select("page_id", L.strip_html(F.col("html")).alias("text"))
 
 
-@query()
+@query("WITH h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sc FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q ORDER BY 2 DESC, 1 LIMIT 36) SELECT h.vec_id, coalesce(length(text) % 97 / 97.0, -1e9) AS model_score FROM h LEFT JOIN documents ON doc_id = h.vec_id ORDER BY 2 DESC, 1 LIMIT 10")
 def r05_rerank(spark, d):
     """A model's score orders the candidates; a missing one counts as the worst."""
     e = table(spark, d, "embeddings")

@@ -47,25 +47,6 @@ def a05_unknown_ends(spark, d):
     return G.missing_ends(nodes, e)
 
 
-@query("SELECT c_nationkey AS entity, string_agg(c_name, ' | Here is another description : ' ORDER BY c_custkey) AS description FROM customer GROUP BY 1")
-def a06_concat_merge(spark, d):
-    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("entity")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
-    return g.select("entity", F.array_join(F.transform("l", lambda x: x["c_name"]), " | Here is another description : ").alias("description"))
-
-
-@query("SELECT e, string_agg(DISTINCT t, ' | ' ORDER BY t) AS description FROM (SELECT n_name AS e, 'R' || n_regionkey AS t FROM nation UNION ALL SELECT 'R' || n_regionkey, n_name FROM nation) GROUP BY e")
-def a08_triple_aggregate(spark, d):
-    n = table(spark, d, "nation").select("n_name", F.concat(F.lit("R"), "n_regionkey").alias("r"))
-    both = n.select(F.col("n_name").alias("e"), F.col("r").alias("t")).unionByName(n.select(F.col("r").alias("e"), F.col("n_name").alias("t")))
-    return both.groupBy("e").agg(F.array_join(F.array_sort(F.collect_set("t")), " | ").alias("description"))
-
-
-@query("SELECT trim(x, '\"') AS name, len(list_distinct(flatten(list(s)))) AS sources FROM (SELECT '\"' || p_brand || '\"' AS x, [p_size % 5, p_size % 7] AS s FROM part) GROUP BY 1")
-def a09_merge_duplicates(spark, d):
-    p = table(spark, d, "part").select(F.concat(F.lit('"'), "p_brand", F.lit('"')).alias("x"), F.array(F.col("p_size") % 5, F.col("p_size") % 7).alias("s"))
-    return p.groupBy(F.regexp_replace("x", '^"|"$', "").alias("name")).agg(F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"))
-
-
 @query("WITH h AS (SELECT l_linenumber + 10 * l_orderkey AS pos, l_suppkey AS chunk FROM lineitem), g AS (SELECT chunk, count(*) AS n, min(pos) AS pos FROM h GROUP BY 1) SELECT * FROM g ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, CASE WHEN n > 1 THEN -n ELSE 0 END, pos, chunk LIMIT 12")
 def a10_chunk_votes(spark, d):
     h = table(spark, d, "lineitem").select((F.col("l_linenumber") + 10 * F.col("l_orderkey")).alias("pos"), F.col("l_suppkey").alias("chunk"))
@@ -144,47 +125,11 @@ def j09_direct_relations(spark, d):
     return e.join(a, e.src == a.node, "left_semi").join(b, e.tgt == b.node, "left_semi").select("src", "tgt", "weight")
 
 
-@query("SELECT s_suppkey AS a, n_nationkey AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
-def j10_link_lookup(spark, d):
-    pairs = table(spark, d, "nation").filter("n_regionkey = 1").select("n_nationkey")
-    return table(spark, d, "supplier").join(pairs, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_nationkey").alias("b"))
-
-
-@query("SELECT source AS entity, min(doc_id) AS chunk FROM documents WHERE source IN ('src1', 'src2', 'src5') GROUP BY 1")
-def j11_chunk_ids(spark, d):
-    return table(spark, d, "documents").filter(F.col("source").isin("src1", "src2", "src5")).groupBy(F.col("source").alias("entity")).agg(F.min("doc_id").alias("chunk"))
-
-
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (1, 4, 9)")
-def j12_node_rows(spark, d):
-    n = table(spark, d, "nation").filter(F.col("n_nationkey").isin(1, 4, 9))
-    return n.join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-
-
-@query("SELECT n_name, coalesce(r_name, '') AS community FROM nation LEFT JOIN region ON r_regionkey = n_regionkey * 2")
-def j13_community_lookup(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey") * 2, "left").select("n_name", F.coalesce("r_name", F.lit("")).alias("community"))
-
-
-@query("SELECT community, node FROM (SELECT n_regionkey AS community, n_nationkey AS node, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) WHERE k <= 2")
-def j17_key_entities(spark, d):
-    from siltstone.operators.search import first_by_key  # noqa: F401
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name"))
-    return table(spark, d, "nation").withColumn("k", k).filter("k <= 2").select(F.col("n_regionkey").alias("community"), F.col("n_nationkey").alias("node"))
-
-
 @query(f"WITH e AS {_EDGES} SELECT src, tgt, weight FROM e ORDER BY weight DESC, src, tgt LIMIT 30")
 def k17_ranked_edges(spark, d):
     return _edges(spark, d).orderBy(F.desc("weight"), "src", "tgt").limit(30)
 
 
-@query("SELECT n_name AS name, 'in' AS relation, r_name AS tail FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> '' AND r_name <> ''")
-def s23_graph_csv(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_name <> '' AND r_name <> ''").select(F.col("n_name").alias("name"), F.lit("in").alias("relation"), F.col("r_name").alias("tail"))
-
-
 @query(f"SELECT src, tgt, weight FROM {_EDGES} WHERE src = 1 OR tgt = 100007")
 def g01_node_edges(spark, d):
     return _edges(spark, d).filter("src = 1 OR tgt = 100007")
@@ -250,7 +195,7 @@ def g08_largest_component(spark, d):
 @query()
 def g09_communities(spark, d):
     e = G.settled(_edges(spark, d), "edges")
-    return G.communities(_nodes(e), e, 6)
+    return G.community_levels(_nodes(e), e, 10, levels=4)
 
 
 @query()

@@ -9,27 +9,6 @@ from siltstone.operators import chunks as C
 from .catalog import query, table
 
 
-@query("SELECT doc_id, n_chars, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 200)")
-def s13_block_scan(spark, d):
-    return table(spark, d, "documents").filter("n_chars >= 200").select("doc_id", "n_chars", "lang")
-
-
-@query("SELECT c_custkey, nullif(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END, '') AS segment, NULL AS extra FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
-def s14_union_of_keys(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.nullif(F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_mktsegment")), F.lit("")).alias("segment"))
-    return c.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("extra")), allowMissingColumns=True)
-
-
-@query("SELECT vec_id, '[' || label || ',' || (label + 1) || ']' AS j FROM embeddings")
-def s15_to_json(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.to_json(F.array("label", F.col("label") + 1)).alias("j"))
-
-
-@query("SELECT vec_id FROM embeddings WHERE NOT (label >= 5)")
-def s20_delete_rows(spark, d):
-    return table(spark, d, "embeddings").filter("NOT (label >= 5)").select("vec_id")
-
-
 @query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY ALL")
 def s25_postings(spark, d):
     from siltstone.operators.search import postings
@@ -62,27 +41,12 @@ def s30_origin_relations(spark, d):
     return table(spark, d, "part").filter((F.length("p_name") <= 190) & (F.length("p_type") <= 190)).select("p_partkey", F.lit(0).alias("level"))
 
 
-@query("SELECT conv_id, arg_max(md5(text), (turn, md5(text))) AS value FROM conversations GROUP BY 1")
-def s32_key_value(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.struct("turn", F.md5("text").alias("v")))["v"].alias("value"))
-
-
-@query("SELECT source AS stem, count(*) AS n FROM documents WHERE source NOT LIKE '%9' GROUP BY 1")
-def s37_skip_stems(spark, d):
-    return table(spark, d, "documents").filter(~F.col("source").endswith("9")).groupBy(F.col("source").alias("stem")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def s38_metadata_lookup(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")  # 25 rows
     return table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name")
 
 
-@query("SELECT doc_id, 'documents' AS doc_name FROM documents")
-def s40_file_stem(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.parquet)?(?:/part-[^/]*)?$", 1).alias("doc_name")).withColumn("doc_name", F.regexp_replace("doc_name", r"\.parquet$", ""))
-
-
 @query("SELECT source, list(doc_id ORDER BY doc_id) AS ids, count(*) AS n FROM documents GROUP BY 1")
 def e06_flat_blocks(spark, d):
     nested = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
@@ -122,12 +86,6 @@ def f21_markdown_table(spark, d):
     return rows.select("source", F.concat(F.lit("| id | lang |\n| --- | --- |\n"), F.array_join(line, "\n")).alias("md"))
 
 
-@query("SELECT source, doc_id, unnest(['text', 'table']) AS type FROM documents")
-def c10_table_chunks(spark, d):
-    docs = table(spark, d, "documents").select("source", "doc_id")
-    return docs.withColumn("type", F.lit("text")).unionByName(docs.withColumn("type", F.lit("table")))
-
-
 @query("SELECT source, round(quantile_cont(n_chars, 0.9), 4) AS p90, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY 1")
 def m11_percentiles(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.round(F.percentile("n_chars", 0.9), 4).alias("p90"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))

@@ -11,6 +11,7 @@ from siltstone.operators import graph as G
 from siltstone.operators import search as S
 
 from .catalog import query, table
+from .clusters import EMBED
 
 
 def answer_contexts(questions: DataFrame, chunks: DataFrame, k: int, budget: int) -> DataFrame:
@@ -30,7 +31,9 @@ def q15_question_contexts(spark, d):
     return answer_contexts(questions, G.settled(chunks, "chunks"), 5, 4000)
 
 
-@query()
+@query("""WITH h AS (SELECT e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) > 0.05 ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, 1 LIMIT 20),
+    g AS (SELECT l_suppkey AS src, l_partkey % 200 + 1000 AS tgt, count(*) AS weight FROM lineitem GROUP BY ALL), b AS (SELECT src, tgt, weight FROM g UNION ALL SELECT tgt, src, weight FROM g), c AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT tgt FROM g) GROUP BY 1)
+    SELECT src, tgt, weight, degree FROM b JOIN c ON c.node = b.tgt WHERE src IN (SELECT vec_id FROM h) ORDER BY degree DESC, weight DESC, src, tgt LIMIT 50""")
 def q02_local_context(spark, d):
     """Entities nearest to a question with their neighbours: vector hits, then one hop, ranked by degree and weight."""
     e = table(spark, d, "embeddings")
@@ -42,11 +45,12 @@ def q02_local_context(spark, d):
     return ranked.select("src", "tgt", "weight", "degree").orderBy(F.desc("degree"), F.desc("weight"), "src", "tgt").limit(50)
 
 
-@query()
+@query(EMBED.format(key="item_id", text="text", table="benchmark") + ", n AS (SELECT k, sqrt(sum(x * x)) AS n FROM e GROUP BY 1) SELECT k AS item_id, i AS dim, round(x / n, 4) AS value FROM e JOIN n USING (k) WHERE x <> 0")
 def x01_hash_embeddings(spark, d):
-    return table(spark, d, "benchmark").select("item_id", P.embed(F.col("text")).alias("embedding"))
+    e = table(spark, d, "benchmark").select("item_id", P.embed(F.col("text")).alias("embedding"))
+    return e.select("item_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0").select("item_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
-@query()
+@query(r"SELECT item_id, string_split(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10))[-1], '. ')[1] AS answer FROM benchmark")
 def x03_extractive_answers(spark, d):
     return table(spark, d, "benchmark").select("item_id", P.answer(F.col("text")).alias("answer"))

@@ -104,7 +104,7 @@ _BM25 = """WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_repla
 
 @query(_BM25 + " SELECT * FROM r")
 def r01_bm25(spark, d):
-    return S.bm25(table(spark, d, "documents"), ["of", "and", "haing"], 20)
+    return S.bm25(S.index_of(table(spark, d, "documents")), ["of", "and", "haing"], 20)
 
 
 @query(
@@ -117,7 +117,7 @@ def r01_bm25(spark, d):
 )
 def r04_hybrid_fusion(spark, d):
     v = S.search(table(spark, d, "embeddings"), _vector(spark, d, 0), 20).select(F.col("vec_id").alias("doc_id"), "score")
-    t = S.bm25(table(spark, d, "documents"), ["of", "and", "haing"], 20)
+    t = S.bm25(S.index_of(table(spark, d, "documents")), ["of", "and", "haing"], 20)
     return S.fuse(v, t, 0.6, 15, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
@@ -140,23 +140,83 @@ def w04_sequential_ids(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT doc_id, n_chars, (doc_id * 37 % 100) / 100.0 AS llm, (doc_id * 61 % 100) / 100.0 AS dist, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // 4 AS batch FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60)
-    SELECT doc_id, batch, round(0.7 * llm + 0.3 * dist, 4) AS combined FROM s ORDER BY combined DESC, doc_id LIMIT 20"""
+    f"""WITH h AS (SELECT e.vec_id, {_COS} AS sc FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 6) q ORDER BY 2 DESC, 1 LIMIT 36),
+    s AS (SELECT vec_id, round(sc, 10) AS dist, CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE (vec_id * 37 % 100) / 100.0 END AS llm, (row_number() OVER (ORDER BY sc DESC, vec_id) - 1) // 4 AS batch FROM h)
+    SELECT vec_id, batch, round(0.7 * llm + 0.3 * dist, 4) AS combined FROM s"""
 )
 def r07_weighted_rerank(spark, d):
-    s = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(60).select("doc_id", "n_chars", ((F.col("doc_id") * 37 % 100) / 100.0).alias("llm"), ((F.col("doc_id") * 61 % 100) / 100.0).alias("dist"))
-    s = s.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1) / 4))
-    return s.select("doc_id", "batch", F.round(0.7 * F.col("llm") + 0.3 * F.col("dist"), 4).alias("combined")).orderBy(F.desc("combined"), "doc_id").limit(20)
+    """36 hits of a search, scored by a model in batches of four (0 where it gave nothing), in the order of the weighted score."""
+    hits = S.search(table(spark, d, "embeddings"), _vector(spark, d, 6), 36).select("vec_id", F.round("score", 10).alias("score"))
+    model = hits.filter("vec_id % 7 <> 0").select("vec_id", ((F.col("vec_id") * 37 % 100) / 100.0).alias("relevance"))
+    return S.weighted_rerank(hits, model, "vec_id", 0.7, 4).select("vec_id", F.col("batch").cast("long").alias("batch"), "combined")
 
 
 @query(
-    """WITH o AS (SELECT ordinality - 1 AS pos, CAST(x AS BIGINT) AS idx FROM (SELECT unnest(['3','1','2','9']) AS x, generate_subscripts(['3','1','2','9'], 1) AS ordinality)),
-    c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS idx FROM documents ORDER BY n_chars DESC, doc_id LIMIT 9) SELECT c.doc_id, o.pos, 4 - o.pos AS score FROM o JOIN c USING (idx)"""
+    f"""WITH o AS (SELECT ordinality - 1 AS pos, CAST(x AS BIGINT) AS idx FROM (SELECT unnest(['3','1','2','9']) AS x, generate_subscripts(['3','1','2','9'], 1) AS ordinality)),
+    h AS (SELECT e.vec_id, {_COS} AS sc FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 6) q ORDER BY 2 DESC, 1 LIMIT 36),
+    c AS (SELECT vec_id, row_number() OVER (ORDER BY sc DESC, vec_id) AS idx FROM h) SELECT c.vec_id, o.pos, 4 - o.pos AS score FROM o JOIN c USING (idx)"""
 )
 def r06_index_list_rerank(spark, d):
-    c = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(9).select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("idx"))
+    """Hits of a search in the order of the list that a model gave."""
+    hits = S.search(table(spark, d, "embeddings"), _vector(spark, d, 6), 36).select("vec_id", "score")
+    c = hits.select("vec_id", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long").alias("idx"))  # 36 rows
     order = spark.range(1).select(F.posexplode(F.split(F.lit("3,1,2,9"), ",")).alias("pos", "x")).select(F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("idx"))
-    return c.join(F.broadcast(order), "idx").select("doc_id", "pos", (4 - F.col("pos")).alias("score"))
+    return c.join(F.broadcast(order), "idx").select("vec_id", "pos", (4 - F.col("pos")).alias("score"))
+
+
+@query(
+    f"""WITH h AS (SELECT e.vec_id, {_COS} AS sc FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY 2 DESC, 1 LIMIT 36),
+    j AS (SELECT h.vec_id, sc, text, length(text) % 97 / 97.0 AS m FROM h LEFT JOIN documents ON doc_id = h.vec_id)
+    SELECT vec_id, row_number() OVER (ORDER BY coalesce(m, -1e9) DESC, vec_id) AS rank FROM j ORDER BY coalesce(m, -1e9) DESC, vec_id LIMIT 8"""
+)
+def r12_retrieve_and_rerank(spark, d):
+    """Many hits are retrieved, a model orders them, the best stay."""
+    hits = S.search(table(spark, d, "embeddings"), _vector(spark, d, 3), 36).select("vec_id", "score")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return S.rerank(hits, texts, "vec_id", lambda t: F.length(t) % 97 / 97.0, 8).select("vec_id", "rank")
+
+
+@query("SELECT source, count(*) AS n, min(doc_id) AS first FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1")
+def r12_full_context(spark, d):
+    """Instead of a search, all pages of the documents asked for."""
+    docs = S.full_context(table(spark, d, "documents"), "source", ["src1", "src2"], ["doc_id"])
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+_RANKED = "SELECT vec_id, label, rank FROM (SELECT e.vec_id, e.label, row_number() OVER (PARTITION BY e.label ORDER BY {0} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 12) q WHERE e.label IN (1, 4) AND round({0}, 6) < 1.0) WHERE rank <= 4"
+
+
+@query(_RANKED.format(_COS))
+def r16_passages_by_type(spark, d):
+    """The nearest passages of each type wanted, without the query itself."""
+    found = S.passages(table(spark, d, "embeddings"), _vector(spark, d, 12), "label", [1, 4], 4)
+    return found.select("vec_id", "label", "rank")
+
+
+@query("WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE source = 'src3') SELECT doc_id, pos // 4 AS batch, CASE WHEN pos % 4 = 3 THEN 0.0 WHEN (doc_id % 13) / 10.0 > 1 THEN 1.0 ELSE (doc_id % 13) / 10.0 END AS relevance FROM h")
+def r15_block_relevance(spark, d):
+    """A model ranks blocks four at a time in JSON: scores in the order of the blocks, brought to 0..1; blocks that it left out get 0."""
+    w = Window.orderBy("doc_id")
+    blocks = table(spark, d, "documents").filter("source = 'src3'").select("doc_id", (F.row_number().over(w) - 1).alias("pos"))
+    asked = blocks.groupBy(F.floor(F.col("pos") / 4).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("blocks"))
+    score = F.transform(F.slice("blocks", 1, 3), lambda b: F.struct((b["doc_id"] % 13 / 10.0).alias("relevance_score")))
+    answered = asked.withColumn("answer", F.to_json(F.struct(score.alias("block_rankings"))))
+    return S.block_relevance(answered, "blocks", "answer").select(F.col("block.doc_id").alias("doc_id"), "batch", "relevance")
+
+
+@query(f"SELECT e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 9) q WHERE round({_COS}, 6) < 1.0 AND e.label = (SELECT label FROM embeddings WHERE vec_id = 9)")
+def p12_without_exact(spark, d):
+    e = table(spark, d, "embeddings")
+    label = e.filter("vec_id = 9").select("label").first()[0]
+    return S.without_exact(e.filter(F.col("label") == label), _vector(spark, d, 9)).select("vec_id")
+
+
+@query("SELECT doc_id, min(pos) AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id, lang) AS pos FROM (SELECT doc_id % 50 AS doc_id, n_chars, lang FROM documents)) GROUP BY 1")
+def w03_first_seen(spark, d):
+    """Each key where it is first seen, with its rank among all."""
+    hits = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("doc_id"), "n_chars", "lang")
+    ranked = hits.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id", "lang")))
+    return S.first_by_key(ranked, ["doc_id"], ["pos"]).select("doc_id", "pos")
 
 
 @query(

@@ -264,7 +264,8 @@ def c08_recursive_splits(spark, d):
     return C.by_function(_docs(spark, d), "text", ["doc_id"], partial(C.recursive_split, size=500))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, vec_id % 20 AS doc, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT doc, vec_id, 1 - list_cosine_similarity(v, lag(v) OVER (PARTITION BY doc ORDER BY vec_id)) AS far FROM e),
+    c AS (SELECT doc, quantile_cont(far, 0.95) AS cut FROM f GROUP BY 1) SELECT doc, vec_id, CAST(sum(CASE WHEN far > cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY vec_id) AS BIGINT) AS "group" FROM f JOIN c USING (doc)""")
 def c09_semantic_groups(spark, d):
     e = table(spark, d, "embeddings").withColumn("doc", F.col("vec_id") % 20)
     return C.semantic_breaks(e, "doc", "vec_id", "embedding")
