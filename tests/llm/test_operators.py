@@ -31,28 +31,69 @@ def words(text):
 
 
 def test_lm_trains_and_scores_every_row(spark, docs, odd, none):
-    p = lm_scoring.LmParams(words=60, classes=20, one_in=4)
-    flat = lm_scoring.train(docs, lm_scoring.LmParams(words=60, classes=20, rounds=0))
-    net = lm_scoring.train(docs, p)
+    p = lm_scoring.LmParams(words=60, classes=20, batch=512)
+    flat, _ = lm_scoring.train(docs, lm_scoring.LmParams(words=60, classes=20, rounds=0))
+    net, _ = lm_scoring.train(docs, p)
     mean = lambda n: lm_scoring.score(docs, n).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
-    assert mean(net) > mean(flat)  # neighbours tell something
+    assert mean(net) > mean(flat) + 0.1  # neighbours tell something
     got = lm_scoring.score(odd, net).collect()
     assert len(got) == odd.count()
     assert all((r.mean_log_likelihood is None) == (r.n_tokens == 0) and r.log_likelihood <= 0 for r in got)
     assert lm_scoring.pseudo_likelihood(none, p).count() == 0
+    assert lm_scoring.pseudo_likelihood(odd, p).count() == odd.count()
 
 
 def test_lm_log_probabilities_add_up_to_one():
-    p = lm_scoring.LmParams(words=5, classes=3, dim=4)
-    net = lm_scoring.Network(p, np.arange(1, 6, dtype=np.uint64), np.arange(p.symbols))
-    near = np.array([[1], [2], [3], [4]])
-    total = sum(math.exp(net.log_probabilities(np.array([s]), near)[0]) for s in range(1, p.symbols))
-    assert total == pytest.approx(1, abs=1e-5)
+    p = lm_scoring.LmParams(words=25, classes=6, dim=4)
+    net = lm_scoring.Network(p, np.arange(1, 26, dtype=np.uint64), np.arange(p.symbols) ** 2)
+    rng = np.random.default_rng(1)
+    for wide in (1, 40):  # with large weights logits are brought down by their largest first
+        net.outer = (net.outer * wide * 20).astype(np.float32)
+        near = np.repeat(rng.integers(0, len(net.inner), (4, 1)), p.symbols - 1, axis=1)
+        got = net.log_probabilities(np.arange(1, p.symbols), near)
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_lm_is_the_same_twice(docs):
-    p = lm_scoring.LmParams(words=30, classes=10, one_in=8, rounds=1)
-    assert np.array_equal(lm_scoring.train(docs, p).flat(), lm_scoring.train(docs, p).flat())
+    p = lm_scoring.LmParams(words=30, classes=10, rounds=1)
+    assert np.array_equal(lm_scoring.train(docs, p)[0].flat(), lm_scoring.train(docs, p)[0].flat())
+
+
+def lm_brute(text, net, count):
+    """Sum of log P(word | two neighbours on each side) by plain loops; count: how often each word occurs in all documents."""
+    p, total = net.p, 0.0
+    w = [x for x in (text or "").encode().lower().split()]
+    symbols, classes = [], []
+    for x in w:
+        buf, offs = np.frombuffer(x, np.uint8), np.array([0, len(x)])
+        ((_, _, h, tail, _),) = lm_scoring._words(pa.array([x.decode()]), p.classes)
+        symbols.append(int(net.symbols(h, tail)[0])), classes.append(int(tail[0]))
+        assert len(buf) == offs[1]
+    v = net.first + p.classes
+    for i, s in enumerate(symbols):
+        z = np.zeros(p.dim)
+        for k, j in enumerate((i - 2, i - 1, i + 1, i + 2)):
+            z += net.inner[k * v + (symbols[j] if 0 <= j < len(w) else 0)].astype(float)
+        h = np.tanh(z)
+        at = net.place[s]
+        g = net.group[at]
+        tops = net.top.astype(float) @ h + net.top_bias
+        lo, hi = net.bounds[g], net.bounds[g + 1]
+        ins = net.outer[lo:hi].astype(float) @ h + net.bias[lo:hi]
+        total += tops[g] - np.log(np.exp(tops).sum()) + ins[at - lo] - np.log(np.exp(ins).sum())
+        if s >= net.first:
+            total += math.log(max(count[w[i]], 1)) - math.log(net.class_size[classes[i]] + 1)
+    return total
+
+
+def test_lm_scores_equal_a_plain_version(spark, docs):
+    net, _ = lm_scoring.train(docs, lm_scoring.LmParams(words=100, classes=16, listed=500))
+    assert net.rare is not None
+    count = Counter(x for _, t in rows(docs) for x in (t or "").encode().lower().split())
+    some = docs.orderBy("n_chars").limit(25).unionByName(docs.limit(0))
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(some, net).collect()}
+    for d, t in rows(some):
+        assert got[d] == pytest.approx(lm_brute(t, net, count), rel=1e-4, abs=1e-3)
 
 
 def test_lm_every_word_has_its_own_probability(spark):
@@ -63,22 +104,20 @@ def test_lm_every_word_has_its_own_probability(spark):
     count = {"often": 81, "seldom": 17, "pair": 5, "once": 2, "never": 1}
     for listed in (100, 1, 0):
         p = lm_scoring.LmParams(words=0, classes=1, rounds=0, listed=listed)
-        net = lm_scoring.train(docs, p)
+        net, _ = lm_scoring.train(docs, p)
         assert (net.rare is not None) == (listed < 4)
         got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(probe, net).collect()}
         for i, n in enumerate(count.values()):
             assert got[i] == pytest.approx(math.log(n / 106), abs=1e-4)
         assert [r.n_tokens for r in lm_scoring.score(docs, net).orderBy("n_tokens").collect()] == [1, 2, 51, 51]
-    net = lm_scoring.train(docs, lm_scoring.LmParams(words=1, own_count=5, classes=2, rounds=0))
+    net, _ = lm_scoring.train(docs, lm_scoring.LmParams(words=1, own_count=5, classes=2, rounds=0))
     assert len(net.sorted) == 3  # often, seldom and pair
 
 
-def test_lm_trains_on_all_positions():
-    h, bounds = np.arange(1000, dtype=np.uint64) % np.uint64(500), np.array([0, 500, 1000])
-    used = lambda n: lm_scoring._trained_on(pa.array([3, None]), h, bounds, n)
-    assert np.array_equal(used(lm_scoring.LmParams().one_in), np.arange(1000))
-    some = used(4)
-    assert 150 < len(some) < 350 and set(some[some < 500]) != set(some[some >= 500] - 500)  # copies give other picks
+def test_lm_groups_hold_every_symbol_once():
+    for n in (1, 2, 3, 10, 1000):
+        b = lm_scoring._groups(np.sort(np.random.default_rng(n).pareto(1, n) * 100)[::-1])
+        assert b[0] == 0 and b[-1] == n and (np.diff(b) > 0).all() and len(b) - 1 <= max(1, round(n**0.5))
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------------
