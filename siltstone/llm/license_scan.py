@@ -1,19 +1,21 @@
-"""Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
-
-Scanning uses DataFrame functions only. An anchor is a word or phrase no notice goes without; it is looked for in the words of
-the whole text, so that line breaks, comment marks and doubled spaces don't matter. Units are windows of words around each
-anchor, which reach before and after it, and the lines with an anchor, each alone and together with the two lines after it. A
-unit's features are its distinct word 1-, 2- and 3-grams, hashed.
-Multinomial logistic regression gives the odds of each licence family and of 'unknown'; it is trained on the driver from the
-notices below, worn down and padded with foreign words, against near misses. The probability that a family needs is
-calibrated on other worn copies and near misses. A prediction stands only if the unit also holds most word pairs of one of
-the family's templates; that needs an anchor, so text without one can be left out.
+"""Licence scans: a trained classifier over sparse word n-grams, confirmed by comparison with templates.
+
+Scanning uses DataFrame functions only, and looks at every word of every text. Words are numbered by the vocabulary of the
+notices below; line breaks, comment marks and doubled spaces don't matter. Neighbouring vocabulary words that aren't mere
+function words make a unit, a paragraph of licence talk however its lines are broken: a unit goes on as long as the next such
+word comes within a few words. A unit's features are the word 1-, 2- and 3-grams in it that the notices have; other n-grams
+have no weight, so that text without vocabulary words can't change a verdict. Multinomial logistic regression gives the odds of each licence family and of
+'unknown'. It is trained on the driver from the notices, worn down and padded with foreign words, against near misses; the
+probability that a family needs is calibrated on other worn copies and near misses. A prediction stands only if the unit
+also holds most word pairs of one of the family's templates; besides the likeliest family, any other one with odds enough and
+a template confirmed is given too.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +24,19 @@ from pyspark.sql import functions as F
 # Licence families and customary sentences of their notices.
 NOTICES = {
     "AGPL-3.0": ["licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "distributed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "licensed under the BSD 3-Clause License", "released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "distributed under the Apache License 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "licensed under the BSD 3-Clause License", "released under the BSD license", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
     "CC-BY-NC-4.0": ["licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"],
     "CC-BY-SA-4.0": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"],
     "CC0-1.0": ["released under the Creative Commons Zero v1.0 Universal license", "dedicated to the public domain under CC0 1.0"],
     "GPL-2.0": ["licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License version 2 only", "SPDX-License-Identifier: GPL-2.0-only"],
     "GPL-3.0": ["licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License version 3 or any later version", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "ISC": ["released under the ISC License", "SPDX-License-Identifier: ISC"],
+    "ISC": ["released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
     "LGPL": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License version 2.1"],
-    "MIT": ["Released under the MIT License", "licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "MIT": ["Released under the MIT License", "licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
 }
 # Sentences that look alike but name no family.
 NEAR_MISSES = [
@@ -43,22 +45,23 @@ NEAR_MISSES = [
     "the free software was distributed to the general public", "redistribution of income in binary terms", "the Massachusetts Institute of Technology released a report", "the apache people", "creative work in the commons",
     "SPDX-License-Identifier: LicenseRef-Proprietary", "licensed under the terms agreed with the owner", "under the license of the county, section 3",
 ]
-ANCHORS = r"(?i)licen[cs]e|spdx|creative commons|public domain|permission is hereby|redistribution and use|\bcc0?[ -]"
-#: A text with an anchor has one of these words.
-ROUGH = r"(?i)licen[cs]e|spdx|commons|domain|hereby|redistribution|\bcc0?\b"
-#: Words before and after an anchor; together they hold each template, wherever its anchor stands.
-WINDOWS = ((2, 5), (10, 4), (1, 15), (10, 9))
+# Words that alone don't tell of a licence.
+FUNCTION_WORDS = "a all and any are as at be by for free from he his in included is it its list may must not of on one only or other person same section shall the this to under use using was with without work world you".split()
 TOKEN = r"[^\p{L}\p{N}.+]+"
+LICENCE_WORD = r"licen[cs]|spdx"
 
 
 @dataclass(frozen=True)
 class LicenseParams:
-    buckets: int = 4096
+    #: Words from one vocabulary word of a unit to the next, at most.
+    gap: int = 6
     #: Share of a template's word pairs that a unit must hold.
     containment: float = 0.6
     steps: int = 400
     rate: float = 0.5
     penalty: float = 1e-3
+    #: Cells of each of the two tables in which words and n-grams are looked up.
+    cells: int = 1 << 14
 
 
 def _words(text: Column) -> Column:
@@ -66,44 +69,40 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " +"), lambda x: x != "")
 
 
-def _anchors(words: Column) -> Column:
-    """Indices of the words at which an anchor starts."""
+def _array(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
-    def anchor(w: Column, i: Column) -> Column:
-        second, third = F.get(words, i + 1), F.get(words, i + 2)
-        single = w.rlike(r"licen[cs]e|spdx|(^|[.+])cc0?$")
-        double = (w.endswith("creative") & second.startswith("commons")) | (w.endswith("public") & second.startswith("domain"))
-        triple = (w.endswith("permission") & (second == "is") & third.startswith("hereby")) | (w.endswith("redistribution") & (second == "and") & third.startswith("use"))
-        return F.when(single | double | triple, i)
 
-    return F.filter(F.transform(words, anchor), lambda i: i.isNotNull())
+class _Table:
+    """Numbers, from 1, of known keys: two tables of cells, of which the second holds what finds its cell in the first taken."""
 
+    def __init__(self, spark: SparkSession, keys: list, kind: str, cells: int):
+        self.keys, self.kind, salt, left = _array([None, *keys], kind), kind, 0, list(range(1, len(keys) + 1))
+        self.parts: list[tuple[int, int, Column]] = []
+        while left:
+            own = spark.range(1).select(F.transform(_array([keys[i - 1] for i in left], kind), lambda k: self._cell(k, salt, cells)).alias("c")).first().c  # noqa: B023
+            table, later = [0] * cells, []
+            for i, c in zip(left, own):
+                if table[c]:
+                    later.append(i)
+                else:
+                    table[c] = i
+            if len(later) == len(left):
+                raise ValueError("repeated keys")
+            self.parts.append((salt, cells, _array(table, "int")))
+            left, salt = later, salt + 1
 
-def _windows(words: Column, at: Column) -> Column:
-    def around(before: int, after: int):
-        start = lambda i: F.greatest(i - before, F.lit(0))
-        return lambda i: F.slice(words, start(i) + 1, i + after + 1 - start(i))
-
-    return F.concat(*[F.transform(at, around(*x)) for x in WINDOWS])
-
-
-def _pairs(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
-
-
-def _pairs_of(words: Column) -> Column:
-    return F.when(F.size(words) > 1, _pairs(words)).otherwise(F.array().cast("array<string>"))
-
+    @staticmethod
+    def _cell(key: Column, salt: int, cells: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(cells)).cast("int")
 
-def _features(words: Column, p: LicenseParams) -> Column:
-    n = F.lit(p.buckets)
-    at = lambda i: F.get(words, i)
-    grams = [
-        F.transform(words, lambda w: F.pmod(F.xxhash64(w), n)),
-        F.transform(words, lambda w, i: F.when(i > 0, F.pmod(F.xxhash64(at(i - 1), w), n))),
-        F.transform(words, lambda w, i: F.when(i > 1, F.pmod(F.xxhash64(at(i - 2), at(i - 1), w), n))),
-    ]
-    return F.array_distinct(F.filter(F.concat(*grams), lambda x: x.isNotNull()))
+    def number(self, key: Column) -> Column:
+        """The number of key, 0 if it isn't known."""
+        out = F.lit(0)
+        for salt, cells, table in reversed(self.parts):
+            at = F.get(table, self._cell(key, salt, cells))
+            out = F.when(F.get(self.keys, at) == key, at).otherwise(out)
+        return out
 
 
 def _worn(sentence: str, rng: np.random.Generator) -> str:
@@ -116,25 +115,43 @@ def _worn(sentence: str, rng: np.random.Generator) -> str:
 
 
 class Classifier:
-    """Families ('unknown' last), weights (bucket by family), biases, and the probability that a family needs."""
+    """Vocabulary, features, families ('unknown' last), weights (feature by family), biases, and the probability that a family needs."""
 
     def __init__(self, spark: SparkSession, p: LicenseParams):
         rng = np.random.Generator(np.random.PCG64(3))
-        self.families = [*NOTICES, "unknown"]
+        self.p, self.families = p, [*NOTICES, "unknown"]
         unknown = len(NOTICES)
+        plain = [*(x for name in NOTICES for x in NOTICES[name]), *NEAR_MISSES]
+        cut = dict(zip(plain, spark.range(1).select(F.transform(_array(plain, "string"), _words).alias("w")).first().w))
+        vocabulary = sorted({w for words in cut.values() for w in words})
+        number = {w: i + 1 for i, w in enumerate(vocabulary)}
+        self.size = len(vocabulary) + 1
+        core = [0, *(int(w not in FUNCTION_WORDS) for w in vocabulary)]
+        self.core = _array(core, "int")
+        found: dict[int, None] = {}
+        for words in cut.values():
+            ids = [number[w] for w in words]
+            for n in (1, 2, 3):
+                for i in range(len(ids) - n + 1):
+                    if any(core[x] for x in ids[i : i + n]):
+                        found.setdefault(self._key(ids[i : i + n]))
+        self.known = {k: i + 1 for i, k in enumerate(found)}
+        self.words, self.grams = _Table(spark, vocabulary, "string", p.cells), _Table(spark, list(found), "bigint", p.cells)
+        # Pairs of each template, as features.
+        self.templates = [[[self.known[k] for k in dict.fromkeys(self._key([number[a], number[b]]) for a, b in zip(cut[x], cut[x][1:])) if k in self.known] for x in NOTICES[name]] for name in NOTICES]
         rows = [(s, k, part) for k, name in enumerate(NOTICES) for x in NOTICES[name] for part in (0, 1) for s in (x, *(_worn(x, rng) for _ in range(8)))]
         rows += [(s, unknown, part) for x in NEAR_MISSES for part in (0, 1) for s in (x, *(_worn(x, rng) for _ in range(6)))]
-        rows += [(_worn("", rng), unknown, part) for part in (0, 1) for _ in range(60)]
-        table = F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<string>")
-        found = spark.range(1).select(F.posexplode(table).alias("i", "text")).select("i", _features(_words(F.col("text")), p).alias("f")).collect()
-        x = np.zeros((len(rows), p.buckets))
-        for r in found:
+        rows += [(" ".join(rng.choice(vocabulary, rng.integers(1, 4))), unknown, part) for part in (0, 1) for _ in range(120)]
+        texts = spark.range(1).select(F.posexplode(_array([r[0] for r in rows], "string")).alias("i", "text"))
+        numbered = texts.select("i", self.numbers(_words(F.col("text"))).alias("v"))
+        x = np.zeros((len(rows), len(self.known) + 1))
+        for r in numbered.select("i", self.features(F.col("v"), F.lit(0), F.size("v") - 1).alias("f")).collect():  # the training texts
             x[r.i, r.f] = 1
         y, part = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         target = np.eye(len(self.families))[y]
         own = part == 0
         a, t = x[own], target[own]
-        w, b = np.zeros((p.buckets, len(self.families))), np.zeros(len(self.families))
+        w, b = np.zeros((x.shape[1], len(self.families))), np.zeros(len(self.families))
         sw, sb = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
         for _ in range(p.steps):
             e = self._softmax(a @ w + b) - t
@@ -149,6 +166,35 @@ class Classifier:
         wrong = top[(y[~own] == unknown) | (best != y[~own])]  # what must stay below
         self.least = float(np.round(np.clip(np.quantile(wrong, 0.99) if len(wrong) else 0.5, 0.5, 0.9), 3))
 
+    def _key(self, ids: list[int]) -> int:
+        """One number for an n-gram of vocabulary numbers."""
+        return reduce(lambda k, i: k * self.size + i, ids, 0)
+
+    def numbers(self, words: Column) -> Column:
+        """Vocabulary numbers of words, 0 for all others."""
+        return F.transform(words, self.words.number)
+
+    def features(self, numbers: Column, low: Column, high: Column) -> Column:
+        """Distinct features of the n-grams within places low to high of numbers."""
+
+        def ending(i: Column) -> Column:
+            a, b, c = (F.get(numbers, i - k).cast("long") for k in (2, 1, 0))
+            two = F.when((i > low) & (b > 0), b * self.size + c)
+            three = F.when((i > low + 1) & (a > 0) & (b > 0), (a * self.size + b) * self.size + c)
+            return F.when(c > 0, F.array(c, two, three))
+
+        keys = F.filter(F.flatten(F.filter(F.transform(F.sequence(low, high), ending), lambda x: x.isNotNull())), lambda k: k.isNotNull())
+        found = F.transform(F.array_distinct(keys), self.grams.number)
+        return F.when(high >= low, F.filter(found, lambda f: f > 0)).otherwise(F.array().cast("array<int>"))
+
+    def units(self, numbers: Column) -> Column:
+        """array<struct(low, high)>: runs of core words no more than gap words apart, with two words more at each end."""
+        core = F.filter(F.transform(numbers, lambda v, i: F.when(F.get(self.core, v) > 0, i)), lambda i: i.isNotNull())
+        first = F.filter(F.transform(core, lambda c, k: F.when((k == 0) | (c - F.get(core, k - 1) > self.p.gap), k)), lambda k: k.isNotNull())
+        low = lambda k: F.greatest(F.get(core, k) - 2, F.lit(0))
+        high = lambda k: F.least(F.get(core, F.coalesce(k - 1, F.size(core) - 1)) + 2, F.size(numbers) - 1)
+        return F.transform(first, lambda k, n: F.struct(low(k).alias("low"), high(F.get(first, n + 1)).alias("high")))
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(1, keepdims=True))
@@ -159,40 +205,44 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     """doc_id, n_candidates, family, families, probability, containment for every row.
 
     families: the confirmed families of all units, ascending; family: the most probable confirmed one (of equals the first by
-    name), 'unknown' if the text has candidates (anchors) but none confirmed, 'none' without candidates (also for null and
-    empty texts). probability and containment: the largest of that family's confirmed units, null without one. Whole texts
-    are scanned; repeated rows give the same; an empty table gives an empty result. Other columns are not looked at.
+    name), 'unknown' if the text has candidates but none confirmed, 'none' without candidates (also for null and empty
+    texts). A candidate is a unit with a word for a licence, or one whose likeliest class is a family. probability and
+    containment: the largest of that family's confirmed units, null without one. Whole texts are scanned; repeated rows give
+    the same; an empty table gives an empty result. Other columns are not looked at.
     """
     model = Classifier(docs.sparkSession, p)
     k = len(model.families)
-    flat = F.from_json(F.lit(json.dumps(model.weights.reshape(-1).tolist())), "array<double>")
-    bias = F.array(*[F.lit(float(x)) for x in model.bias])
-    templates = F.from_json(F.lit(json.dumps([NOTICES[x] for x in NOTICES])), "array<array<string>>")
-    pairs = docs.sparkSession.range(1).select(F.transform(templates, lambda t: F.transform(t, lambda s: _pairs_of(_words(s)))).alias("t"))
-    names = F.array(*[F.lit(x) for x in model.families])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    nothing = F.array().cast("array<string>")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(ROUGH), text).otherwise("").alias("_text"))
-    own = own.select("doc_id", F.split("_text", "\n").alias("_lines"), F.when(F.col("_text") != "", _words(F.col("_text"))).otherwise(nothing).alias("_words"))
-    own = own.withColumn("_at", _anchors(F.col("_words"))).withColumn("n_candidates", F.size("_at").cast("long"))
-    own = own.withColumn("_line", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(ANCHORS), i)), lambda i: i.isNotNull()))
-    lines = F.concat(F.transform("_line", lambda i: F.get("_lines", i)), F.transform("_line", lambda i: F.concat_ws(" ", F.slice("_lines", i + 1, 3))))
-    units = F.concat(F.transform(F.array_distinct(lines), lambda x: _words(x)), _windows(F.col("_words"), F.col("_at")))
-    own = own.withColumn("_units", F.array_distinct(units)).withColumn("_t", pairs.scalar()).withColumn("_weights", flat)
-    logits = lambda f: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.aggregate(f, F.get(bias, c), lambda s, b: s + F.get(F.col("_weights"), (b * k + c).cast("int"))))
-    own = own.withColumn("_units", F.transform("_units", lambda w: F.struct(logits(_features(w, p)).alias("z"), _pairs_of(w).alias("pairs"))))
-
-    def judge(u: Column) -> Column:
+    flat, names = _array(model.weights.reshape(-1).tolist(), "double"), F.array(*[F.lit(x) for x in model.families])
+    bias, templates = F.array(*[F.lit(float(x)) for x in model.bias]), _array(model.templates, "array<array<int>>")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    own = own.withColumn("_v", model.numbers(F.col("_words")))
+    spoken = lambda u: F.exists(F.slice("_words", u["low"] + 1, u["high"] - u["low"] + 1), lambda w: w.rlike(LICENCE_WORD))
+    own = own.withColumn("_units", F.transform(model.units(F.col("_v")), lambda u: F.struct(model.features(F.col("_v"), u["low"], u["high"]).alias("f"), spoken(u).alias("spoken"))))
+    own = own.withColumn("_flat", flat).withColumn("_templates", templates)
+
+    def logits(u: Column) -> Column:
+        z = lambda c: F.aggregate(u["f"], F.get(bias, c), lambda s, f: s + F.get(F.col("_flat"), f * k + c))
+        return F.struct(u["f"].alias("f"), u["spoken"].alias("spoken"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), z).alias("z"))
+
+    def odds(u: Column) -> Column:
         top = F.array_max(u["z"])
-        best = (F.array_position(u["z"], top) - 1).cast("int")
         total = F.aggregate(u["z"], F.lit(0.0), lambda s, z: s + F.exp(z - top))
-        held = F.transform(F.get(F.col("_t"), best), lambda t: F.size(F.array_intersect(t, u["pairs"])) / F.greatest(F.size(t), F.lit(1)))
-        return F.struct((1 / total).alias("probability"), best.alias("best"), F.coalesce(F.array_max(held), F.lit(0.0)).alias("containment"))
+        return F.struct(u["f"].alias("f"), u["spoken"].alias("spoken"), (F.array_position(u["z"], top) - 1 < k - 1).alias("family"), F.transform(u["z"], lambda z: F.exp(z - top) / total).alias("odds"), F.transform(u["z"], lambda z: z - F.element_at(u["z"], -1)).alias("over"))
+
+    def confirmed(u: Column) -> Column:
+        """Families whose odds against 'unknown' are enough, with a template that the unit holds for the most part."""
+
+        def one(c: Column) -> Column:
+            enough = F.get(u["over"], c) >= float(np.log(model.least / (1 - model.least)))
+            held = F.array_max(F.transform(F.get(F.col("_templates"), c), lambda t: F.size(F.array_intersect(t, u["f"])) / F.greatest(F.size(t), F.lit(1))))
+            return F.when(enough & (held >= p.containment), F.struct((-F.get(u["odds"], c)).alias("p"), F.get(names, c).alias("family"), held.alias("containment")))
+
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.lit(k - 2)), one), lambda x: x.isNotNull())
+        return F.filter(found, lambda x: (-x["p"] >= model.least) | (x["containment"] == 1.0))  # a whole template counts beside a likelier one
 
-    own = own.withColumn("_units", F.transform("_units", judge))
-    sure = F.filter("_units", lambda u: (u["best"] < k - 1) & (u["probability"] >= model.least) & (u["containment"] >= p.containment))
-    own = own.withColumn("_sure", F.transform(sure, lambda u: F.struct((-u["probability"]).alias("p"), F.get(names, u["best"]).alias("family"), u["containment"].alias("containment"))))
+    own = own.withColumn("_units", F.transform("_units", logits)).withColumn("_units", F.transform("_units", odds))
+    own = own.withColumn("n_candidates", F.size(F.filter("_units", lambda u: u["spoken"] | u["family"])).cast("long"))
+    own = own.withColumn("_sure", F.flatten(F.transform("_units", confirmed)))
     own = own.withColumn("_top", F.array_min("_sure"))
     mine = F.filter("_sure", lambda u: u["family"] == F.col("_top")["family"])
     return own.select(

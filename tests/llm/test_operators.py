@@ -608,11 +608,58 @@ def test_licenses_across_line_breaks_and_in_long_lines(spark):
         " * Redistribution  and\n * use in source and binary forms, with or without\n * modification, are permitted": "BSD",
         f"{filler} Licensed under the Apache License, Version 2.0 {filler}": "Apache-2.0",
         "the public\nworks of the domain": "none",
+        "distributed under the Apache\nLicense 2.0": "Apache-2.0",
+        f"{filler} the license of a driver {filler} Released under the MIT License {filler}": "MIT",
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r.doc_id: r.family for r in license_scan.scan(df).collect()} == dict(enumerate(cases.values()))
 
 
+def test_license_recall_and_precision(spark):
+    """Worn copies that the model hasn't seen, in foreign text over several lines: how many are found, and how many answers are right."""
+    rng = np.random.Generator(np.random.PCG64(77))
+    foreign = lambda: " ".join("".join(rng.choice(list("abdeghilmnorstu"), 6)) for _ in range(12))
+    data = [(f"{foreign()}\n{license_scan._worn(x, rng)} \n {foreign()}", name) for name, many in license_scan.NOTICES.items() for x in many for _ in range(6)]
+    data += [(f"{foreign()}\n{license_scan._worn(x, rng)}\n{foreign()}", None) for x in license_scan.NEAR_MISSES for _ in range(6)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in license_scan.scan(df).collect()}
+    named = {i: f for i, f in got.items() if f not in ("none", "unknown")}
+    right = sum(data[i][1] == f for i, f in named.items())
+    wanted = sum(x is not None for _, x in data)
+    print("recall", right / wanted, "precision", right / len(named))
+    assert right / wanted > 0.8 and right / len(named) > 0.95
+
+
+def test_license_features_equal_plain_ones(spark):
+    """Numbers, units and features of words by plain loops."""
+    p = license_scan.LicenseParams(cells=64)  # many words share cells
+    model = license_scan.Classifier(spark, p)
+    texts = ["Licensed under the Apache License, Version 2.0 and so on", "x y z", "", "public " * 3 + "a b c d e f g h domain", "MIT license " + "word " * 20 + "GNU general public"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", license_scan._words(F.col("t")).alias("w"))
+    df = df.withColumn("v", model.numbers(F.col("w"))).withColumn("u", model.units(F.col("v")))
+    vocabulary = sorted({w for x in license_scan.NOTICES.values() for s in x for w in plain_words(s)} | {w for s in license_scan.NEAR_MISSES for w in plain_words(s)})
+    for r in df.withColumn("f", F.transform("u", lambda u: model.features(F.col("v"), u["low"], u["high"]))).collect():
+        assert r.w == plain_words(texts[r.i])
+        v = [vocabulary.index(w) + 1 if w in vocabulary else 0 for w in r.w]
+        assert r.v == v
+        core = [i for i, w in enumerate(r.w) if v[i] and w not in license_scan.FUNCTION_WORDS]
+        runs = []
+        for i in core:
+            if runs and i - runs[-1][1] <= p.gap:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        spans = [(max(a - 2, 0), min(b + 2, len(v) - 1)) for a, b in runs]
+        assert [(u.low, u.high) for u in r.u] == spans
+        for (a, b), f in zip(spans, r.f):
+            grams = {tuple(v[i - n + 1 : i + 1]) for n in (1, 2, 3) for i in range(a + n - 1, b + 1) if all(v[i - n + 1 : i + 1])}
+            assert sorted(f) == sorted(model.known[model._key(g)] for g in grams if model._key(g) in model.known)
+
+
+def plain_words(text):
+    return [w for w in regex.sub(r"\.+(?= |$)", "", regex.sub(r"[^\p{L}\p{N}.+]+", " ", text.lower()).strip()).split(" ") if w]
+
+
 # shared ----------------------------------------------------------------------------------------------------------------
 
 
