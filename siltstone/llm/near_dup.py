@@ -47,6 +47,8 @@ class NearDupParams:
     salts: int = 32
     #: Up to so many documents in shared buckets, their ids (16 MB) are broadcast to pick out their texts; beyond, both are shuffled.
     broadcast_ids: int = 2_000_000
+    #: Pairs of one hub that are confirmed in one task, about.
+    hub_pairs: int = 256
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -170,7 +172,14 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")), "b")
+    # A hub's pairs are dealt over several tasks, and its set is sent to each.
+    heavy = pairs.groupBy("b").agg(F.ceil(F.count("*") / p.hub_pairs).cast("int").alias("parts")).filter("parts > 1")
+    heavy = written(heavy, "hubs")
+    heavy = F.broadcast(heavy) if heavy.count() <= p.broadcast_ids else heavy
+    pairs = pairs.join(heavy, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    hubs = sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")).join(heavy, "b", "left")
+    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")), "a").join(hubs, ["b", "part"])
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("common") >= p.percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
 
@@ -217,7 +226,7 @@ def links(reps: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     sizes = left.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_hub")).distinct()
     alike = 100 * F.least("n_hub", "n_shingles") >= p.percent * F.greatest("n_hub", "n_shingles")
     pairs = left.select("hub", "doc_id", "n_shingles").filter("hub < doc_id").distinct().join(sizes, "hub").filter(alike)
-    edges = written(_confirmed(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), sets, p), "links")
+    edges = written(_confirmed(written(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "pairs"), sets, p), "links")
     found = components(edges)
 
     # Buckets whose members lie in several components; the members outside the largest one meet all others.
