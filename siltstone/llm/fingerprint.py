@@ -36,7 +36,7 @@ class FingerprintParams:
     #: Entropy (bits) of common text windows, and below which a window is no feature.
     common_entropy: float = 3.5
     least_entropy: float = 1.0
-    features_per_filter: int = 192
+    features_per_filter: int = 224
     #: Share of the room between chance and full overlap that counts as nothing.
     cutoff: float = 0.15
 
