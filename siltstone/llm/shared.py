@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -28,19 +29,39 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The application's folder in that of spark.checkpoint.dir, deleted when the driver ends.
+
+    Where that is unset, a folder on this machine serves, but only if all executors run here too (tests).
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        path = context.getCheckpointDir()
+    own = f"{path.rstrip('/')}/llm-{context.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_delete, spark, own)
+    return own
+
+
+_owned: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if the session is still there to do it."""
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a table in the shared folder: computed once, and lost executors don't make it recompute."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

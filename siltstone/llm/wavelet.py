@@ -141,21 +141,27 @@ class Shard:
             seq = back
         return seq
 
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+    def _ranges(self, token: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the occurrences of token in places lo to hi stand after the last plane."""
+        lo, hi = np.asarray(lo, np.int64), np.asarray(hi, np.int64)
         for k, (zeros, _, _) in enumerate(self.planes):
-            a, b = self._rank(k, np.array([lo, hi]))
+            a, b = self._rank(k, lo), self._rank(k, hi)
             lo, hi = (zeros + a, zeros + b) if (token >> (self.bits - 1 - k)) & 1 else (lo - a, hi - b)
-        return int(lo), int(hi)
+        return lo, hi
+
+    def counts(self, token: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How often token occurs in each of many ranges of places."""
+        a, b = self._ranges(token, lo, hi)
+        return b - a
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often token occurs in places lo to hi."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
-        return b - a
+        return int(self.counts(token, np.array([lo]), np.array([self.n if hi is None else hi]))[0])
 
     def occurrences(self, token: int) -> np.ndarray:
         """All places of token, ascending."""
-        a, b = self._range(token, 0, self.n)
-        at_ = np.arange(a, b, dtype=np.int64)
+        a, b = self._ranges(token, np.array([0]), np.array([self.n]))
+        at_ = np.arange(a[0], b[0], dtype=np.int64)
         for k in range(self.bits - 1, -1, -1):
             one = bool((token >> (self.bits - 1 - k)) & 1)
             at_ = self._select(k, at_ - self.planes[k][0] if one else at_, one)
@@ -172,7 +178,10 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def write_shards(docs: DataFrame, p: TokenFileParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written token files of docs in ascending doc_id order: part, seq, prior (tokens before it in the part), n_tokens, n_docs, file."""
+    """The written token files of docs in ascending doc_id order: part, seq, prior (tokens before it in the part), n_tokens, n_docs, file.
+
+    Each shard is a file of its own in the shared folder, a Parquet file of one row whose column file holds its bytes.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +216,15 @@ def write_shards(docs: DataFrame, p: TokenFileParams, id_col: str = "doc_id", te
     own = texts(docs, id_col, text_col)
     order = ["doc_id", F.xxhash64("text")]
     dealt = own.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(run, "part int, seq int, prior long, n_tokens long, n_docs long, file binary"), "token-files")
+    made = dealt.mapInArrow(run, "part int, seq int, prior long, n_tokens long, n_docs long, file binary")
+    return written(made, "token-files", maxRecordsPerFile=1, compression="none")  # the bytes are compressed
+
 
+def read_shards(shards: DataFrame, end_id: int) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, n_end_ids of all documents in the files.
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of all documents in the files; start: tokens of all documents before."""
+    start: tokens of all documents before; n_end_ids: how often the end id occurs in the document, counted by rank alone.
+    """
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each writing task
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     placed = shards.join(F.broadcast(before), "part").select((F.col("base") + F.col("prior")).alias("start"), "file")
@@ -224,16 +237,30 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(body[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
                 names = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == -(1 << 63))
-                yield pa.RecordBatch.from_arrays([names, pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                marks = shard.counts(end_id, ends - n, ends)
+                yield pa.RecordBatch.from_arrays([names, pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64()), pa.array(marks)], ["doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids"])
+
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long")
+
+
+def lookup(shards: DataFrame, token: int) -> DataFrame:
+    """part, seq, n, places of each file with the token: how often it occurs, and where in the file, by rank and select."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, raw in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("file")):
+                places = Shard.from_bytes(raw.as_py()).occurrences(token)
+                if len(places):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(places)], pa.int64()), pa.array([places], pa.list_(pa.int64()))], ["part", "seq", "n", "places"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "seq", "file").mapInArrow(run, "part int, seq int, n long, places array<long>")
 
 
 def token_files(docs: DataFrame, p: TokenFileParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes docs, writes the token files, and reads doc_id, start, n_tokens, ids_crc32 of every document back from them.
+    """Encodes docs, writes the token files, and reads doc_id, start, n_tokens, ids_crc32, n_end_ids of every document back from them.
 
     Every text gets the end id after its ids; a null text counts as empty and so has the end id alone. Rows of one doc_id
     are ordered by a hash of their text; null ids come first. An empty table makes no file and an empty result. Other
     columns are not looked at.
     """
-    return read_shards(write_shards(docs, p, id_col, text_col))
+    return read_shards(write_shards(docs, p, id_col, text_col), p.end_id)

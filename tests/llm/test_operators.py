@@ -413,7 +413,14 @@ def test_token_files(docs, odd, none):
     for (d, _), ids in zip(data, library_ids("byte_bpe_50k.json", data)):
         want[d] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    assert {r.doc_id: tuple(r)[1:] for r in wavelet.token_files(docs, p).collect()} == want
+    marks = {d: int((ids == 2).sum()) for (d, _), ids in zip(data, library_ids("byte_bpe_50k.json", data))}
+    got = wavelet.token_files(docs, p).collect()
+    assert {r.doc_id: tuple(r)[1:4] for r in got} == want and {r.doc_id: r.n_end_ids for r in got} == marks
+    shards = wavelet.write_shards(docs, p)
+    assert len(shards.inputFiles()) == shards.count() > 3  # a file each
+    every = np.concatenate(library_ids("byte_bpe_50k.json", data))
+    for token in (2, int(every[5]), 50000):
+        assert sum(r.n for r in wavelet.lookup(shards, token).collect()) == (every == token).sum()
     got = wavelet.token_files(odd, p).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(i), zlib.crc32(i.tobytes())) for (d, _), i in zip(rows(odd), library_ids("byte_bpe_50k.json", rows(odd))))
     at = 0
