@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,9 +23,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_owned: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which is deleted when the driver ends."""
+    own = f"{shared_root(spark)}/app-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_delete, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if the session is still there to do it."""
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

@@ -28,8 +28,13 @@ class Store:
 
 
 def _section(df: DataFrame, name: str, text: str, order: list, budget: int) -> DataFrame:
-    """section, pos, text: the longest prefix within budget tokens."""
-    kept = S.within_budget(df.withColumn("_n", T.token_count(F.col(text))), "_n", order, budget)
+    """section, pos, text: the longest prefix within budget tokens.
+
+    A text has a token at least (others add nothing and are left out), so that no more than budget rows can be in the prefix;
+    only so many come to the task that adds up.
+    """
+    sized = df.withColumn("_n", T.token_count(F.col(text))).filter("_n > 0")
+    kept = S.within_budget(sized.orderBy(*order).limit(budget), "_n", order, budget)
     return kept.select(F.lit(name).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("pos"), F.col(text).alias("text"))
 
 
