@@ -6,8 +6,10 @@ words (a super-k-mer), to the bucket of that minimiser; so all copies of a windo
 sorted by a 64-bit hash, windows of one hash are compared word for word, and the smallest document of each sequence is
 found. The flagged positions go back to their documents, where the covered words are removed.
 
-A map task packs each distinct super-k-mer once for many documents (compressed), so a passage that many documents share
-costs a few bytes a copy. The number of buckets follows the bytes of text; nothing is capped.
+A map task packs each distinct super-k-mer once for many documents (compressed). Of one that very many of its documents have
+it sends the least and largest id only, so that a passage that a third of all documents share doesn't gather in one bucket;
+the bucket answers with the least id of each of its windows, and a second pass over the texts, with these answers at hand,
+flags the copies where they are. The number of buckets follows the bytes of text; nothing is capped.
 """
 
 from __future__ import annotations
@@ -38,12 +40,18 @@ class SubstringParams:
     bucket_bytes: int = 3 << 19
     #: Bytes of packed strings that a map task gathers before it writes them to the buckets.
     flush_bytes: int = 48 << 20
+    #: Copies of one super-k-mer in what a map task gathers from which they aren't sent.
+    hot: int = 64
+    #: Answers that one pass over the texts takes along; more take further passes.
+    answers: int = 100_000
     #: Up to so many doc_ids of several rows (16 MB) are broadcast to mark their rows; beyond, both are shuffled.
     broadcast_ids: int = 2_000_000
 
 
 BUCKET_SCHEMA = "bucket long, payload binary"
 FLAG_SCHEMA = "doc_id long, version long, at int, n int"
+#: What a bucket gives: flags, and, with a digest, the least id of windows at to at + n - 1 of a super-k-mer.
+FOUND_SCHEMA = FLAG_SCHEMA + ", code long, digest binary, least long"
 
 
 def _sliding_leftmost(key: np.ndarray, width: int) -> np.ndarray:
@@ -70,6 +78,31 @@ def _canonical(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[b
     return out.tobytes(), new, new + sizes
 
 
+def _codes(windows: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each super-k-mer, by its first and last window's hashes and its bytes."""
+    return at.mix(at.mix(windows[first]) + windows[last] * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64))
+
+
+def _super_kmers(buf: np.ndarray, offs: np.ndarray, p: SubstringParams):
+    """The rows' words as bytes, and of each super-k-mer its start and end there, minimiser hash, code, row, and word position; None without any."""
+    k, m = p.window, p.minimiser
+    starts, ends, bounds = at.words(buf, offs)
+    wins = at.starts_within(bounds, k)
+    if not len(wins):
+        return None
+    h = at.span_hashes(buf, starts, ends)
+    g = at.ngrams(h, m)
+    low = _sliding_leftmost(g, k - m + 1)[wins]
+    row = np.searchsorted(bounds, wins, side="right") - 1
+    cut = np.ones(len(wins), bool)
+    cut[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(wins)) - 1
+    text, cs, ce = _canonical(buf, starts, ends)
+    a, b, at_row = cs[wins[first]], ce[wins[last] + k - 1], row[first]
+    return text, a, b, at.mix(g[low[first]]), (at.ngrams(h, k), wins[first], wins[last]), at_row, (wins[first] - bounds[at_row]).astype(np.int32)
+
+
 class _Packer:
     """Super-k-mers of a task by bucket: each distinct string once, with the rows and word positions it occurs at."""
 
@@ -80,22 +113,12 @@ class _Packer:
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, ids: np.ndarray, versions: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> None:
-        k, m = self.p.window, self.p.minimiser
-        starts, ends, bounds = at.words(buf, offs)
-        wins = at.starts_within(bounds, k)
-        if not len(wins):
+        cut = _super_kmers(buf, offs, self.p)
+        if cut is None:
             return
-        h = at.span_hashes(buf, starts, ends)
-        g = at.ngrams(h, m)
-        low = _sliding_leftmost(g, k - m + 1)[wins]
-        row = np.searchsorted(bounds, wins, side="right") - 1
-        cut = np.ones(len(wins), bool)
-        cut[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(wins)) - 1
-        text, cs, ce = _canonical(buf, starts, ends)
-        a, b = cs[wins[first]].tolist(), ce[wins[last] + k - 1].tolist()
-        buckets = (at.mix(g[low[first]]) % np.uint64(self.n)).astype(np.int64).tolist()
+        text, a, b, minimisers, _, at_row, places = cut
+        a, b = a.tolist(), b.tolist()
+        buckets = (minimisers % np.uint64(self.n)).astype(np.int64).tolist()
         numbers = np.empty(len(a), np.int64)
         found, known = self.found, self.bucket
         for i, (x, y) in enumerate(zip(a, b)):
@@ -106,8 +129,7 @@ class _Packer:
                 known.append(buckets[i])
                 self.bytes += y - x + 100
             numbers[i] = number
-        at_row = row[first]
-        self.rows.append((numbers, ids[at_row], versions[at_row], (wins[first] - bounds[at_row]).astype(np.int32)))
+        self.rows.append((numbers, ids[at_row], versions[at_row], places))
         self.bytes += 28 * len(numbers)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -120,6 +142,17 @@ class _Packer:
         place[order] = np.arange(len(order))
         by = np.argsort(place[numbers], kind="stable")
         where, ids, versions, pos = place[numbers][by], ids[by], versions[by], pos[by]
+        copies = np.bincount(where, minlength=len(order))
+        if (copies > self.p.hot).any():  # of these, two lines without a place
+            first = np.cumsum(copies) - copies
+            many = np.flatnonzero(copies > self.p.hot)
+            least, most = np.minimum.reduceat(ids, first)[many], np.maximum.reduceat(ids, first)[many]
+            keep = copies[where] <= self.p.hot
+            keep[first[many]] = keep[first[many] + 1] = True
+            ids[first[many]], ids[first[many] + 1] = least, most
+            versions[first[many]] = versions[first[many] + 1] = 0
+            pos[first[many]] = pos[first[many] + 1] = -1
+            where, ids, versions, pos = where[keep], ids[keep], versions[keep], pos[keep]
         edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
         pack, out_b, out_p = zstandard.ZstdCompressor(level=6), [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
@@ -171,7 +204,7 @@ def _smallest(text: bytes, codes: np.ndarray, a: np.ndarray, b: np.ndarray, leas
 
 
 def _flags(payloads: list[bytes], p: SubstringParams) -> pa.Table:
-    """Runs of windows of a bucket that also start in a document with a smaller id."""
+    """Runs of windows of a bucket that also start in a document with a smaller id, and the answers for super-k-mers whose copies weren't sent."""
     lens, which, ids, versions, pos, bodies, base = [], [], [], [], [], [], 0
     for x in payloads:
         n, w, i, v, q, body = _unpack(x)
@@ -199,6 +232,10 @@ def _flags(payloads: list[bytes], p: SubstringParams) -> pa.Table:
     low = _smallest(text, codes, a, b, least[row])
     some = np.zeros(len(lens), bool)
     some[row[low < most[row]]] = True  # strings with a window that an earlier document has
+    code = _codes(codes, bounds[:-1], bounds[1:] - 1, lens)
+    unsent = np.isin(code, code[which[pos < 0]])
+    answers = _answers(text, offs, code, bounds, low, np.flatnonzero(unsent))
+    some[unsent] = False
     use = np.flatnonzero(some[which])
     n = np.diff(bounds)[which[use]]
     window = at.gather(np.arange(len(low)), bounds[which[use]], n)
@@ -211,7 +248,65 @@ def _flags(payloads: list[bytes], p: SubstringParams) -> pa.Table:
     o = occurrence[first]
     start = pos[o] + window[first] - bounds[which[o]]
     size = np.diff(np.append(first, len(window)))
-    return pa.table([pa.array(ids[o]), pa.array(versions[o]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["doc_id", "version", "at", "n"])
+    none = [pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.binary()), pa.nulls(len(o), pa.int64())]
+    return pa.concat_tables([pa.table([pa.array(ids[o]), pa.array(versions[o]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), *none], _FOUND), answers])
+
+
+_FOUND = [x.split()[0] for x in FOUND_SCHEMA.split(", ")]
+
+
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def _answers(text: bytes, offs: np.ndarray, code: np.ndarray, bounds: np.ndarray, low: np.ndarray, which: np.ndarray) -> pa.Table:
+    """For each distinct one of the strings numbered which, runs of its windows with one least id."""
+    rows: list[tuple] = []
+    seen = set()
+    for i in which.tolist():
+        digest = _digest(text[offs[i] : offs[i + 1]])
+        if digest not in seen:
+            seen.add(digest)
+            own = low[bounds[i] : bounds[i + 1]]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            for a, n in zip(first.tolist(), np.diff(np.append(first, len(own))).tolist()):
+                rows.append((a, n, int(code[i].astype(np.int64)), digest, int(own[a])))
+    at_, n, codes, digests, least = zip(*rows) if rows else ((),) * 5
+    return pa.table([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(at_, pa.int32()), pa.array(n, pa.int32()), pa.array(codes, pa.int64()), pa.array(digests, pa.binary()), pa.array(least, pa.int64())], _FOUND)
+
+
+def _flag_copies(docs: DataFrame, answers: DataFrame, p: SubstringParams) -> DataFrame:
+    """Flags of all copies of the super-k-mers in answers (code, digest, at, n, least), which fit the driver."""
+    rows = answers.select("code", "digest", "at", "n", "least").toArrow()
+    runs = defaultdict(list)
+    for code, digest, at_, n, least in zip(*(rows.column(c).to_pylist() for c in ("code", "digest", "at", "n", "least"))):
+        runs[(code, digest)].append((at_, n, least))
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(sorted({c for c, _ in runs}), np.int64), dict(runs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known = shared.value
+        wanted = np.sort(wanted.view(np.uint64))
+        for batch in batches:
+            buf, offs = at.utf8(batch.column("text"))
+            ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
+            for i, j in at.blocks(offs):
+                cut = _super_kmers(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p)
+                if cut is None:
+                    continue
+                text, a, b, _, (windows, first, last), row, places = cut
+                code = _codes(windows, first, last, b - a)
+                place = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+                found: list[tuple] = []
+                for x in np.flatnonzero(wanted[place] == code).tolist():
+                    doc = int(ids[i + row[x]])
+                    for at_, n, least in known.get((int(code[x].astype(np.int64)), _digest(text[a[x] : b[x]])), ()):
+                        if least < doc:
+                            found.append((doc, int(versions[i + row[x]]), int(places[x]) + at_, n))
+                if found:
+                    columns = zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], _FOUND[:4])
+
+    return docs.mapInArrow(run, FLAG_SCHEMA)
 
 
 def flagged_windows(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
@@ -233,7 +328,12 @@ def flagged_windows(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     def check(table: pa.Table) -> pa.Table:
         return _flags(table.column("payload").to_pylist(), p)
 
-    return docs.mapInArrow(pack, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(check, FLAG_SCHEMA)
+    found = written(docs.mapInArrow(pack, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(check, FOUND_SCHEMA), "windows")
+    flags, answers = found.filter("digest IS NULL").select(*_FOUND[:4]), found.filter("digest IS NOT NULL")
+    passes = -(-answers.count() // p.answers)
+    for k in range(passes):
+        flags = flags.unionByName(_flag_copies(docs, answers.filter(F.pmod("code", F.lit(passes)) == k), p))
+    return flags
 
 
 def _versioned(own: DataFrame, p: SubstringParams) -> DataFrame:

@@ -564,7 +564,7 @@ def substring_brute(data, k=13):
 
 def test_substrings(docs, odd, none):
     for df in (docs, odd):
-        for p in (substring.SubstringParams(), substring.SubstringParams(window=6, bucket_bytes=2000, flush_bytes=20000)):
+        for p in (substring.SubstringParams(), substring.SubstringParams(window=6, bucket_bytes=2000, flush_bytes=20000, hot=2, answers=40)):
             got = substring.dedup_substrings(df, p).collect()
             assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == substring_brute(rows(df), p.window)
     assert substring.dedup_substrings(none).count() == 0
@@ -583,6 +583,23 @@ def test_rows_without_or_with_one_id_are_told_apart(spark):
         assert sorted((r.n_removed, r.doc_id) for r in got if r.doc_id == low) == [(0, low), (15, low)]
 
 
+def test_passages_that_many_documents_have(spark):
+    """Passages in most documents, whole and in part, whose copies aren't sent to the buckets."""
+    rng = np.random.default_rng(4)
+    passage = [f"common{i}" for i in range(60)]
+    data = []
+    for d in range(200):
+        own = [f"w{x}" for x in rng.integers(0, 4000, 30)]
+        a, b = (0, 60) if d % 3 else sorted(rng.integers(0, 61, 2).tolist())
+        at = int(rng.integers(0, 31))
+        data.append((int(1000 - d * 3), " ".join(own[:at] + passage[a:b] + own[at:] + (passage if d % 7 == 0 else []))))
+    data += [(None, " ".join(passage))] * 3 + [(5, " ".join(passage)), (5, " ".join(passage[:40]))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for p in (substring.SubstringParams(hot=2, answers=3), substring.SubstringParams(hot=20), substring.SubstringParams(hot=10_000)):
+        got = substring.dedup_substrings(df, p).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == substring_brute(data)
+
+
 def test_windows_with_one_hash_are_told_apart():
     text, codes = b"aa bb aa cc aa bb", np.array([5, 5, 5], np.uint64)
     got = substring._smallest(text, codes, np.array([0, 6, 12]), np.array([5, 11, 17]), np.array([9, 1, 4]))
