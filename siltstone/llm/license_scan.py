@@ -47,7 +47,8 @@ NEAR_MISSES = [
 ]
 # Words that alone don't tell of a licence.
 FUNCTION_WORDS = "a all and any are as at be by for free from he his in included is it its list may must not of on one only or other person same section shall the this to under use using was with without work world you".split()
-TOKEN = r"[^\p{L}\p{N}.+]+"
+#: What stands between words: white space and punctuation, but for dots inside of words, and plus signs.
+BREAK = r"\.*[\x00-*,\-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00bf\u2000-\u206f\u3000-\u303f]+|\.+$"
 LICENCE_WORD = r"licen[cs]|spdx"
 
 
@@ -65,8 +66,8 @@ class LicenseParams:
 
 
 def _words(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), TOKEN, " "), r"\.+(?= |$)", ""))
-    return F.filter(F.split(plain, " +"), lambda x: x != "")
+    """Lower-case words; empty ones may stand at the ends."""
+    return F.split(F.lower(text), BREAK)
 
 
 def _array(values: list, kind: str) -> Column:
@@ -90,6 +91,9 @@ class _Table:
             if len(later) == len(left):
                 raise ValueError("repeated keys")
             self.parts.append((salt, cells, _array(table, "int")))
+            if not salt:  # most keys asked for fail at the first look
+                every = spark.range(1).select(F.transform(_array(keys, kind), lambda k: self._cell(k, 0, cells)).alias("c")).first().c
+                self.taken = _array(np.isin(np.arange(cells), every).tolist(), "boolean")
             left, salt = later, salt + 1
 
     @staticmethod
@@ -102,7 +106,8 @@ class _Table:
         for salt, cells, table in reversed(self.parts):
             at = F.get(table, self._cell(key, salt, cells))
             out = F.when(F.get(self.keys, at) == key, at).otherwise(out)
-        return out
+        salt, cells, _ = self.parts[0]
+        return F.when(F.get(self.taken, self._cell(key, salt, cells)), out).otherwise(0)
 
 
 def _worn(sentence: str, rng: np.random.Generator) -> str:
@@ -122,18 +127,17 @@ class Classifier:
         self.p, self.families = p, [*NOTICES, "unknown"]
         unknown = len(NOTICES)
         plain = [*(x for name in NOTICES for x in NOTICES[name]), *NEAR_MISSES]
-        cut = dict(zip(plain, spark.range(1).select(F.transform(_array(plain, "string"), _words).alias("w")).first().w))
-        vocabulary = sorted({w for words in cut.values() for w in words})
+        cut = dict(zip(plain, spark.range(1).select(F.transform(_array(plain, "string"), lambda x: F.filter(_words(x), lambda w: w != "")).alias("w")).first().w))
+        vocabulary = sorted({w for words in cut.values() for w in words}, key=lambda w: (w not in FUNCTION_WORDS, w))
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.size = len(vocabulary) + 1
-        core = [0, *(int(w not in FUNCTION_WORDS) for w in vocabulary)]
-        self.core = _array(core, "int")
+        self.plain = sum(w in FUNCTION_WORDS for w in vocabulary)  # core words have larger numbers
         found: dict[int, None] = {}
         for words in cut.values():
             ids = [number[w] for w in words]
             for n in (1, 2, 3):
                 for i in range(len(ids) - n + 1):
-                    if any(core[x] for x in ids[i : i + n]):
+                    if max(ids[i : i + n]) > self.plain:
                         found.setdefault(self._key(ids[i : i + n]))
         self.known = {k: i + 1 for i, k in enumerate(found)}
         self.words, self.grams = _Table(spark, vocabulary, "string", p.cells), _Table(spark, list(found), "bigint", p.cells)
@@ -187,13 +191,19 @@ class Classifier:
         found = F.transform(F.array_distinct(keys), self.grams.number)
         return F.when(high >= low, F.filter(found, lambda f: f > 0)).otherwise(F.array().cast("array<int>"))
 
-    def units(self, numbers: Column) -> Column:
-        """array<struct(low, high)>: runs of core words no more than gap words apart, with two words more at each end."""
-        core = F.filter(F.transform(numbers, lambda v, i: F.when(F.get(self.core, v) > 0, i)), lambda i: i.isNotNull())
-        first = F.filter(F.transform(core, lambda c, k: F.when((k == 0) | (c - F.get(core, k - 1) > self.p.gap), k)), lambda k: k.isNotNull())
+    def with_units(self, df: DataFrame) -> DataFrame:
+        """df (_v: vocabulary numbers) with _units, array<struct(low, high)>: runs of core words no more than gap words apart, with two words more at each end.
+
+        The arrays that lambdas look into are columns of their own, each used more than once, so that none is worked out anew
+        for each element.
+        """
+        found = F.filter(F.transform("_v", lambda v, i: F.when(v > self.plain, i)), lambda i: i.isNotNull())
+        df = df.withColumn("_core", F.when(F.array_max("_v") > self.plain, found).otherwise(F.array().cast("array<int>")))
+        core, first = F.col("_core"), F.col("_first")
+        df = df.withColumn("_first", F.filter(F.transform(core, lambda c, k: F.when((k == 0) | (c - F.get(core, k - 1) > self.p.gap), k)), lambda k: k.isNotNull()))
         low = lambda k: F.greatest(F.get(core, k) - 2, F.lit(0))
-        high = lambda k: F.least(F.get(core, F.coalesce(k - 1, F.size(core) - 1)) + 2, F.size(numbers) - 1)
-        return F.transform(first, lambda k, n: F.struct(low(k).alias("low"), high(F.get(first, n + 1)).alias("high")))
+        high = lambda k: F.least(F.get(core, F.coalesce(k - 1, F.size(core) - 1)) + 2, F.size("_v") - 1)
+        return df.withColumn("_units", F.transform(first, lambda k, n: F.struct(low(k).alias("low"), high(F.get(first, n + 1)).alias("high"))))
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -217,7 +227,8 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
     own = own.withColumn("_v", model.numbers(F.col("_words")))
     spoken = lambda u: F.exists(F.slice("_words", u["low"] + 1, u["high"] - u["low"] + 1), lambda w: w.rlike(LICENCE_WORD))
-    own = own.withColumn("_units", F.transform(model.units(F.col("_v")), lambda u: F.struct(model.features(F.col("_v"), u["low"], u["high"]).alias("f"), spoken(u).alias("spoken"))))
+    own = model.with_units(own)
+    own = own.withColumn("_units", F.transform("_units", lambda u: F.struct(model.features(F.col("_v"), u["low"], u["high"]).alias("f"), spoken(u).alias("spoken"))))
     own = own.withColumn("_flat", flat).withColumn("_templates", templates)
 
     def logits(u: Column) -> Column:
