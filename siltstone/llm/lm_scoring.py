@@ -142,16 +142,22 @@ class Network:
     def neighbours(self, own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows of inner for the neighbours of each place, one line a neighbour."""
         r, v = self.p.reach, self.first + self.p.classes
-        padded = np.zeros(len(own) + r * len(bounds), np.int32)
+        padded = np.zeros(len(own) + r * len(bounds), np.int64)
         place = np.arange(len(own)) + r * (at.row_of(bounds) + 1)
         padded[place] = own
-        return np.stack([padded[place + k] + np.int32(v * i) for i, k in enumerate((*range(-r, 0), *range(1, r + 1)))])
+        return np.stack([padded[place + k] + v * i for i, k in enumerate((*range(-r, 0), *range(1, r + 1)))])
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.inner[near[0]]
+        total = self.inner.take(near[0], axis=0)
         for x in near[1:]:
-            total += self.inner[x]
-        return np.tanh(total, out=total)
+            total += self.inner.take(x, axis=0)
+        # tanh x = 1 - 2 / (1 + exp 2x), as exp is vectorised; beyond 40 it is 1.
+        total += total
+        np.exp(np.minimum(total, 80, out=total), out=total)
+        total += 1
+        np.divide(-2, total, out=total)
+        total += 1
+        return total
 
     def _by_group(self, place: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
         """An order of the places by group, and for each group that occurs its number, and its bounds among all symbols and in that order."""
@@ -175,7 +181,7 @@ class Network:
         for i in range(0, len(own), size):
             y = place[i : i + size]
             order, parts = self._by_group(y)
-            y, h = y[order], self.hidden(near[:, i : i + size][:, order])
+            y, h = y[order], self.hidden(near[:, i : i + size].take(order, axis=1))
             value = _chosen(self.top @ h.T, *top_bias, self.group[y])
             for g, lo, hi, x, z in parts:
                 if hi - lo > 1:
@@ -191,7 +197,7 @@ class Network:
         for i in range(0, len(own), self.p.batch):
             y = place[i : i + self.p.batch]
             order, parts = self._by_group(y)
-            y, x = y[order], near[:, i : i + self.p.batch][:, order]
+            y, x = y[order], near[:, i : i + self.p.batch].take(order, axis=1)
             h = self.hidden(x)
             (top_bias,), biases = self._biases(self.top, self.top_bias, np.array([0, len(self.top)])), self._biases(self.outer, self.bias, self.bounds)
             e = _errors(self.top @ h.T, *top_bias, self.group[y])
@@ -210,9 +216,10 @@ class Network:
             self._step(self.bias, bias_square, grad_bias)
             for row in x:  # each neighbour has rows of its own
                 rows, some = _summed(row, back)
-                total = self.squares[0][rows] + some * some
+                total = self.squares[0].take(rows, axis=0)
+                total += some * some
                 self.squares[0][rows] = total
-                self.inner[rows] -= self.p.rate * some / np.sqrt(total)
+                self.inner[rows] = self.inner.take(rows, axis=0) - self.p.rate * some / np.sqrt(total)
 
     def _step(self, value: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
         square += grad * grad
@@ -234,18 +241,21 @@ def _errors(z: np.ndarray, bias: np.ndarray, wide: bool, y: np.ndarray) -> np.nd
     if wide:
         z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(0)
+    z *= 1 / z.sum(0)
     z[y, np.arange(len(y))] -= 1
     return z
 
 
 def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sums of their values."""
+    """The distinct keys and the sums of their values, row by row."""
     low = key.min()
     order = np.argsort((key - low).astype(np.uint16) if key.max() - low < 1 << 16 else key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(values[order], first)
+    values = values.take(order, axis=0)
+    if values.shape[1] % 2:
+        return key[first], np.add.reduceat(values, first)
+    return key[first], np.add.reduceat(values.view(np.complex64), first).view(np.float32)  # two sums at a time
 
 
 def _words(column: pa.Array, classes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
