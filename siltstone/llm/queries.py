@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lang_id, license_scan, lm_scoring, near_dup, packing, quality, substring, wavelet
+from . import bpe, centroids, fingerprint, lang_id, license_scan, lm_scoring, near_dup, negatives, packing, quality, sharding, substring, wavelet
 from .shared import prepare
 
 
@@ -60,8 +60,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.PackingParams(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), carry=[])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_near_dup, op3_lang_id, op4_quality, op5_fingerprints, op6_token_files, op7_substrings, op8_bpe, op9_licenses, op10_packing)
+    found = (op1_lm_scoring, op2_near_dup, op3_lang_id, op4_quality, op5_fingerprints, op6_token_files, op7_substrings, op8_bpe, op9_licenses, op10_packing, op11_hard_negatives, op12_centroids, op13_sharding)
     return {f.__name__: f for f in found}
 
 
@@ -88,6 +101,24 @@ x AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM f GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda v, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 FROM w LEFT JOIN x USING (doc_id)"""
 
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS INT) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) <= 5"""
+
+_NEAREST = """SELECT v.vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, k.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - k.e[i]) * (v.e[i] - k.e[i]))) AS BIGINT) AS d FROM v, {} k) v GROUP BY 1"""
+_MOVED = """SELECT k.c, coalesce(m.e, k.e) AS e FROM {0} k LEFT JOIN (SELECT c, list(x ORDER BY i) AS e FROM (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT n.c, unnest(v.e) AS x, unnest(range(1, 65)) AS i FROM {1} n JOIN v USING (vec_id)) GROUP BY 1, 2) GROUP BY 1) m USING (c)"""
+CENTROIDS_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INT) AS c, e FROM v QUALIFY c < 16),
+n0 AS ({_NEAREST.format('k0')}), k1 AS ({_MOVED.format('k0', 'n0')}), n1 AS ({_NEAREST.format('k1')}), k2 AS ({_MOVED.format('k1', 'n1')}), n2 AS ({_NEAREST.format('k2')}), k3 AS ({_MOVED.format('k2', 'n2')}), n3 AS ({_NEAREST.format('k3')})
+SELECT n.vec_id, n.c AS cluster, n.d AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia, CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.e, ',')) AS centroid_sha256 FROM n3 n JOIN k3 k USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators' methods can't be expressed in SQL; their tests hold them against brute-force versions."""
-    return {"op2_near_dup": NEAR_DUP_SQL, "op7_substrings": SUBSTRINGS_SQL}
+    return {"op2_near_dup": NEAR_DUP_SQL, "op7_substrings": SUBSTRINGS_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_centroids": CENTROIDS_SQL}

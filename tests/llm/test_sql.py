@@ -12,4 +12,4 @@ def test_same_rows(spark, sf_dir, name):
 
 
 def test_one_query_an_operator():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
