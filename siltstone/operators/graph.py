@@ -156,31 +156,6 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
     return labels
 
 
-def community_levels(nodes: DataFrame, edges: DataFrame, most: int = 10, rounds: int = 6, levels: int = 8) -> DataFrame:
-    """level, node, community (a path of labels): communities of communities until none has more than most nodes.
-
-    Each level runs label propagation on the edges inside the communities that are still too large. One that stays whole is cut
-    by a hash of its nodes into as many parts as it needs; after the last level all that are too large are.
-    """
-    now, out = nodes.select("node", F.lit("").alias("community")), None
-    for level in range(levels):
-        ends = lambda c: now.select(F.col("node").alias(c), F.col("community").alias(f"_{c}"))  # noqa: B023, E731
-        inside = edges.join(ends("src"), "src").join(ends("tgt"), "tgt").filter("_src = _tgt").select("src", "tgt", "weight")
-        found = communities(now.select("node"), inside, rounds).withColumnRenamed("community", "label").join(now, "node")
-        sizes = found.groupBy("community").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        stuck = (F.col("low") == F.col("high")) | F.lit(level == levels - 1)
-        part = F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("n") / most)).cast("string")
-        name = F.when(stuck & F.lit(level > 0), F.concat(F.lit("#"), part)).otherwise(F.col("label").cast("string"))
-        made = settled(found.join(sizes, "community").select("node", F.concat_ws("/", F.nullif("community", F.lit("")), name).alias("community")), "communities")
-        rows = made.select(F.lit(level).alias("level"), "node", "community")
-        out = rows if out is None else out.unionByName(rows)
-        large = made.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-        now = settled(made.join(large.select("community"), "community", "left_semi").select("node", "community"), "large")
-        if now.isEmpty():
-            break
-    return out
-
-
 def community_schema(members: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """level, community, nodes, edges, chunk_ids, occurrence from members (level, community, node), edges, chunks (node, chunk)."""
     inside = edges.select("src", "tgt").join(members.withColumnRenamed("node", "src"), "src").select("level", "community", F.concat_ws("-", F.least("src", "tgt").cast("string"), F.greatest("src", "tgt").cast("string")).alias("edge"))

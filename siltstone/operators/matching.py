@@ -1,4 +1,4 @@
-"""Dictionary matches, fielded lexical search, keyword graph search, and answers over named subjects."""
+"""Dictionary matches, keyword graph search, and answers over named subjects."""
 
 from __future__ import annotations
 
@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.text import tokens
-
 from . import graph as G
-from .search import postings
 
 #: Dictionary entries, about, that are sent to every task in one automaton; larger dictionaries are split into several.
 BROADCAST_ENTRIES = 200_000
@@ -70,47 +67,6 @@ def _match_part(docs: DataFrame, key: str, text: str, few: list[str]) -> DataFra
     return own.mapInArrow(run, T.StructType([own.schema[key], T.StructField("entry", T.StringType()), T.StructField("n", T.LongType())]))
 
 
-def _bm25_field(docs: DataFrame, key: str, field: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    own = docs.select(key, tokens(F.lower(F.col(field))).alias("_t")).withColumn("length", F.size("_t"))
-    wanted = F.array(*[F.lit(x) for x in terms])
-    stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = own.select(key, "length", F.explode(F.filter("_t", lambda x: F.array_contains(wanted, x))).alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(key).agg(F.sum(part).alias("score"))
-
-
-def multi_match(docs: DataFrame, key: str, fields: list[str], query: str, k: int) -> DataFrame:
-    """key, score, stage of the k best: BM25 over several fields (the best counts), else a phrase in the last field, else all at 1.
-
-    A stage is tried only if the one before found nothing.
-    """
-    terms = query.lower().split()
-    scored = None
-    for f in fields if terms else ():
-        one = _bm25_field(docs, key, f, terms)
-        scored = one if scored is None else scored.unionByName(one)
-    if scored is not None:
-        best = scored.groupBy(key).agg(F.round(F.max("score"), 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
-        if not best.isEmpty():
-            return best.withColumn("stage", F.lit("match"))
-    phrase = docs.filter(F.contains(F.lower(F.col(fields[-1])), F.lit(query.lower()))) if query else docs.filter("false")
-    if not phrase.isEmpty():
-        return phrase.select(key, F.lit(1.0).alias("score"), F.lit("phrase").alias("stage")).orderBy(key).limit(k)
-    return docs.select(key, F.lit(1.0).alias("score"), F.lit("all").alias("stage")).orderBy(key).limit(k)
-
-
-def fulltext(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
-    """key, score of documents with all terms: sum of tf * idf^2, idf = log10(n / df)."""
-    post = postings(docs, key, text).filter(F.col("term").isin(terms))
-    n = docs.agg(F.count("*").alias("n"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    part = F.col("tf") * F.pow(F.log10(F.col("n") / F.col("df")), 2)
-    got = post.join(F.broadcast(df), "term").join(F.broadcast(n)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("_m"))
-    return got.filter(F.col("_m") == len(set(terms))).drop("_m").orderBy(F.desc("score"), key).limit(k)
-
-
 def keyword_graph_search(edges: DataFrame, nodes: DataFrame, question: str, k: int, hops: int = 4) -> DataFrame:
     """src, tgt, score: relations for the nodes (node, name) that the question names.
 

@@ -16,6 +16,7 @@ from siltstone.functions import text as T
 from siltstone.operators import chunks as C
 from siltstone.operators import graph as G
 from siltstone.operators import matching as M
+from siltstone.operators import postings as I
 from siltstone.operators import search as S
 
 from .catalog import query, table
@@ -116,14 +117,21 @@ def j20_dictionary_match(spark, d):
     s AS (SELECT count(*) AS n, (SELECT sum(length) FROM l) / count(*) AS mean FROM documents), h AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('of', 'haing') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
     SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 4) AS score, 'match' AS stage FROM h JOIN f USING (term) JOIN l USING (doc_id), s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def r02_multi_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), "text")
-    return M.multi_match(docs, "doc_id", ["filename", "text"], "of haing", 10)
+    return I.multi_match(I.index_of(table(spark, d, "documents"), "doc_id", ["source", "text"]), ["source", "text"], "of haing", 10)
+
+
+@query("""SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = f[1] AND w[i + 1] = f[2])) AS n
+    FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), (SELECT list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[2:3] AS f FROM documents WHERE doc_id = 5)) WHERE n > 0""")
+def r02_phrase(spark, d):
+    """Documents with the second and third word of document 5 in a row."""
+    words = table(spark, d, "documents").filter("doc_id = 5").select(T.tokens(F.lower("text"))).first()[0][1:3]
+    return I.phrase(I.index_of(table(spark, d, "documents"), "doc_id", ["source", "text"]), "text", " ".join(words))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('the', 'of') GROUP BY ALL),
     f AS (SELECT term, count(*) AS df FROM p GROUP BY 1) SELECT doc_id, round(sum(tf * pow(log10((SELECT count(*) FROM documents) / df), 2)), 6) AS score FROM p JOIN f USING (term) GROUP BY 1 HAVING count(*) = 2 ORDER BY 2 DESC, 1 LIMIT 20""")
 def r03_fulltext(spark, d):
-    return M.fulltext(table(spark, d, "documents"), "doc_id", "text", ["the", "of"], 20)
+    return I.fulltext(I.index_of(table(spark, d, "documents"), "doc_id", ["text"], lower=False), "text", ["the", "of"], 20)
 
 
 @query("SELECT n_nationkey, [n_name] AS names FROM nation")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import providers as P
 from siltstone.functions import vectors as V
+from siltstone.operators import ann as A
 from siltstone.operators import cluster as M
 from siltstone.operators import graph as G
 from siltstone.operators import knowledge as K
@@ -74,6 +75,66 @@ def k07_nearest_by_distance(spark, d):
     return S.search(e, q, 10).select("vec_id", F.round(1 - F.col("score"), 4).alias("distance"))
 
 
+_INDEXED = "SELECT e.vec_id, {} FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {}) q WHERE {} ORDER BY {} DESC, e.vec_id LIMIT {}"
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_DOT = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def _index(spark, rows, **how):
+    return A.VectorIndex.create(rows, G.shared_path(spark, "ann"), A.IndexParams(64, nprobe=4, **how))
+
+
+def _vector(spark, d, vec_id):
+    return table(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+@query(_INDEXED.format(f"round(1 - {_COS}, 4) AS distance", 8, "true", _COS, 10))
+def k07_index_nearest(spark, d):
+    """All cells of a stored index, scored exactly: the answer of the full scan."""
+    index = _index(spark, table(spark, d, "embeddings"))
+    return index.search(_vector(spark, d, 8), 10, nprobe=len(index.model.cells), refine=None).select("vec_id", F.round(1 - F.col("score"), 4).alias("distance"))
+
+
+@query(_INDEXED.format(f"round({_DOT}, 4) AS score", 5, "e.label > 0", _DOT, 10))
+def k09_index_levels(spark, d):
+    """Inner products in a stored index under a condition on the level."""
+    index = _index(spark, table(spark, d, "embeddings"), metric="ip")
+    return index.search(_vector(spark, d, 5), 10, "label > 0", nprobe=len(index.model.cells), refine=None).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query(
+    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 10) AS sc FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+    SELECT query_id, vec_id, round(sc, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
+)
+def k18_index_batched(spark, d):
+    """Many queries against all cells of a stored index."""
+    e = table(spark, d, "embeddings")
+    index = _index(spark, e)
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search_many(q, 5, nprobe=len(index.model.cells), refine=None).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(_INDEXED.format("e.label % 3 AS level", 2, "e.label % 3 > 0 AND e.label <> 4", _COS, 12))
+def s28_entity_store(spark, d):
+    """Entities of all levels in a fresh index, one kind deleted again, searched above level 0."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).alias("level"), "label")
+    index = _index(spark, e)
+    index.delete(e.filter("label = 4"))
+    return index.search(_vector(spark, d, 2), 12, "level > 0", nprobe=len(index.model.cells), refine=None).select("vec_id", "level")
+
+
+@query(_INDEXED.format("e.label", 5, "e.vec_id % 9 <> 0", _COS, 12))
+def s34_index_reopened(spark, d):
+    """An index filled in two writes, cleaned, compacted, and opened anew by its path."""
+    e = table(spark, d, "embeddings")
+    index = _index(spark, e.filter("vec_id % 2 = 0"))
+    index.insert(e.filter("vec_id % 2 = 1"))
+    index.delete(e.filter("vec_id % 9 = 0"))
+    index.compact()
+    again = A.VectorIndex(spark, index.path)
+    return again.search(_vector(spark, d, 5), 12, nprobe=len(again.model.cells), refine=None).select("vec_id", "label")
+
+
 @query("SELECT label, vec_id, rank FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE rank <= 3")
 def k04_topk_per_document(spark, d):
     from pyspark.sql import Window

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph as G
+from siltstone.operators import leiden as L
 
 from .catalog import query, table
 
@@ -195,7 +196,7 @@ def g08_largest_component(spark, d):
 @query()
 def g09_communities(spark, d):
     e = G.settled(_edges(spark, d), "edges")
-    return G.community_levels(_nodes(e), e, 10, levels=4)
+    return L.community_levels(_nodes(e), e, 10)
 
 
 @query()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_ranges import read_csv
+
 _EXTENSIONS = {".txt": "text", ".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".md": "whole", ".parquet": "parquet", ".yaml": "yaml", ".yml": "yaml", ".xlsx": "xlsx"}
 
 
@@ -26,7 +28,7 @@ def kind_of(path: str) -> str:
 def read(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """The file or folder at path as a DataFrame, by its extension.
 
-    .txt: lines (value), cut at line feeds; .md: whole files (value); .csv with header; .json: one document a file; .jsonl: one a line. Give a
+    .txt: lines (value), cut at line feeds; .md: whole files (value); .csv with header, read by byte ranges; .json: one document a file; .jsonl: one a line. Give a
     schema for large inputs: it saves the pass that infers one. .yaml and .xlsx are read on the driver and need their libraries.
     """
     kind, reader = kind_of(path), spark.read if schema is None else spark.read.schema(schema)
@@ -35,7 +37,7 @@ def read(spark: SparkSession, path: str, schema: str | T.StructType | None = Non
     if kind == "whole":
         return spark.read.text(path, wholetext=True)
     if kind == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=True, escape='"', nullValue=NULL_MARK, emptyValue="")
+        return read_csv(spark, path, schema, nullValue=NULL_MARK, emptyValue="")
     if kind == "json":
         return reader.json(path, multiLine=True)
     if kind == "jsonl":
@@ -110,7 +112,7 @@ def read_graph_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     Rows in which one of those four is empty are left out; nodes are distinct.
     """
-    rows = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    rows = read_csv(spark, path, infer=False)
     rows = rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])
     full = rows.select(*[F.trim(f"_{i}").alias(c) for i, c in ((0, "src"), (1, "tgt"), (2, "type"), (4, "chunk_id"))])
     full = full.filter(" AND ".join(f"{c} IS NOT NULL AND {c} <> ''" for c in full.columns))
@@ -183,11 +185,22 @@ def _whole_folders(spark: SparkSession, path: str, letter: str) -> list[int]:
     return sorted(int(n[1:]) for n in names if n[:1] == letter and n[1:].isdigit() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
+def _unordered(kind: T.DataType) -> bool:
+    """Whether values of a type have no order: maps, and what holds them."""
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 class KeyedTable:
-    """A key to record table on any file system: the last write of a key wins.
+    """A key to record table on any file system: the last write of a key wins, and of rows of one key in one write the largest.
 
-    A write adds a segment and doesn't touch what is stored; after SEGMENTS of them all are merged into the next version's
-    first. One writer at a time; readers of older segments and versions aren't disturbed.
+    Rows are compared column by column in the order of their names, null below all else; a column that doesn't order counts as
+    its JSON. A null key is a key like others. A write adds a segment of one row a key and doesn't touch what is stored; after
+    SEGMENTS of them all are merged into the next version's first. One writer at a time; readers of older segments and versions
+    aren't disturbed.
     """
 
     SEGMENTS = 16
@@ -212,14 +225,20 @@ class KeyedTable:
         rows, several = self._segments(), len(_whole_folders(self.spark, f"{self.path}/v{self._version()}", "s")) > 1
         if rows is None or not several:
             return None if rows is None else rows.drop("_s")
-        columns = [c for c in rows.columns if c != "_s"]
-        return rows.groupBy(self.key).agg(F.max_by(F.struct(*columns), "_s").alias("_r")).select("_r.*")
+        columns = [F.col(f"`{c}`") for c in rows.columns if c != "_s"]
+        return rows.groupBy(F.col(f"`{self.key}`").alias("_k")).agg(F.max_by(F.struct(*columns), "_s").alias("_r")).select("_r.*")
+
+    def _one_a_key(self, rows: DataFrame) -> DataFrame:
+        """The largest row of each key."""
+        ordered = [F.to_json(F.struct(f"`{f.name}`")) if _unordered(f.dataType) else F.col(f"`{f.name}`") for f in sorted(rows.schema.fields, key=lambda f: f.name)]
+        whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+        return rows.groupBy(F.col(f"`{self.key}`").alias("_k")).agg(F.max_by(whole, F.struct(*[c.alias(f"_{i}") for i, c in enumerate(ordered)])).alias("_r")).select("_r.*")
 
     def upsert(self, new: DataFrame) -> None:
         """Adds new and replaces rows with its keys."""
         version = self._version()
         numbers = _whole_folders(self.spark, f"{self.path}/v{version}", "s")
-        new.write.mode("overwrite").parquet(f"{self.path}/v{max(version, 1)}/s{max(numbers, default=0) + 1}")
+        self._one_a_key(new).write.mode("overwrite").parquet(f"{self.path}/v{max(version, 1)}/s{max(numbers, default=0) + 1}")
         if len(numbers) + 1 > self.SEGMENTS:
             self._replace(self.load())
 

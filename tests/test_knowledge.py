@@ -110,19 +110,6 @@ def test_word_tokens(spark):
     assert got == [["the", "u.s. bank", "中文", "文分", "分词", "x", "字", "new", "york2"], [], None]
 
 
-def test_communities_are_cut_to_size(spark):
-    n = 60
-    edges = spark.createDataFrame([(0, i, 1.0) for i in range(1, n)] + [(100 + i, 100 + (i + 1) % 8, 1.0) for i in range(8)], "src int, tgt int, weight double")
-    nodes = edges.select(F.explode(F.array("src", "tgt")).alias("node")).distinct()
-    got = graph.community_levels(nodes, edges, 10, levels=5).collect()
-    last = {}
-    for r in sorted(got, key=lambda r: r.level):
-        last[r.node] = r.community
-    assert set(last) == {r.node for r in nodes.collect()}
-    assert max(Counter(last.values()).values()) <= 20  # a hash spreads only about evenly
-    assert len({last[100 + i] for i in range(8)}) <= 4
-
-
 def test_reports_go_from_the_bottom_up(spark):
     schema = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["c"]), (0, 7, ["a", "b", "c", "d"])], "level int, community int, nodes array<string>")
     texts = spark.createDataFrame([("a", "one two"), ("b", "three"), ("c", "four"), ("d", "five")], "node string, description string")

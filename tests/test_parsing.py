@@ -77,12 +77,6 @@ def test_dictionary_both_ways(spark, monkeypatch):
     assert small == [(1, "new york", 2), (1, "york", 2), (3, "york", 1)]
 
 
-def test_multi_match_falls_back(spark):
-    docs = spark.createDataFrame([(1, "f", "alpha beta"), (2, "g", "betagamma")], "k long, filename string, text string")
-    stage = lambda q: matching.multi_match(docs, "k", ["filename", "text"], q, 5).select("stage").distinct().first()[0]
-    assert [stage(q) for q in ("alpha", "tagam", "zzz")] == ["match", "phrase", "all"]
-
-
 def test_path_through_required_nodes(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "src long, tgt long")
     assert matching.path_through(e, [1, 3, 9]) == [1, 2, 3, 9]
