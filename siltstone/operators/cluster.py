@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +16,7 @@ from .graph import settled, sparsity
 
 
 def reduced(df: DataFrame, vector: str, dim: int, name: str = "features") -> DataFrame:
-    """vector projected on its dim main directions; stands in for a neighbour-graph embedding, which Spark lacks."""
+    """vector projected on its dim main directions; ``neighbours.layout`` keeps neighbours together instead."""
     own = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     return PCA(k=dim, inputCol="_v", outputCol=name).fit(own).transform(own).drop("_v")
 
@@ -25,21 +26,47 @@ def _bic(model, n: int, dim: int, k: int) -> float:
     return -2 * model.summary.logLikelihood + free * math.log(max(n, 2))
 
 
-def mixture(df: DataFrame, features: str, most: int, seed: int = 7, tolerance: float = 1e-3, candidates: list[int] | None = None):
-    """The fitted mixture of least BIC among 1 to most components (or candidates); stops when BIC no longer falls by tolerance."""
+class One:
+    """A mixture of one component, in the form of a fitted model: everything has it with probability 1."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0)))).withColumn("prediction", F.lit(0))
+
+
+def _bic_of_one(df: DataFrame, features: str, n: int, dim: int) -> float:
+    """BIC of one Gaussian in closed form, from means and covariances (with the least spread that keeps it finite)."""
+    x = [F.get(vector_to_array(features), F.lit(i)) for i in range(dim)]
+    rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(x)])
+    pairs = [(i, j) for i in range(dim) for j in range(i + 1)]
+    found = rows.agg(*[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((dim, dim))
+    for (i, j), c in zip(pairs, found):
+        cov[i, j] = cov[j, i] = c or 0.0
+    logdet = float(np.log(np.maximum(np.linalg.eigvalsh(cov), 1e-12)).sum())
+    return n * (dim * math.log(2 * math.pi) + logdet + dim) + (dim + dim * (dim + 1) / 2) * math.log(max(n, 2))
+
+
+def mixture(df: DataFrame, features: str, most: int, seed: int = 7, tolerance: float = 1e-3, candidates: list[int] | None = None, starts: int = 1, size: int | None = None):
+    """The fitted mixture of least BIC among 1 to most components (or candidates); stops when BIC no longer falls by tolerance.
+
+    starts: each is fitted from so many seeds, and the likeliest counts. size: at least as many components as clusters of so
+    many rows need. None without rows.
+    """
     df = df.cache()
     try:
-        n, best, best_bic = df.count(), None, None
+        n, best, best_bic, best_k = df.count(), None, None, 1
+        if not n:
+            return None
         dim = len(df.select(features).first()[0])
+        fit = lambda k: max((GaussianMixture(k=k, featuresCol=features, seed=seed + i, maxIter=30).fit(df) for i in range(starts)), key=lambda m: m.summary.logLikelihood)
         for k in candidates or range(1, min(most, max(n - 1, 1)) + 1):
-            model = GaussianMixture(k=max(k, 2), featuresCol=features, seed=seed, maxIter=30).fit(df) if k > 1 else None
-            if model is None:
-                continue  # one component is the fallback
-            bic = _bic(model, n, dim, k)
+            model = fit(k) if k > 1 else One()
+            bic = _bic(model, n, dim, k) if k > 1 else _bic_of_one(df, features, n, dim)
             if best_bic is not None and bic > best_bic - abs(best_bic) * tolerance:
                 break
-            best, best_bic = model, bic
-        return best
+            best, best_bic, best_k = model, bic, k
+        least = min(n // size, n - 1) if size else 1
+        return fit(least) if least > best_k else best
     finally:
         df.unpersist()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from siltstone.functions import text as T
 from . import cluster as M
 from . import graph as G
 from . import search as S
+from .neighbours import LayoutParams, layout
 
 #: Fixed value: what stands between the descriptions of one entity.
 ANOTHER = " | Here is another description : "
@@ -199,9 +201,16 @@ def tree_query(s: TreeStore, vector: list[float], k: int, mode: int, depth: int,
     return out
 
 
-def clustered(nodes: DataFrame, vector: str, dim: int, most: int, threshold: float | None = None) -> DataFrame:
-    """node, community: vectors brought to dim dimensions and clustered by the mixture of least BIC of up to most components; with threshold a node may be in several."""
-    features = M.reduced(nodes, vector, dim)
+def clustered(nodes: DataFrame, vector: str, dim: int, most: int, threshold: float | None = None, neighbours: int | None = None) -> DataFrame:
+    """node, community: vectors brought to dim dimensions and clustered by the mixture of least BIC of up to most components; with threshold a node may be in several.
+
+    With neighbours, the dimensions are those of a layout that keeps so many nearest neighbours together, else main directions.
+    """
+    if neighbours:
+        placed = layout(nodes, vector, LayoutParams(dim=dim, neighbours=neighbours))
+        features = placed.select("node", array_to_vector("features").alias("features"))
+    else:
+        features = M.reduced(nodes, vector, dim)
     model = M.mixture(features, "features", most)
     if model is None:
         return nodes.select("node", F.lit(0).alias("community"))

@@ -11,6 +11,7 @@ from siltstone.operators import cluster as M
 from siltstone.operators import graph as G
 from siltstone.operators import knowledge as K
 from siltstone.operators import layout as L
+from siltstone.operators import neighbours as N
 from siltstone.operators import search as S
 
 from .catalog import query, table
@@ -23,17 +24,23 @@ def m01_reduced(spark, d):
     return M.reduced(table(spark, d, "embeddings"), "embedding", 4).select("vec_id", vector_to_array("features").alias("features"))
 
 
+@query()
+def m01_neighbour_layout(spark, d):
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
+    return N.layout(nodes, "embedding", N.LayoutParams(epochs=15)).select(F.col("node").alias("vec_id"), "features")
+
+
 @query()
 def m05_hard_labels(spark, d):
     f = M.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding"), "embedding", 3)
-    model = M.mixture(f, "features", 50)
+    model = M.mixture(f, "features", 50, size=20)
     return M.hard_labels(model, f).select("node", "community")
 
 
 @query()
 def m04_soft_labels(spark, d):
     f = M.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding"), "embedding", 3)
-    model = M.mixture(f, "features", 50)
+    model = M.mixture(f, "features", 50, starts=2, size=100)
     return M.soft_labels(model, f, 0.1).select("node", "labels")
 
 
