@@ -616,7 +616,7 @@ def test_licenses(spark, docs, odd, none):
         assert got[d].families == sorted({v for k, v in marks.items() if k in t})
     cases = {
         "Licensed under CC BY 4.0.": "CC-BY-4.0", "my driver license": "unknown", "": "none", "no notice here": "none", "Licensed under the\nApache License,\nVersion 2.0": "Apache-2.0", "This is a license of the Foo company, version 9": "unknown",
-        "This program is under the terms of the GNU Lesser General Public License version 2.1.": "LGPL", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "x SPDX-License-Identifier: MIT y": "MIT",
+        "This program is under the terms of the GNU Lesser General Public License version 2.1.": "LGPL-2.1", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "x SPDX-License-Identifier: MIT y": "MIT",
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r.doc_id: r.family for r in license_scan.scan(df).collect()} == dict(enumerate(cases.values()))
@@ -639,19 +639,114 @@ def test_licenses_across_line_breaks_and_in_long_lines(spark):
     assert {r.doc_id: r.family for r in license_scan.scan(df).collect()} == dict(enumerate(cases.values()))
 
 
+# The standard headers and every SPDX identifier.
+STANDARD = {
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.":"GPL-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.":"GPL-3.0",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version":"GPL-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.":"LGPL-2.1",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.":"LGPL-3.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.":"AGPL-3.0",
+    **{f"SPDX-License-Identifier: {f+e}":f for f in license_scan.NOTICES if f not in license_scan.UNVERSIONED for e in license_scan.ENDINGS.get(f,("",))},
+    "SPDX-License-Identifier: Zlib":"unknown","SPDX-License-Identifier: EPL-2.0":"unknown",
+}
+# Wordings that aren't templates; looked at while the templates were chosen.
+WORDINGS = {
+    "This project is licensed under the MIT License - see the LICENSE.md file for details":"MIT",
+    "Code is MIT licensed.":"MIT","Distributed under the MIT license. See LICENSE for more information.":"MIT",
+    "Copyright (c) 2019 Jane Doe. This software may be used under the terms of the MIT license found in the root directory":"MIT",
+    "The source is available under the Apache 2.0 license.":"Apache-2.0","Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/":"Apache-2.0",
+    "Licensed to the Foundation under one or more agreements; licenses this file to you under the Apache License, Version 2.0 (the \"License\")":"Apache-2.0",
+    "All code in this repository is under the GPLv3.":"GPL-3.0","This tool is GPL v2 software":"GPL-2.0","It is free software, covered by the GNU GPL version 3":"GPL-3.0",
+    "You may distribute it under the GNU General Public License v3.0":"GPL-3.0","this module is licensed under GPL version 2 or later":"GPL-2.0",
+    "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.":"BSD",
+    "This package is released under the 3-clause BSD license":"BSD-3-Clause","Released under a New BSD License":"BSD-3-Clause","The Simplified BSD License applies":"BSD-2-Clause",
+    "scikit tool, BSD 3-Clause":"BSD-3-Clause",
+    "Text is available under the Creative Commons Attribution-ShareAlike 4.0 International License; additional terms may apply":"CC-BY-SA-4.0",
+    "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.":"CC-BY-4.0",
+    "Images are CC BY-NC 4.0":"CC-BY-NC-4.0","The data is published under CC0 1.0":"CC0-1.0","To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.":"CC0-1.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.":"MPL-2.0","The add-on is under MPL 2.0":"MPL-2.0",
+    "Dual-licensed under the Mozilla Public License 2.0":"MPL-2.0",
+    "ISC License, Copyright (c) 2020":"ISC","the library is available under the ISC licence":"ISC","This code is in the public domain via The Unlicense":"Unlicense",
+    "server parts are AGPLv3":"AGPL-3.0","Licensed under the GNU Affero General Public License, version 3 or later":"AGPL-3.0",
+    "the client is under the LGPL version 2.1":"LGPL-2.1","linking is allowed by the GNU Lesser General Public License v3.0":"LGPL-3.0","This is under the LGPL license":"LGPL","distributed under the GNU General Public License":"GPL",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction":"MIT",
+    "Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.":"BSD-3-Clause",
+}
+# Wordings that were written down after the templates and the training were settled; neither has been changed since.
+UNSEEN = {
+    "The code is provided under the MIT License.": "MIT", "See LICENSE (MIT licensed).": "MIT", "Use it as you like, subject to the MIT license below.": "MIT", "Files in src/ are licensed under Apache License v2.0": "Apache-2.0",
+    "Contributions are accepted under the Apache License, Version 2.0 only": "Apache-2.0", "This plugin is released under the GNU General Public License v2.0": "GPL-2.0", "You must comply with the GNU GPL version 3 when you ship it": "GPL-3.0",
+    "kernel module, GPL version 2": "GPL-2.0", "This port is under the modified BSD license": "BSD-3-Clause", "Copyright 2011, licensed under the BSD 2-Clause License": "BSD-2-Clause", "The parser is published with an ISC License": "ISC",
+    "These icons may be shared under CC BY 4.0": "CC-BY-4.0", "The corpus is licensed CC BY-SA 4.0": "CC-BY-SA-4.0", "Slides: Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+    "All metadata is under the CC0 1.0 Universal dedication": "CC0-1.0", "covered by the Mozilla Public License Version 2.0": "MPL-2.0", "You can use the library under LGPL v3": "LGPL-3.0", "bindings are GNU LGPL version 2.1": "LGPL-2.1",
+    "the service is offered under the GNU AGPL version 3": "AGPL-3.0", "Released into the public domain, see The Unlicense": "Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary": "Unlicense",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears": "ISC",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSD", "This file is part of a program under the GNU General Public License": "GPL",
+}
+# Other licences and other talk.
+OTHERS = {
+    "Licensed under the Eclipse Public License - v 2.0":"unknown","released under the zlib/libpng license":"unknown","under the Boost Software License":"unknown","my fishing license has expired":"unknown","The foundation published version 2 of its report to the general public":"none",
+    "a license to kill":"unknown","He licensed the song to a film.":"unknown","Artistic License version 2":"unknown","the GNU Free Documentation License":"unknown",
+    "you can modify the program at your option":"none",
+    "under the terms of the Microsoft Public License": "unknown", "The European Union Public Licence 1.2 applies": "unknown", "the committee revised version 3 of the general terms": "none", "a marriage license from the state": "unknown", "licensed under the Python Software Foundation License": "unknown",
+}
+
+
+def _families(spark, cases):
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    return {r.doc_id: r.family for r in license_scan.scan(df).collect()}
+
+
+def test_standard_license_notices(spark):
+    got = _families(spark, STANDARD)
+    assert [(t, got[i]) for i, t in enumerate(STANDARD) if got[i] != STANDARD[t]] == []
+
+
 def test_license_recall_and_precision(spark):
-    """Worn copies that the model hasn't seen, in foreign text over several lines: how many are found, and how many answers are right."""
-    rng = np.random.Generator(np.random.PCG64(77))
-    foreign = lambda: " ".join("".join(rng.choice(list("abdeghilmnorstu"), 6)) for _ in range(12))
-    data = [(f"{foreign()}\n{license_scan._worn(x, rng)} \n {foreign()}", name) for name, many in license_scan.NOTICES.items() for x in many for _ in range(6)]
-    data += [(f"{foreign()}\n{license_scan._worn(x, rng)}\n{foreign()}", None) for x in license_scan.NEAR_MISSES for _ in range(6)]
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
-    got = {r.doc_id: r.family for r in license_scan.scan(df).collect()}
-    named = {i: f for i, f in got.items() if f not in ("none", "unknown")}
-    right = sum(data[i][1] == f for i, f in named.items())
-    wanted = sum(x is not None for _, x in data)
-    print("recall", right / wanted, "precision", right / len(named))
-    assert right / wanted > 0.8 and right / len(named) > 0.95
+    """Wordings that no template has, and other licences: how many are found, and how many answers are right."""
+    for cases, least in ((WORDINGS, 0.9), (UNSEEN, 0.9)):
+        both = cases | OTHERS
+        got = _families(spark, both)
+        named = {t: got[i] for i, t in enumerate(both) if got[i] not in ("none", "unknown")}
+        right = [t for t, f in named.items() if both[t] == f]
+        print("recall", len(right) / len(cases), "precision", len(right) / len(named), [(t, cases[t], got[i]) for i, t in enumerate(cases) if got[i] != cases[t]])
+        assert len(right) >= least * len(cases) and len(right) >= 0.95 * len(named)
+
+
+def test_license_verdicts_equal_plain_ones(spark):
+    """Odds, templates and families worked out from the model's weights by plain loops."""
+    p = license_scan.LicenseParams()
+    model = license_scan.classifier(spark, p)
+    names = list(license_scan.NOTICES)
+    two = " ".join(list(STANDARD)[:2])
+    texts = [*STANDARD, *WORDINGS, *OTHERS, two, "MIT License and " + "x " * 9 + "Apache License 2.0", "", "  ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    units = model.with_units(df.select("doc_id", license_scan._words(F.coalesce("text", F.lit(""))).alias("_w")).withColumn("_v", model.numbers(F.col("_w"))))
+    units = units.withColumn("f", F.transform("_units", lambda u: model.features(F.col("_v"), u["low"], u["high"])))
+    found = {r.doc_id: (r._w, r._units, r.f) for r in units.collect()}
+    held = lambda t, f: len(set(t) & set(f)) / len(t)
+    for r in license_scan.scan(df).collect():
+        words, spans, features = found[r.doc_id]
+        sure, candidates = [], 0
+        for (low, high), f in zip(spans, features):
+            z = model.bias + model.weights[f].sum(0)
+            odds = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            said = any("licens" in w or "licenc" in w or "spdx" in w for w in words[low : high + 1])
+            candidates += said or z.argmax() < len(names)
+            share = [held(t, f) for _, t in model.templates]
+            for i, (k, t) in enumerate(model.templates):
+                tells = len(set(model.telling[i]) & set(f)) >= p.containment * len(model.telling[i])
+                beaten = any(share[j] > share[i] for j in model.rivals[i]) or any(share[j] >= share[i] for j in model.larger[i])
+                enough = z[k] - z[-1] >= np.log(model.least / (1 - model.least))
+                if enough and share[i] >= p.containment and tells and not beaten and (odds[k] >= model.least or share[i] == 1):
+                    sure.append((-odds[k], names[k], share[i]))
+        assert (r.n_candidates, r.families) == (candidates, sorted({x[1] for x in sure}))
+        if sure:
+            top = min(sure)
+            assert (r.family, r.probability, r.containment) == (top[1], pytest.approx(-top[0], abs=1e-6), max(x[2] for x in sure if x[1] == top[1]))
+        else:
+            assert (r.family, r.probability, r.containment) == ("unknown" if candidates else "none", None, None)
 
 
 def test_license_features_equal_plain_ones(spark):
@@ -661,13 +756,13 @@ def test_license_features_equal_plain_ones(spark):
     texts = ["Licensed under the Apache License, Version 2.0 and so on", "x y z", "", "public " * 3 + "a b c d e f g h domain", "MIT license " + "word " * 20 + "GNU general public"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", license_scan._words(F.col("t")).alias("w"))
     df = model.with_units(df.withColumn("_v", model.numbers(F.col("w")))).withColumns({"v": F.col("_v"), "u": F.col("_units")})
-    vocabulary = {w for x in license_scan.NOTICES.values() for s in x for w in plain_words(s) if w} | {w for s in license_scan.NEAR_MISSES for w in plain_words(s) if w}
-    vocabulary = sorted(vocabulary, key=lambda w: (w not in license_scan.FUNCTION_WORDS, w))
+    vocabulary = {w for s in [*(x for many in license_scan.NOTICES.values() for x in many), *license_scan.LEADS, *license_scan.NEAR_MISSES] for w in plain_words(s) if w}
+    vocabulary = sorted(vocabulary, key=lambda w: (w not in license_scan.FUNCTION_WORDS, w not in license_scan.VERSIONS, w))
     for r in df.withColumn("f", F.transform("u", lambda u: model.features(F.col("v"), u["low"], u["high"]))).collect():
         assert r.w == plain_words(texts[r.i])
         v = [vocabulary.index(w) + 1 if w and w in vocabulary else 0 for w in r.w]
         assert r.v == v
-        core = [i for i, w in enumerate(r.w) if v[i] and w not in license_scan.FUNCTION_WORDS]
+        core = [i for i, w in enumerate(r.w) if v[i] and w not in license_scan.FUNCTION_WORDS + license_scan.VERSIONS]
         runs = []
         for i in core:
             if runs and i - runs[-1][1] <= p.gap:
