@@ -2,69 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import graph as G
+from .graph import settled
+
+#: A word's characters, marks that belong to a letter included.
+WORD = r"\p{L}\p{N}\p{M}_"
+
 
-#: Dictionary entries, about, that are sent to every task in one automaton; larger dictionaries are split into several.
-BROADCAST_ENTRIES = 200_000
+def pieces(text: Column) -> Column:
+    """Words, and all other characters but white space one by one."""
+    return F.regexp_extract_all(text, F.lit(rf"[{WORD}]+|[^{WORD}\s]"), F.lit(0))
 
 
-def _word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+def occurrences(text: Column, entry: Column) -> Column:
+    """How often entry stands in text on word boundaries; occurrences may overlap."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(entry, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.regexp_count(text, F.concat(F.lit(rf"(?<![{WORD}])(?="), quoted, F.lit(rf"(?![{WORD}]))")))
 
 
 def match_dictionary(docs: DataFrame, key: str, text: str, entries: DataFrame, entry: str) -> DataFrame:
-    """key, entry, n: how often each entry stands in each text on word boundaries, case aside.
+    """key, entry, n: how often each entry stands in each row's text on word boundaries, case aside.
 
-    Entries go to the tasks as automata of about BROADCAST_ENTRIES each, one after the other; a larger dictionary takes more
-    passes over the texts, with the same definition of a match.
+    An entry is looked for only in texts that hold its rarest piece; both tables are joined by that piece, so neither has to fit
+    anywhere, and a frequent piece matters only to entries that have no rarer one. The join gives pairs of a text's number and
+    an entry; the text itself moves once, to its entries.
     """
-    entries = entries.select(F.lower(F.trim(entry)).alias("entry")).filter("entry <> ''").distinct()
-    few = [r.entry for r in entries.limit(BROADCAST_ENTRIES + 1).collect()]
-    if len(few) <= BROADCAST_ENTRIES:
-        return _match_part(docs, key, text, few)
-    entries = entries.persist()
-    parts = -(-entries.count() // BROADCAST_ENTRIES)
-    found = None
-    for k in range(parts):
-        part = _match_part(docs, key, text, [r.entry for r in entries.filter(F.pmod(F.xxhash64("entry"), F.lit(parts)) == k).collect()])
-        found = part if found is None else found.unionByName(part)
-    entries.unpersist()
-    return found
-
-
-def _match_part(docs: DataFrame, key: str, text: str, few: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(few)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for e in shared.value:
-            automaton.add_word(e, e)
-        if shared.value:
-            automaton.make_automaton()
-        for batch in batches:
-            rows, found, counts = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                here: dict[str, int] = {}
-                low = (t or "").lower()
-                for end, e in automaton.iter(low) if shared.value and low else ():
-                    start = end - len(e) + 1
-                    if (start == 0 or not _word(low[start - 1])) and (end + 1 == len(low) or not _word(low[end + 1])):
-                        here[e] = here.get(e, 0) + 1
-                for e, n in here.items():
-                    rows.append(i), found.append(e), counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(counts, pa.int64())], [key, "entry", "n"])
-
-    own = docs.select(key, text)
-    return own.mapInArrow(run, T.StructType([own.schema[key], T.StructField("entry", T.StringType()), T.StructField("n", T.LongType())]))
+    names = settled(entries.select(F.lower(F.trim(entry)).alias("entry")).filter("entry <> ''").distinct(), "entries")
+    rows = settled(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.lower(F.col(text)).alias("_low")), "texts")
+    has = rows.select("_row", F.explode(F.array_distinct(pieces(F.col("_low")))).alias("piece"))
+    parts = names.select("entry", F.explode(F.array_distinct(pieces(F.col("entry")))).alias("piece"))
+    often = has.join(parts.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
+    # An entry with a piece that no text has can't stand anywhere.
+    rarest = parts.join(often, "piece", "left").groupBy("entry").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "piece")).alias("r")).select("entry", "r.piece")
+    held = has.join(rarest, "piece").groupBy("_row").agg(F.collect_list("entry").alias("_entries"))
+    found = rows.join(held, "_row").select("_key", F.explode(F.transform("_entries", lambda e: F.struct(e.alias("entry"), occurrences(F.col("_low"), e).alias("n")))).alias("m"))
+    return found.select(F.col("_key").alias(key), "m.entry", F.col("m.n").cast("long").alias("n")).filter("n > 0")
 
 
 def keyword_graph_search(edges: DataFrame, nodes: DataFrame, question: str, k: int, hops: int = 4) -> DataFrame:

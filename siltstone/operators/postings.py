@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -161,3 +161,14 @@ def match_phrase(index: PositionalIndex, field: str, query: str, k: int) -> Data
 def fulltext(index: PositionalIndex, field: str, terms: list[str], k: int) -> DataFrame:
     """key, score of documents with all terms: the sum of tf * idf^2, idf = log10(n / df)."""
     return ranked(index, [field], terms, k, _natural, every=True, decimals=6)
+
+
+def ranked_many(index: PositionalIndex, field: str, queries: DataFrame, query_key: str, query: str, k: int) -> DataFrame:
+    """query_key, key, score, rank: the k best documents of each row of queries by BM25 over one field; a repeated word counts once."""
+    asked = queries.select(query_key, F.explode(F.array_distinct(T.tokens(F.lower(F.col(query)) if index.lower else F.col(query)))).alias("term"))
+    about = index.terms.filter(F.col("field") == field).join(F.broadcast(index.fields.withColumnRenamed("n", "df_n")), "field").select("term", "df", "df_n", "mean")
+    hits = index.postings.filter(F.col("field") == field).select("term", "docs").join(asked.join(about, "term"), "term")
+    each = hits.select(query_key, "df", "df_n", "mean", F.explode("docs").alias("d"))
+    scored = each.groupBy(query_key, F.col("d.key").alias(index.key)).agg(F.round(F.sum(_bm25(F.size("d.positions"), F.col("d.length"))), 6).alias("score"))
+    first = Window.partitionBy(query_key).orderBy(F.desc("score"), index.key)
+    return scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from siltstone.functions import text as T
 from siltstone.operators import chunks as C
 from siltstone.operators import graph as G
 from siltstone.operators import matching as M
+from siltstone.operators import multihop as H
 from siltstone.operators import postings as I
 from siltstone.operators import search as S
 
@@ -50,28 +50,6 @@ def with_retries(call: Callable[[], object], attempts: int = 5, pause: float = 1
             sleep(pause * 2**i)
 
 
-@dataclass
-class MultiHop:
-    """A bounded loop: retrieve for the current query, keep what is new, ask the critic for the answer or the next query."""
-
-    chunks: DataFrame  # chunk_id, text, embedding
-    embedder: P.Embedder
-    critic: Callable[[str, list[str]], tuple[str | None, str]]
-    top_n: int = 14
-    rounds: int = 3
-    memory: list[str] = field(default_factory=list)
-
-    def answer(self, question: str) -> str:
-        now = question
-        for _ in range(self.rounds):
-            found = S.search(self.chunks, self.embedder([now])[0], self.top_n, key="chunk_id").select("text").collect()  # top_n rows
-            self.memory += [r.text for r in found if r.text not in self.memory]
-            answer, now = self.critic(question, self.memory)
-            if answer is not None:
-                return answer
-        return "Insufficient information."
-
-
 def comparative(questions: DataFrame, names: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """question_id, answers (array<struct(name, answer)>): each question (question_id, text) asked anew about each name in it.
 
@@ -107,10 +85,17 @@ def report(title: str, sections: DataFrame, model: P.Model = P.ExtractiveModel()
     return "\n\n".join([f"# {title}", *(f"## {r.title}\n\n{r.draft}" for r in rows)])
 
 
-@query("SELECT doc_id, lower(n_name) AS entry, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text || ' ' || source || ' Algeria, x algeriax'), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS w FROM documents) JOIN nation ON w = lower(n_name) GROUP BY ALL")
+@query(
+    """WITH e AS (SELECT DISTINCT w[1] || ' ' || w[2] AS entry FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 1),
+    p AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_ ]', ' | ', 'g'), ' ') AS w FROM documents),
+    b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS entry FROM p WHERE len(w) > 1)
+    SELECT doc_id, entry, count(*) AS n FROM b JOIN e USING (entry) GROUP BY ALL"""
+)
 def j20_dictionary_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", "source", F.lit("Algeria, x algeriax")).alias("text"))
-    return M.match_dictionary(docs, "doc_id", "text", table(spark, d, "nation").filter("NOT n_name LIKE '% %'"), "n_name")
+    """The first two words of each benchmark passage, looked for in all documents."""
+    w = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
+    entries = table(spark, d, "benchmark").select(w.alias("w")).filter("size(w) > 1").select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("entry"))
+    return M.match_dictionary(table(spark, d, "documents"), "doc_id", "text", entries, "entry")
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents), l AS (SELECT doc_id, count(*) AS length FROM t GROUP BY 1),
@@ -208,3 +193,24 @@ def c02_header_then_size(spark, d):
     t = F.concat(F.lit("# Title\n"), "text", F.lit("\n## More\n"), "lang")
     parts = C.by_headers(table(spark, d, "documents").select("doc_id", t.alias("t")), "t", "doc_id")
     return C.by_function(parts.withColumn("section", F.col("section").cast("int")), "content", ["doc_id", "section"], partial(C.split_by_size, size=600, overlap=60, stops=C.STOPS["en"]))
+
+
+@query("SELECT s_suppkey, r_name AS answer, 3 AS hops, 3 AS gathered FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def q19_multi_hop(spark, d):
+    """Where each supplier is, told in three hops: supplier to nation, nation to region, region to its name."""
+    row = lambda t, text: table(spark, d, t).select(F.concat(*text).alias("text"))
+    one = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    texts = row("supplier", [one("s", "s_suppkey"), F.lit(" lies in "), one("n", "s_nationkey")]).unionByName(row("nation", [one("n", "n_nationkey"), F.lit(" belongs to "), one("r", "n_regionkey")]))
+    texts = G.settled(texts.unionByName(row("region", [one("r", "r_regionkey"), F.lit(" goes by "), F.col("r_name")])).withColumn("key", F.xxhash64("text")), "texts")
+    path = G.shared_path(spark, "texts-index")
+    I.build(texts, "key", ["text"], path)
+    retrieve = H.text_retriever(I.open_index(spark, "key", path), "text", texts, "text", 4)
+    # The critic reads the last note: its end is the next thing to ask about, or the answer after "goes by".
+    about = lambda query, texts: F.get(F.filter(texts, lambda t: F.startswith(t, F.concat(F.substring_index(query, " ", 1), F.lit(" ")))), F.lit(0))
+    last = lambda memory: F.try_element_at(memory, F.lit(-1))
+    end = lambda memory, word: F.when(F.contains(last(memory), F.lit(word)), F.substring_index(last(memory), word, -1))
+    asks = lambda memory: F.coalesce(F.concat(end(memory, " lies in "), F.lit(" belongs")), F.concat(end(memory, " belongs to "), F.lit(" goes")))
+    critic = lambda question, memory: F.struct(end(memory, " goes by ").alias("answer"), asks(memory).alias("query"))
+    questions = table(spark, d, "supplier").select("s_suppkey", one("s", "s_suppkey").alias("question"))
+    found = H.answer_questions(questions, retrieve, lambda question, query, texts: about(query, texts), critic, 4)
+    return found.select("s_suppkey", "answer", "hops", F.size("memory").alias("gathered"))

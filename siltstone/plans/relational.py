@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import graph as G
 from siltstone.operators import relational as R
+from siltstone.streaming import streams as ST
 
 from .catalog import query, table
 
@@ -317,6 +319,18 @@ def t03_session(spark, d):
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@query("""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    r AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, round(sum(value), 4) AS total, first(event_type ORDER BY ts, event_type) AS first_type, last(event_type ORDER BY ts, event_type) AS last_type FROM s GROUP BY user_id, k)
+    SELECT user_id, first, last, n, total, first_type, last_type FROM r WHERE epoch_ms(last) + 7200001 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+def t03_stateful_runs(spark, d):
+    """Runs of each user's events by a stateful stream; those that the watermark hasn't closed yet aren't given."""
+    events = ST.read_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
+    path = G.shared_path(spark, "runs")
+    found = ST.run_to_files(ST.user_runs(events, 7200, "10 minutes"), f"{path}/out", f"{path}/state")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")], "n", F.round("total", 4).alias("total"), "first_type", "last_type")
+
+
 @query("SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS days, last_day(o_orderdate) AS month_end FROM orders")
 def f34_dates(spark, d):
     day = F.to_date("o_orderdate")

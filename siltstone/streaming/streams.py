@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from siltstone.session import importable
 
 
 def read_stream(spark: SparkSession, path: str, schema: str | T.StructType, files: int = 100) -> DataFrame:
@@ -32,6 +36,72 @@ def first_seen(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+RUNS = "user_id long, first timestamp, last timestamp, n long, total double, first_type string, last_type string"
+
+
+class _Runs(StatefulProcessor):
+    """Open runs of a user: spans that grow and join as rows come in any order, given out and forgotten once no row can reach them."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long, total double, first_type string, last_type string")
+
+    def _due(self, last: int) -> int:
+        return last // 1000 + self.gap_ms + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spans = [tuple(x) for x in self.open.get()]
+        for part in rows:
+            spans += [(int(t), int(t), 1, float(v), k, k) for t, v, k in zip(part["us"], part["value"], part["event_type"])]
+        spans.sort(key=lambda x: (x[0], x[4]))
+        out: list[tuple] = []
+        for x in spans:
+            if out and x[0] < out[-1][1] + 1000 * self.gap_ms:
+                y = out[-1]
+                last, kind = max((y[1], y[5]), (x[1], x[5]))
+                out[-1] = (y[0], last, y[2] + x[2], y[3] + x[3], y[4], kind)
+            else:
+                out.append(x)
+        self.open.put(out)
+        for x in out:
+            self.handle.registerTimer(self._due(x[1]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        spans = [tuple(x) for x in self.open.get()]
+        done = [x for x in spans if self._due(x[1]) <= now]
+        left = [x for x in spans if self._due(x[1]) > now]
+        self.open.put(left) if left else self.open.clear()
+        if done:
+            yield pd.DataFrame([(key[0], pd.Timestamp(x[0], unit="us"), pd.Timestamp(x[1], unit="us"), *x[2:]) for x in done], columns=["user_id", "first", "last", "n", "total", "first_type", "last_type"])
+
+    def close(self) -> None:
+        pass
+
+
+def user_runs(events: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+    """RUNS rows: each run of a user's events (user_id, ts, value, event_type) less than gap_seconds apart, once the watermark has passed its end by the gap.
+
+    Rows may come in any order within the watermark: a late one can lengthen a run or join two. A user's open runs are all the
+    state there is; a timer gives each out and drops it. Of events at one time the smallest type counts as first, the largest
+    as last. Rows with a null user, time or value are left out.
+    """
+    importable(events.sparkSession).conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.filter("user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.coalesce("event_type", F.lit("")).alias("event_type"))
+    rows = rows.withColumn("us", F.unix_micros("ts"))
+    return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(_Runs(1000 * gap_seconds), RUNS, "Append", "eventTime")
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that a finite stream gives, appended to files at path."""
+    df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ingest_unseen(stream: DataFrame, table, key: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None):
     """Starts a query that adds to table (a KeyedTable) only rows whose key it hasn't; then gets the new rows of each batch.
 

@@ -1,12 +1,13 @@
 """Parsers, rate limits, retries and bounded loops."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import parsing, providers
-from siltstone.operators import matching
+from siltstone.operators import ann, graph, matching, multihop
 from siltstone.plans import agents, rag
 from siltstone.sources.schemas import QueryParam
 
@@ -54,13 +55,23 @@ def test_retries_raise_the_last_failure():
         agents.with_retries(fail, 3, sleep=lambda s: None)
 
 
-def test_multi_hop_stops(spark):
+def test_questions_are_answered_in_rounds(spark):
+    """A vector index as the tool; one question needs two hops, one never ends, one is null, one comes twice."""
     e = providers.HashingEmbedder(32)
-    texts = ["paris is in france", "france is in europe", "cats sleep"]
+    texts = ["paris is in france", "france is in europe", "cats sleep", "rome is in italy", "italy is in europe"]
     chunks = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(zip(texts, e(texts)))], "chunk_id long, text string, embedding array<float>")
-    critic = lambda q, memory: ("europe", "") if any("europe" in m for m in memory) else (None, "where is france")
-    assert agents.MultiHop(chunks, e, critic, top_n=2).answer("where is paris") == "europe"
-    assert agents.MultiHop(chunks, e, lambda q, m: (None, q), top_n=1, rounds=2).answer("x") == "Insufficient information."
+    index = ann.VectorIndex.create(chunks, graph.shared_path(spark, "ann"), ann.IndexParams(32, key="chunk_id", cells=2, nprobe=2))
+    retrieve = multihop.vector_retriever(index, "text", lambda c: providers.embed(c, e), 2, refine=None)
+    rows = [(1, "where is paris"), (2, "where is rome"), (3, "who are you"), (4, None), (2, "where is rome")]
+    questions = spark.createDataFrame(rows, "id long, question string")
+    extract = lambda question, query, found: F.array_join(F.filter(found, lambda t: F.startswith(t, F.substring_index(query, " ", -1))), "; ")
+    last = lambda m: F.try_element_at(m, F.lit(-1))
+    end = lambda m: F.substring_index(last(m), " ", -1)
+    critic = lambda question, m: F.struct(F.when(end(m) == "europe", end(m)).alias("answer"), F.concat(F.lit("where is "), end(m)).alias("query"))
+    got = sorted(map(tuple, multihop.answer_questions(questions, retrieve, extract, critic, 3).collect()), key=str)
+    none = "Insufficient information."
+    rome = (2, "where is rome", "europe", 2, ["rome is in italy", "italy is in europe"])
+    assert got == [(1, "where is paris", "europe", 2, ["paris is in france", "france is in europe"]), rome, rome, (3, "who are you", none, 3, []), (4, None, none, 3, [])]
 
 
 def test_report_keeps_order(spark):
@@ -68,15 +79,6 @@ def test_report_keeps_order(spark):
     assert agents.report("T", df) == "# T\n\n## A\n\none\n\n## B\n\ntwo"
 
 
-def test_dictionary_both_ways(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "New York, new york; newyork x"), (2, None), (3, "York")], "k long, t string")
-    names = spark.createDataFrame([("New York",), ("York",), ("",)], "e string")
-    small = sorted(map(tuple, matching.match_dictionary(docs, "k", "t", names, "e").collect()))
-    monkeypatch.setattr(matching, "BROADCAST_ENTRIES", 1)
-    assert small == sorted((r.k, r.entry, r.n) for r in matching.match_dictionary(docs, "k", "t", names, "e").collect())
-    assert small == [(1, "new york", 2), (1, "york", 2), (3, "york", 1)]
-
-
 def test_path_through_required_nodes(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "src long, tgt long")
     assert matching.path_through(e, [1, 3, 9]) == [1, 2, 3, 9]
@@ -97,12 +99,24 @@ def test_boundary_is_about_letters_of_any_alphabet(spark):
     assert at("ab", 0, 2) and not at("éab", 1, 3) and at("é ab!", 2, 4)
 
 
-def test_large_dictionaries_match_as_small_ones(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "AT&T and O'Neil write C++ at U.S. Bank"), (2, "the new-york times of new  york"), (2, "new york, AT&T, at&t")], "k long, t string")
-    names = spark.createDataFrame([("AT&T",), ("O'Neil",), ("C++",), ("U.S. Bank",), ("new york",), ("new  york",), ("york",)], "e string")
-    found = lambda: sorted((r.k, r.entry, r.n) for r in matching.match_dictionary(docs, "k", "t", names, "e").collect())
-    small = found()
-    assert small == sorted([(1, "at&t", 1), (1, "o'neil", 1), (1, "c++", 1), (1, "u.s. bank", 1), (2, "new  york", 1), (2, "york", 2), (2, "york", 1), (2, "new york", 1), (2, "at&t", 2)])
-    for limit in (6, 2, 1):
-        monkeypatch.setattr(matching, "BROADCAST_ENTRIES", limit)
-        assert found() == small
+def plain_matches(rows, names):
+    word, out = re.compile(r"[\w\u0300-\u036f]"), []
+    for k, t in rows:
+        low = (t or "").lower()
+        for e in {x.strip().lower() for x in names} - {""}:
+            at = [i for i in range(len(low)) if low.startswith(e, i) and not (i and word.match(low[i - 1])) and not word.match(low[i + len(e) : i + len(e) + 1])]
+            if at:
+                out.append((k, e, len(at)))
+    return out
+
+
+def test_dictionary_entries_are_found_where_they_stand(spark):
+    rows = [
+        (1, "AT&T and O'Neil write C++ at U.S. Bank"), (2, "the new-york times of new  york"), (2, "new york, AT&T, at&t"), (3, None), (4, ""), (5, "a a a a, \\E x\\Ey ++ (c++) İstanbul stanbul"), (6, "New York, new york; newyork x york"),
+        (None, "york"), (7, "e\u0301t\u0301 et"),
+    ]
+    names = ["AT&T", "O'Neil", "C++", "U.S. Bank", "new york", "new  york", "york", "a a", "\\E", "++", "stanbul", "", " York ", "e", "et", "nowhere to be found", "new nowhere"]
+    docs, entries = spark.createDataFrame(rows, "k long, t string"), spark.createDataFrame([(x,) for x in names] + [(None,)], "e string")
+    got = sorted(((r.k, r.entry, r.n) for r in matching.match_dictionary(docs, "k", "t", entries, "e").collect()), key=str)
+    assert got == sorted(plain_matches(rows, names), key=str)
+    assert (5, "stanbul", 1) in got and (5, "a a", 3) in got and (5, "++", 1) in got and (7, "e", 1) not in got

@@ -1,6 +1,7 @@
 """Operators on toy inputs: edge cases and properties."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -231,3 +232,30 @@ def test_one_row_a_key_whatever_the_segments(spark, tmp_path):
         t.upsert(spark.createDataFrame(rows, "k long, a long, b string, m map<string, long>").repartition(1 + n % 3))
         assert {r.k: (r.a, r.b or "", r.m) for r in t.load().collect()} == kept
         assert t.load().count() == len(kept)
+
+
+def test_runs_of_a_stream_with_late_rows_equal_those_of_the_batch(spark, tmp_path):
+    """Files in an order in which rows come late, join runs, or come too late; runs are given once, when the watermark has passed."""
+    rng = np.random.default_rng(5)
+    base = 1_700_000_000
+    rows = [(int(u), base + int(t), float(v), "abc"[int(v) % 3]) for u, t, v in zip(rng.integers(0, 5, 300), np.sort(rng.integers(0, 90_000, 300)), rng.integers(0, 9, 300))]
+    order = sorted(range(300), key=lambda i: (rows[i][1] // 4000 + int(rng.integers(0, 2)), i))  # up to two hours out of order
+    for n in range(6):
+        part = [rows[i] for i in order[50 * n : 50 * n + 50]] + ([(0, base + 10, 1.0, "late")] if n == 5 else []) + [(None, base, 1.0, "a")]
+        df = spark.createDataFrame(part, "user_id long, t long, value double, event_type string").select("user_id", F.timestamp_seconds("t").alias("ts"), "value", "event_type")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.02)
+    stream = streams.read_stream(spark, f"file://{tmp_path}/in", df.schema, 1)
+    got = streams.run_to_files(streams.user_runs(stream, 1800, "4 hours"), f"file://{tmp_path}/out", f"file://{tmp_path}/state").collect()
+    want, end = [], max(r[1] for r in rows) - 4 * 3600
+    for u in range(5):
+        mine = sorted((t, k, v) for w, t, v, k in rows if w == u)
+        runs = []
+        for t, k, v in mine:
+            if runs and t < runs[-1][-1][0] + 1800:
+                runs[-1].append((t, k, v))
+            else:
+                runs.append([(t, k, v)])
+        want += [(u, r[0][0], r[-1][0], len(r), sum(x[2] for x in r), r[0][1], r[-1][1]) for r in runs if r[-1][0] + 1800 < end]
+    assert sorted((r.user_id, int(r["first"].timestamp()), int(r["last"].timestamp()), r.n, r.total, r.first_type, r.last_type) for r in got) == sorted(want)
+    assert len(want) > 20
