@@ -176,7 +176,7 @@ class Classifier:
         cut = dict(zip(plain, spark.range(1).select(F.transform(_array(plain, "string"), lambda x: F.filter(_words(x), lambda w: w != "")).alias("w")).first().w))
         vocabulary = sorted({w for words in cut.values() for w in words}, key=lambda w: (w not in FUNCTION_WORDS, w not in VERSIONS, w))
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.size = len(vocabulary) + 1
+        self.size, self.vocabulary = len(vocabulary) + 1, vocabulary
         mere = sum(w in FUNCTION_WORDS for w in vocabulary)  # versions have larger numbers, and core words still larger ones
         self.plain = mere + sum(w in VERSIONS for w in vocabulary)
         found: dict[int, None] = {}
@@ -297,7 +297,9 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     bias, owner = F.array(*[F.lit(float(x)) for x in model.bias]), _array([c for c, _ in model.templates], "int")
     enough = float(np.log(model.least / (1 - model.least)))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
-    own = own.withColumn("_v", model.numbers(F.col("_words")))
+    # A text without a core word has no unit; one look at the whole array finds most of these.
+    core = _array(model.vocabulary[model.plain :], "string")
+    own = own.withColumn("_v", F.when(F.arrays_overlap("_words", core), model.numbers(F.col("_words"))).otherwise(F.array().cast("array<int>")))
     spoken = lambda u: F.exists(F.slice("_words", u["low"] + 1, u["high"] - u["low"] + 1), lambda w: w.rlike(LICENCE_WORD))
     own = model.with_units(own)
     own = own.withColumn("_units", F.transform("_units", lambda u: F.struct(model.features(F.col("_v"), u["low"], u["high"]).alias("f"), spoken(u).alias("spoken"))))
