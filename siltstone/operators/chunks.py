@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from siltstone.functions.text import tokens
+from siltstone.session import importable
 
 
 def by_tokens(df: DataFrame, text: str, size: int, overlap: int, keep: list[str], words: Column | None = None) -> DataFrame:
@@ -127,17 +129,42 @@ def by_function(df: DataFrame, text: str, keep: list[str], cut) -> DataFrame:
     return own.mapInArrow(run, T.StructType(fields))
 
 
-def semantic_breaks(df: DataFrame, key: str, pos: str, vector: str, percent: float = 0.95) -> DataFrame:
-    """key, pos, group: consecutive sentences, with a new group where the distance to the one before is above the percentile of its document."""
+def semantic_breaks(df: DataFrame, key: str, pos: str, vector: str, percent: float = 0.95, kind: str = "percentile", amount: float | None = None) -> DataFrame:
+    """key, pos, group: consecutive sentences, with a new group where the distance to the one before is above a bound of its document.
+
+    kind: percentile (of the distances), deviation (their mean and amount, 3 if not given, standard deviations), quartiles
+    (their mean and amount, 1.5, times the range between the quartiles), or gradient: the percentile of the distances' slopes,
+    which are compared in their place. A document of one distance has no slope, and so no break.
+    """
     from siltstone.functions.vectors import cosine
 
     w = Window.partitionBy(key).orderBy(pos)
     far = df.withColumn("_d", 1 - cosine(F.col(vector), F.lag(vector).over(w)))
-    cut = far.groupBy(key).agg(F.percentile("_d", percent).alias("_cut"))
-    far = far.join(cut, key).withColumn("_new", F.coalesce(F.col("_d") > F.col("_cut"), F.lit(False)).cast("int"))
+    mean, last = F.avg("_d"), F.col("_d")
+    if kind == "gradient":
+        before, after = F.lag("_d").over(w), F.lead("_d").over(w)
+        slope = F.when(before.isNull(), after - F.col("_d")).when(after.isNull(), F.col("_d") - before).otherwise((after - before) / 2)
+        far, last = far.withColumn("_s", F.when(F.col("_d").isNotNull(), slope)), F.col("_s")
+    bounds = {
+        "percentile": F.percentile("_d", percent), "deviation": mean + (3 if amount is None else amount) * F.stddev_pop("_d"),
+        "quartiles": mean + (1.5 if amount is None else amount) * (F.percentile("_d", 0.75) - F.percentile("_d", 0.25)), "gradient": F.percentile(last, percent),
+    }
+    cut = far.groupBy(key).agg(bounds[kind].alias("_cut"))
+    far = far.join(cut, key).withColumn("_new", F.coalesce(last > F.col("_cut"), F.lit(False)).cast("int"))
     return far.withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).select(key, pos, "group")
 
 
+def semantic_chunks(df: DataFrame, key: str, pos: str, text: str, vector: str, size: int, **how) -> DataFrame:
+    """key, group, chunk_no, chunk: sentences of each group joined by blanks; one of more than twice size tokens is cut again, to size at most."""
+    groups = semantic_breaks(df, key, pos, vector, **how).join(df.select(key, pos, text), [key, pos])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), " ")
+    joined = groups.groupBy(key, "group").agg(whole.alias("_text"))
+    long = F.size(tokens(F.col("_text"))) > 2 * size
+    small = joined.filter(~long).select(key, "group", F.lit(0).alias("chunk_no"), F.col("_text").alias("chunk"))
+    cut = by_tokens(joined.filter(long), "_text", size, 0, [key, "group"]).select(key, "group", "chunk_no", "chunk")
+    return small.unionByName(cut)
+
+
 def separator_chunks(tokens: list[str], separators: list[list[str]], size: int, overlap: int) -> list[list[str]]:
     """Chunks of at most size tokens that end after separators where they can.
 
@@ -198,3 +225,65 @@ def by_layout(pages: DataFrame, keep: list[str], layout: str) -> DataFrame:
     blocks = pages.select(*keep, F.explode(F.from_json(layout, PAGE_LAYOUT)["blocks"]).alias("b")).filter("b.lines IS NOT NULL")
     text = F.array_join(F.transform(F.flatten(F.transform("b.lines", lambda line: line["spans"])), lambda s: s["text"]), "")
     return blocks.select(*keep, F.col("b.id").alias("chunk_id"), F.col("b.bbox").alias("bbox"), text.alias("text"))
+
+
+@F.udtf(returnType="chunk_no int, chunk string")
+class SplitBySize:
+    """Table function: split_by_size(text, size, overlap, stops)."""
+
+    def eval(self, text: str, size: int, overlap: int, stops: str):
+        for n, c in enumerate(split_by_size(text, size, overlap, stops) if text else ()):
+            yield n, c
+
+
+@F.udtf(returnType="chunk_no int, chunk string")
+class RecursiveSplit:
+    """Table function: recursive_split(text, size)."""
+
+    def eval(self, text: str, size: int):
+        for n, c in enumerate(recursive_split(text, size) if text else ()):
+            yield n, c
+
+
+@F.udtf
+class PackedChunks:
+    """Table function over a table with partitions and an order: packed_chunks(TABLE(t) PARTITION BY .. ORDER BY .., name of the text column, size).
+
+    Rows of a partition are put together, in order, to chunks of at most size words, cut nowhere; it gives the partition's key,
+    a number, the rows in the chunk and its text. A row of more words is a chunk of its own; rows without words are left out.
+    The key is the table's first column. A partition goes through one task, row by row, so its rows should have a bound.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, text: AnalyzeArgument, size: AnalyzeArgument) -> AnalyzeResult:
+        key = rows.dataType.fields[0]
+        return AnalyzeResult(T.StructType([key, T.StructField("chunk_no", T.IntegerType()), T.StructField("n_rows", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+
+    def __init__(self):
+        self.key, self.parts, self.words, self.number = None, [], 0, 0
+
+    def _give(self):
+        yield self.key, self.number, len(self.parts), " ".join(self.parts)
+        self.parts, self.words, self.number = [], 0, self.number + 1
+
+    def eval(self, row, text: str, size: int):
+        self.key = row[0]
+        x = row[text]
+        n = len(x.split()) if x else 0
+        if not n:
+            return
+        if self.parts and self.words + n > size:
+            yield from self._give()
+        self.parts.append(x)
+        self.words += n
+
+    def terminate(self):
+        if self.parts:
+            yield from self._give()
+
+
+def register(spark: SparkSession) -> None:
+    """The chunkers as table functions of SQL: split_by_size, recursive_split, packed_chunks."""
+    importable(spark)
+    for name, f in (("split_by_size", SplitBySize), ("recursive_split", RecursiveSplit), ("packed_chunks", PackedChunks)):
+        spark.udtf.register(name, f)

@@ -269,3 +269,42 @@ def c08_recursive_splits(spark, d):
 def c09_semantic_groups(spark, d):
     e = table(spark, d, "embeddings").withColumn("doc", F.col("vec_id") % 20)
     return C.semantic_breaks(e, "doc", "vec_id", "embedding")
+
+
+_FAR = "WITH e AS (SELECT vec_id, vec_id % 20 AS doc, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT doc, vec_id, 1 - list_cosine_similarity(v, lag(v) OVER (PARTITION BY doc ORDER BY vec_id)) AS far FROM e)"
+_GROUPS = 'SELECT doc, vec_id, CAST(sum(CASE WHEN {} > cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY vec_id) AS BIGINT) AS "group" FROM {} JOIN c USING (doc)'
+
+
+def _grouped(spark, d, **how):
+    return C.semantic_breaks(table(spark, d, "embeddings").withColumn("doc", F.col("vec_id") % 20), "doc", "vec_id", "embedding", **how)
+
+
+@query(f"{_FAR}, c AS (SELECT doc, avg(far) + 1.2 * stddev_pop(far) AS cut FROM f GROUP BY 1) {_GROUPS.format('far', 'f')}")
+def c09_semantic_deviation(spark, d):
+    return _grouped(spark, d, kind="deviation", amount=1.2)
+
+
+@query(f"{_FAR}, c AS (SELECT doc, avg(far) + 0.6 * (quantile_cont(far, 0.75) - quantile_cont(far, 0.25)) AS cut FROM f GROUP BY 1) {_GROUPS.format('far', 'f')}")
+def c09_semantic_quartiles(spark, d):
+    return _grouped(spark, d, kind="quartiles", amount=0.6)
+
+
+@query(
+    f"""{_FAR}, g AS (SELECT doc, vec_id, CASE WHEN far IS NULL THEN NULL WHEN lag(far) OVER w IS NULL THEN lead(far) OVER w - far WHEN lead(far) OVER w IS NULL THEN far - lag(far) OVER w ELSE (lead(far) OVER w - lag(far) OVER w) / 2 END AS slope
+    FROM f WINDOW w AS (PARTITION BY doc ORDER BY vec_id)), c AS (SELECT doc, quantile_cont(slope, 0.9) AS cut FROM g GROUP BY 1) {_GROUPS.format('slope', 'g')}"""
+)
+def c09_semantic_gradient(spark, d):
+    return _grouped(spark, d, kind="gradient", percent=0.9)
+
+
+@query(
+    """WITH w AS (SELECT doc_id // 100 AS part, doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 60)
+    SELECT part, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM w GROUP BY 1"""
+)
+def x09_packed_chunks(spark, d):
+    """A table function in SQL: texts packed to chunks of 61 words in runs of 100 ids; the texts that are chunks of their own for their length."""
+    C.register(spark)
+    table(spark, d, "documents").select(F.expr("doc_id div 100").alias("part"), "doc_id", F.concat_ws(" ", "doc_id", "text").alias("text")).createOrReplaceTempView("_x09_documents")
+    found = spark.sql("SELECT * FROM packed_chunks(TABLE(_x09_documents) PARTITION BY part ORDER BY (doc_id), 'text', 61)")
+    alone = found.filter((F.col("n_rows") == 1) & (F.size(T.tokens(F.col("chunk"))) > 61))
+    return alone.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.substring_index("chunk", " ", 1).cast("long")).alias("ids"))
