@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import graph as G
 from siltstone.operators import leiden as L
+from siltstone.operators import node2vec as V
 
 from .catalog import query, table
 
@@ -205,6 +206,12 @@ def g11_walks(spark, d):
     return G.walks(e, _nodes(e), 6, 2)
 
 
+@query()
+def g11_node_vectors(spark, d):
+    e = G.settled(_edges(spark, d), "edges")
+    return V.node_vectors(_nodes(e), e, V.WalkParams(length=5, per_node=2, away=2.0, dims=16))
+
+
 @query(f"WITH e AS {_EDGES} SELECT src, tgt, weight FROM e WHERE src IN (SELECT src FROM e WHERE tgt = 100001) AND tgt IN (100001, 100002, 100003)")
 def g13_induced_edges(spark, d):
     e = G.settled(_edges(spark, d), "edges")
