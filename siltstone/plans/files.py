@@ -193,7 +193,7 @@ def s20_delete_rows(spark, d):
 def s21_create_tables(spark, d):
     """A table of the catalog, created if absent and loaded in two inserts."""
     n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    name = f"nation_{abs(hash(G.shared_path(spark, 'x'))) % 10**12}"
+    name = f"nation_{G.shared_path(spark, 'x')[-32:]}"  # the path's uuid
     path = _path(spark, name)
     for _ in range(2):
         IO.create_table(spark, name, "n_nationkey int, n_name string, n_regionkey int", path)
@@ -207,7 +207,7 @@ def s21_create_tables(spark, d):
 @query("SELECT 25 AS before, 0 AS emptied, 3 AS again, false AS there FROM region WHERE r_regionkey = 0")
 def s22_delete_and_drop(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    name = f"nation_{abs(hash(G.shared_path(spark, 'y'))) % 10**12}"
+    name = f"nation_{G.shared_path(spark, 'x')[-32:]}"  # the path's uuid
     IO.create_table(spark, name, "n_nationkey int, n_name string", _path(spark, name))
     counts = []
     for part in ("true", None, "n_nationkey < 3"):
