@@ -139,18 +139,24 @@ def f13_cluster_summary(spark, d):
     return table(spark, d, "benchmark").select("item_id", parsing.cluster_summary(t).alias("c")).select("item_id", "c.entity_name", "c.entity_description", F.size("c.findings").alias("n"))
 
 
-@query("SELECT n_nationkey, true AS a, false AS b FROM nation")
+_W = "regexp_matches({}, '^[\\p{{L}}\\p{{N}}\\p{{M}}_]$')"
+
+
+@query(f"SELECT doc_id, NOT {_W.format('substr(text, 5, 1)')} AS a, NOT {_W.format('substr(text, 3, 1)')} AND NOT {_W.format('substr(text, 9, 1)')} AS b FROM documents")
 def f16_word_boundary(spark, d):
-    t = F.concat(F.lit("é "), "n_name", F.lit(" xé"))
-    at = lambda a, b: parsing.on_word_boundary(t, F.lit(a), b)
-    return table(spark, d, "nation").select("n_nationkey", at(2, F.length("n_name") + 2).alias("a"), at(2, F.length("n_name") + 1).alias("b"))
+    """Whether the first four characters of a text, and its fourth to eighth, stand on word boundaries."""
+    at = lambda a, b: parsing.on_word_boundary(F.col("text"), F.lit(a), F.lit(b))
+    return table(spark, d, "documents").select("doc_id", at(0, 4).alias("a"), at(3, 8).alias("b"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 4 ELSE 1 END AS tiles FROM part")
+@query(
+    """WITH g AS (SELECT c, r FROM range(1, 13) x(c), range(1, 13) y(r) WHERE c * r <= 12)
+    SELECT p_partkey, CAST(first(c * r ORDER BY abs(p_size / 10.0 - c / r), c * r, c, r) AS INT) AS tiles, CAST(first(c ORDER BY abs(p_size / 10.0 - c / r), c * r, c, r) AS INT) AS columns FROM part, g GROUP BY 1"""
+)
 def f36_tiles(spark, d):
-    w = F.when(F.col("p_size") > 25, 400).otherwise(100)
-    g = parsing.tile_grid(w, F.lit(100))
-    return table(spark, d, "part").select("p_partkey", F.size(parsing.tile_boxes(g, 448)).alias("tiles"))
+    """Grids for pictures as wide as a part's size and ten high."""
+    g = parsing.tile_grid(F.col("p_size"), F.lit(10))
+    return table(spark, d, "part").select("p_partkey", F.size(parsing.tile_boxes(g, 448)).alias("tiles"), g["columns"].alias("columns"))
 
 
 @query("SELECT n_nationkey, 'of  see ' || CASE WHEN n_regionkey IN (1, 2) THEN '[' || n_regionkey || ']' ELSE '' END || ' and [a link](x)' AS text FROM nation")
