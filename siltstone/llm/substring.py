@@ -42,8 +42,10 @@ class SubstringParams:
     flush_bytes: int = 48 << 20
     #: Copies of one super-k-mer in what a map task gathers from which they aren't sent.
     hot: int = 64
-    #: Answers that one pass over the texts takes along; more take further passes.
+    #: Answers that go to all tasks; more are joined with the copies, dealt over so many parts each, of which a filter of 2 ^ filter_bits bits passes few others.
     answers: int = 100_000
+    salts: int = 16
+    filter_bits: int = 26
     #: Up to so many doc_ids of several rows (16 MB) are broadcast to mark their rows; beyond, both are shuffled.
     broadcast_ids: int = 2_000_000
 
@@ -275,17 +277,11 @@ def _answers(text: bytes, offs: np.ndarray, code: np.ndarray, bounds: np.ndarray
     return pa.table([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(at_, pa.int32()), pa.array(n, pa.int32()), pa.array(codes, pa.int64()), pa.array(digests, pa.binary()), pa.array(least, pa.int64())], _FOUND)
 
 
-def _flag_copies(docs: DataFrame, answers: DataFrame, p: SubstringParams) -> DataFrame:
-    """Flags of all copies of the super-k-mers in answers (code, digest, at, n, least), which fit the driver."""
-    rows = answers.select("code", "digest", "at", "n", "least").toArrow()
-    runs = defaultdict(list)
-    for code, digest, at_, n, least in zip(*(rows.column(c).to_pylist() for c in ("code", "digest", "at", "n", "least"))):
-        runs[(code, digest)].append((at_, n, least))
-    shared = docs.sparkSession.sparkContext.broadcast((np.array(sorted({c for c, _ in runs}), np.int64), dict(runs)))
+def _looked_up(docs: DataFrame, p: SubstringParams, pick, schema: str) -> DataFrame:
+    """Rows that pick gives for the super-k-mers of docs: called with text, starts, ends, codes, doc_ids, versions and places of a block's."""
+    kinds = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = shared.value
-        wanted = np.sort(wanted.view(np.uint64))
         for batch in batches:
             buf, offs = at.utf8(batch.column("text"))
             ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
@@ -294,19 +290,60 @@ def _flag_copies(docs: DataFrame, answers: DataFrame, p: SubstringParams) -> Dat
                 if cut is None:
                     continue
                 text, a, b, _, (windows, first, last), row, places = cut
-                code = _codes(windows, first, last, b - a)
-                place = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-                found: list[tuple] = []
-                for x in np.flatnonzero(wanted[place] == code).tolist():
-                    doc = int(ids[i + row[x]])
-                    for at_, n, least in known.get((int(code[x].astype(np.int64)), _digest(text[a[x] : b[x]])), ()):
-                        if least < doc:
-                            found.append((doc, int(versions[i + row[x]]), int(places[x]) + at_, n))
+                found = pick(text, a, b, _codes(windows, first, last, b - a), ids[i + row], versions[i + row], places)
                 if found:
-                    columns = zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], _FOUND[:4])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds.types)], schema=kinds)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _flag_copies(docs: DataFrame, answers: DataFrame, p: SubstringParams) -> DataFrame:
+    """Flags of all copies of the super-k-mers in answers (code, digest, at, n, least), which fit the driver."""
+    rows = answers.select("code", "digest", "at", "n", "least").toArrow()
+    runs = defaultdict(list)
+    for code, digest, at_, n, least in zip(*(rows.column(c).to_pylist() for c in ("code", "digest", "at", "n", "least"))):
+        runs[(code, digest)].append((at_, n, least))
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(sorted({c for c, _ in runs}), np.int64), dict(runs)))
 
-    return docs.mapInArrow(run, FLAG_SCHEMA)
+    def pick(text, a, b, code, docs_, versions, places) -> list[tuple]:
+        wanted, known = shared.value
+        wanted = np.sort(wanted.view(np.uint64))
+        place = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+        found = []
+        for x in np.flatnonzero(wanted[place] == code).tolist():
+            doc = int(docs_[x])
+            for at_, n, least in known.get((int(code[x].astype(np.int64)), _digest(text[a[x] : b[x]])), ()):
+                if least < doc:
+                    found.append((doc, int(versions[x]), int(places[x]) + at_, n))
+        return found
+
+    return _looked_up(docs, p, pick, FLAG_SCHEMA)
+
+
+def _flag_many(docs: DataFrame, answers: DataFrame, p: SubstringParams) -> DataFrame:
+    """As _flag_copies, for any number of answers in one pass over the texts.
+
+    A bit for each code's first bits goes to all tasks, whatever the number of answers; super-k-mers whose bit is set are joined
+    with the answers. One string's copies are dealt over p.salts parts, to each of which its answers are sent.
+    """
+    bit = F.shiftrightunsigned("code", 64 - p.filter_bits) + 1  # Spark counts from 1
+    words = answers.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("b")).groupBy("k").agg(F.bitmap_construct_agg("b").alias("bits"))
+    table = np.zeros(max((1 << p.filter_bits) // 8, 4096), np.uint8)
+    for r in words.collect():  # 4 KB for every 32,768 bits
+        own = np.frombuffer(bytes(r.bits), np.uint8)
+        table[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(own)] |= own
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def pick(text, a, b, code, docs_, versions, places) -> list[tuple]:
+        at_ = (code >> np.uint64(64 - p.filter_bits)).astype(np.int64)
+        set_ = (shared.value[at_ >> 3] >> (at_ & 7).astype(np.uint8)) & 1
+        return [(int(code[x].astype(np.int64)), _digest(text[a[x] : b[x]]), int(docs_[x]), int(versions[x]), int(places[x])) for x in np.flatnonzero(set_).tolist()]
+
+    copies = _looked_up(docs, p, pick, "code long, digest binary, doc_id long, version long, place int")
+    copies = copies.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(p.salts)).cast("int"))
+    sent = answers.select("code", "digest", F.col("at").alias("_at"), "n", "least", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("salt"))
+    found = copies.join(sent, ["code", "digest", "salt"]).filter("least < doc_id")
+    return found.select("doc_id", "version", (F.col("place") + F.col("_at")).cast("int").alias("at"), "n")
 
 
 def flagged_windows(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
@@ -330,9 +367,9 @@ def flagged_windows(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
 
     found = written(docs.mapInArrow(pack, BUCKET_SCHEMA).groupBy("bucket").applyInArrow(check, FOUND_SCHEMA), "windows")
     flags, answers = found.filter("digest IS NULL").select(*_FOUND[:4]), found.filter("digest IS NOT NULL")
-    passes = -(-answers.count() // p.answers)
-    for k in range(passes):
-        flags = flags.unionByName(_flag_copies(docs, answers.filter(F.pmod("code", F.lit(passes)) == k), p))
+    n = answers.count()
+    if n:
+        flags = flags.unionByName((_flag_copies if n <= p.answers else _flag_many)(docs, answers, p))
     return flags
 
 

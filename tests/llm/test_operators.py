@@ -606,6 +606,21 @@ def test_windows_with_one_hash_are_told_apart():
     assert got.tolist() == [4, 1, 4]
 
 
+def test_any_number_of_answers_takes_one_pass(spark):
+    """The same flags by either way, with filters of all fillings, and one scan of the texts for the look-up."""
+    shared = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(30)]
+    docs = spark.createDataFrame([(i, 0, f"own{i} " * 9 + shared[i % 30] + f" {shared[(i * 7) % 30]} tail{i}") for i in range(240)], "doc_id long, version long, text string").repartition(3).cache()
+    want = None
+    for p in (substring.SubstringParams(hot=2), substring.SubstringParams(hot=2, answers=1), substring.SubstringParams(hot=2, answers=1, filter_bits=4), substring.SubstringParams(hot=2, answers=1, filter_bits=1, salts=1), substring.SubstringParams(hot=10_000)):
+        found = substring.flagged_windows(docs, p)
+        flags = {(r.doc_id, x) for r in found.collect() for x in range(r["at"], r["at"] + r.n)}
+        want = want or flags
+        assert flags == want and len(flags) > 1000
+        if p.answers == 1:  # however many answers there are
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    docs.unpersist()
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------
 
 
