@@ -17,7 +17,7 @@ def vectors(spark):
 
 @pytest.fixture(scope="module")
 def index(spark, vectors):
-    return ann.VectorIndex.create(vectors, graph.shared_path(spark, "ann"), ann.IndexParams(64))
+    return ann.VectorIndex.create(vectors, graph.shared_path(spark, "ann"), ann.IndexParams(64, sample=1500))
 
 
 def top(df):
