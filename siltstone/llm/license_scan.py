@@ -90,7 +90,7 @@ NOTICES = _notices()
 
 
 # Words that alone don't tell of a licence.
-FUNCTION_WORDS = "a all and any are as at be by can copy either file following for form free from he his in included is it its later list may must name new not of on one only or other person product products program public same section see shall that the this to under use used using version was with without work works world you your".split()
+FUNCTION_WORDS = "a all an and any are as at be by can copy either file following for form free from he his in included is it its later list may must name new not of on one only or other person product products program public same section see shall that the this to under use used using version was with without work works world you your".split()
 #: Numbers of versions: no unit begins with them either, but they tell one licence from another.
 VERSIONS = "1.0 2 2.0 2.1 3 3.0 4.0 v".split()
 #: What stands between words: white space and punctuation, but for dots inside of words, and plus signs.
