@@ -144,23 +144,27 @@ def _sets(p: NearDupParams):
 
 
 def _with_least(edges: DataFrame, least: DataFrame, salts: int) -> DataFrame:
-    """edges (a, b) joined with least (a, m): a hub's edges are dealt over several tasks, and its line is sent to each."""
-    sent = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(sent, ["a", "salt"]).drop("salt")
+    """edges (a, b, salt) joined with least (a, m, _s): a hub's edges are dealt over several tasks, and its line is sent to each that has any."""
+    sent = least.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda k: F.bit_get("_s", k) == 1))).drop("_s")
+    return edges.join(sent, ["a", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, salts: int = 16) -> DataFrame:
     """node, component (its smallest reachable node) for all ends of edges (a, b), by alternating large and small stars.
 
-    Least neighbours are combined before they are shuffled, and joined back to salts parts of each node's edges.
+    Least neighbours are combined before they are shuffled, and joined back to salts parts of each node's edges (fewer, if it
+    has fewer); so no more lines are sent than there are edges.
     """
+    dealt = lambda e: e.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    parts = F.bit_or(F.expr("shiftleft(1, salt)")).alias("_s")
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        both = dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), parts)
         large = _with_least(both, least, salts).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = dealt(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), parts)
         small = _with_least(large, least, salts)
         edges = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
