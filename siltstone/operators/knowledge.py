@@ -127,15 +127,16 @@ def community_reports(schema: DataFrame, texts: DataFrame, budget: int, report:
     subs = G.settled(G.sub_communities(schema), "sub-communities")  # level, community, sub (of the next level)
     for level in levels:
         own = flat.filter(F.col("level") == level).join(sizes, ["level", "community"])
-        plain = own.select("community", "node", F.col("description").alias("_x"), (F.col("tokens") > budget).alias("over"))
+        # Nodes come first, in the order of their own type, then reports by the names of their sub-communities.
+        plain = own.select("community", "node", F.lit("").alias("_sub"), F.lit(0).alias("_told"), F.col("description").alias("_x"), (F.col("tokens") > budget).alias("over"))
         if out is not None:
             below = subs.filter(F.col("level") == level).select("community", "sub")
             covered = below.join(flat.filter(F.col("level") == level + 1).select(F.col("community").alias("sub"), "node"), "sub").select("community", "node").distinct()
             rest = plain.join(covered.withColumn("_c", F.lit(True)), ["community", "node"], "left").filter("NOT over OR _c IS NULL").drop("_c")
             over = plain.filter("over").select("community").distinct()
             told = below.join(over, "community").join(out.filter(F.col("level") == level + 1).select(F.col("community").alias("sub"), "report"), "sub")
-            plain = rest.unionByName(told.select("community", F.concat(F.lit("~"), F.col("sub").cast("string")).alias("node"), F.col("report").alias("_x"), F.lit(True).alias("over")))
-        made = plain.groupBy("community").agg(in_order("node", "_x", "\n").alias("_t")).select(F.lit(level).alias("level"), "community", report(F.col("_t")).alias("report"))
+            plain = rest.unionByName(told.select("community", F.lit(None).cast(plain.schema["node"].dataType).alias("node"), F.col("sub").cast("string").alias("_sub"), F.lit(1).alias("_told"), F.col("report").alias("_x"), F.lit(True).alias("over")))
+        made = plain.groupBy("community").agg(in_order(F.struct("_told", "node", "_sub").alias("_o"), "_x", "\n").alias("_t")).select(F.lit(level).alias("level"), "community", report(F.col("_t")).alias("report"))
         made = G.settled(made, "reports")
         out = made if out is None else out.unionByName(made)
     return out

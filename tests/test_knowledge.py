@@ -123,3 +123,12 @@ def test_reports_go_from_the_bottom_up(spark):
 def test_free_names():
     assert io.next_free_name([], "a.txt") == "a.txt"
     assert io.next_free_name(["a.txt", "a(1).txt"], "a.txt") == "a(2).txt"
+
+
+def test_reports_of_numbered_nodes(spark):
+    """Nodes of any type: a community over the budget takes the reports of its sub-communities, by name, after its other nodes, by number."""
+    schema = spark.createDataFrame([(1, 2, [1, 2]), (1, 10, [3]), (0, 7, [1, 2, 3, 20, 100])], "level int, community long, nodes array<long>")
+    texts = spark.createDataFrame([(1, "one two"), (2, "three"), (3, "four"), (20, "five"), (100, "six")], "node long, description string")
+    report = lambda c: F.concat(F.lit("<"), F.replace(c, F.lit("\n"), F.lit("+")), F.lit(">"))
+    got = {(r.level, r.community): r.report for r in K.community_reports(schema, texts, 3, report).collect()}
+    assert got == {(1, 2): "<one two+three>", (1, 10): "<four>", (0, 7): "<five+six+<four>+<one two+three>>"}
