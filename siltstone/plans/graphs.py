@@ -175,8 +175,10 @@ def g05_directed_paths(spark, d):
 
 @query(f"WITH e AS {_EDGES} SELECT src AS node, tgt AS other, 20 AS score FROM e WHERE src = 5 UNION ALL SELECT tgt, src, 20 FROM e WHERE tgt = 100003")
 def g06_one_hop_edges(spark, d):
-    u = G.both_ways(_edges(spark, d).select("src", "tgt"))
-    return u.filter("src = 5 OR src = 100003").select(F.col("src").alias("node"), F.col("tgt").alias("other"), F.lit(20).alias("score"))
+    """Edges of customer 5 and of supplier 3. With many customers a customer has the number 100003 too, so each end is asked on its own side."""
+    e = _edges(spark, d).select("src", "tgt").filter("src = 5 OR tgt = 100003")
+    ends = F.array(F.when(F.col("src") == 5, F.struct(F.col("src").alias("node"), F.col("tgt").alias("other"))), F.when(F.col("tgt") == 100003, F.struct(F.col("tgt").alias("node"), F.col("src").alias("other"))))
+    return e.select(F.explode(F.array_compact(ends)).alias("e")).select("e.*", F.lit(20).alias("score"))
 
 
 _FOREST = "(SELECT p_partkey AS src, p_partkey - p_partkey % 16 AS tgt FROM part WHERE p_partkey % 16 <> 0)"
