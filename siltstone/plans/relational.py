@@ -176,11 +176,10 @@ def j21_full_outer(spark, d):
     return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "n_orders", "c_nationkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 350000)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def j21_anti(spark, d):
-    """Customers without a large order."""
-    large = table(spark, d, "orders").filter("o_totalprice >= 350000")
-    return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order."""
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1")
