@@ -259,3 +259,23 @@ def test_runs_of_a_stream_with_late_rows_equal_those_of_the_batch(spark, tmp_pat
         want += [(u, r[0][0], r[-1][0], len(r), sum(x[2] for x in r), r[0][1], r[-1][1]) for r in runs if r[-1][0] + 1800 < end]
     assert sorted((r.user_id, int(r["first"].timestamp()), int(r["last"].timestamp()), r.n, r.total, r.first_type, r.last_type) for r in got) == sorted(want)
     assert len(want) > 20
+
+
+def test_whole_document_in_blocks(spark):
+    """Chunks and first pages as a search through the whole text finds them, also over several blocks, repeats and partial words."""
+    rng = np.random.default_rng(7)
+    pages = [("a", i, " ".join(rng.choice(["x", "yx", "xy", "z z", "q"], 40))) for i in range(60)]  # words that end or start with others
+    pages += [("b", i, "again and again " * 10) for i in range(30)] + [("c", 1, "one"), ("d", 3, "someone"), ("d", 4, "one"), ("e", 1, None), ("f", 2, " "), ("f", 5, "ab cd")]
+    df = spark.createDataFrame(pages, "doc string, page long, text string").repartition(5)
+    for size, overlap in ((5, 2), (3, 1), (30, 5)):
+        want = {}
+        for doc in "abcdef":
+            texts = [(p, " ".join((t or "").split())) for d, p, t in pages if d == doc]
+            texts = [(p, t) for p, t in sorted(texts) if t]
+            words, text = [w for _, t in texts for w in t.split()], " ".join(t for _, t in texts)
+            ends = np.cumsum([len(t) + 1 for _, t in texts])
+            for n in range(max(1, -(-(len(words) - overlap) // (size - overlap))) if words else 0):
+                chunk = " ".join(words[n * (size - overlap) :][:size])
+                want[doc, n] = texts[int(np.sum(ends < text.index(chunk) + 1))][0], chunk
+        got = {(r.doc, r.chunk_no): (r.page, r.chunk) for r in chunks.by_whole_document(df, size, overlap).collect()}
+        assert got == want
