@@ -19,8 +19,8 @@ from siltstone.session import importable
 
 from .graph import both_ways, settled
 
-#: Edges up to which a scope is clustered in one task.
-LOCAL_EDGES = 50_000
+#: Edges up to which a scope, or what the rounds leave of larger ones, is clustered in one task; a fixed size, a few 100 MB of Python.
+LOCAL_EDGES = 1_000_000
 
 #: Gains are compared at so many decimals, so that the order of a sum can't decide.
 DECIMALS = 9
@@ -234,6 +234,11 @@ def _in_rounds(nodes: DataFrame, edges: DataFrame, resolution: float, rounds: in
         ends = graph.join(name("src"), "src").join(name("tgt"), "tgt")
         graph = settled(ends.groupBy(F.least("p_src", "p_tgt").alias("src"), F.greatest("p_src", "p_tgt").alias("tgt")).agg(F.sum("weight").alias("weight")), "graph")
         at = parts.select(F.col("part").alias("node"), "scope").distinct()
+        if graph.count() <= LOCAL_EDGES:  # what is left fits in tasks, and rounds cost the same on few edges
+            kinds = dict(members.dtypes)
+            rest = _in_tasks(graph.join(at.withColumnRenamed("node", "src"), "src"), resolution, (kinds["node"], kinds["scope"]))
+            last = rest.select(F.col("node").alias("community"), F.col("community").alias("_last"))
+            return settled(members.join(last, "community", "left").select("node", "scope", F.coalesce("_last", "community").alias("community")), "members")
         first = parts.groupBy("community").agg(F.min("part").alias("name"))  # named by one of the new nodes
         start = settled(parts.select(F.col("part").alias("node"), "community").distinct().join(first, "community").select("node", F.col("name").alias("community")), "start")
     return members

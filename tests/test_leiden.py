@@ -65,6 +65,21 @@ def test_planted_groups_are_found(spark, monkeypatch, local):
         assert {r.node: r.community for r in L.leiden(nodes, edges).collect()} == label
 
 
+def test_what_rounds_leave_is_clustered_in_tasks(spark, monkeypatch):
+    """A graph over the local bound is made smaller by one level of rounds, and finished in tasks."""
+    pairs, calls = planted(), []
+    monkeypatch.setattr(L, "LOCAL_EDGES", len(pairs) - 1)
+    tasks, moved = L._in_tasks, L._moved
+    monkeypatch.setattr(L, "_in_tasks", lambda *x: calls.append("tasks") or tasks(*x))
+    monkeypatch.setattr(L, "_moved", lambda *x: calls.append("moved") or moved(*x))
+    nodes, edges = frames(spark, pairs)
+    label = {r.node: r.community for r in L.leiden(nodes, edges).collect()}
+    assert calls == ["tasks", "moved", "tasks"]  # the first call has no scope that is small enough
+    assert set(label) == {x for a, b, _ in pairs for x in (a, b)} and all(c in m for c, m in groups_of(label).items())
+    assert plain_modularity(pairs, label) >= plain_modularity(pairs, {n: n // 20 for n in label}) - 0.02
+    assert all(is_connected(m, pairs) for m in groups_of(label).values())
+
+
 def test_weights_loops_strings_and_lone_nodes(spark):
     pairs = [("a", "b", 5.0), ("b", "c", 5.0), ("a", "c", 5.0), ("c", "d", 0.1), ("d", "e", 5.0), ("e", "f", 5.0), ("d", "f", 5.0), ("f", "f", 1.0)]
     edges = spark.createDataFrame(pairs, "src string, tgt string, weight double")
