@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -167,13 +168,20 @@ def tile_grid(width: Column, height: Column, most: int = 12) -> Column:
     grids = sorted(((c, r) for c in range(1, most + 1) for r in range(1, most + 1) if c * r <= most), key=lambda g: (g[0] * g[1], g))
     shape = width / height
     options = F.array(*[F.struct(F.abs(shape - F.lit(c / r)).alias("far"), F.lit(c * r).alias("n"), F.lit(c).alias("columns"), F.lit(r).alias("rows")) for c, r in grids])
-    best = F.array_min(options)
-    return F.struct(best["columns"].alias("columns"), best["rows"].alias("rows"))
+    return _once(F.array_min(options), lambda best: F.struct(best["columns"].alias("columns"), best["rows"].alias("rows")))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row, however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def tile_boxes(grid: Column, size: int) -> Column:
     """array<struct(left, top, right, bottom)> of a grid's tiles, row by row."""
-    n = grid["columns"] * grid["rows"]
-    left = lambda i: (i % grid["columns"]) * size
-    top = lambda i: F.floor(i / grid["columns"]).cast("int") * size
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(left(i).alias("left"), top(i).alias("top"), (left(i) + size).alias("right"), (top(i) + size).alias("bottom")))
+
+    def boxes(g: Column) -> Column:
+        left = lambda i: (i % g["columns"]) * size
+        top = lambda i: F.floor(i / g["columns"]).cast("int") * size
+        return F.transform(F.sequence(F.lit(0), g["columns"] * g["rows"] - 1), lambda i: F.struct(left(i).alias("left"), top(i).alias("top"), (left(i) + size).alias("right"), (top(i) + size).alias("bottom")))
+
+    return _once(grid, boxes)

@@ -120,3 +120,9 @@ def test_dictionary_entries_are_found_where_they_stand(spark):
     got = sorted(((r.k, r.entry, r.n) for r in matching.match_dictionary(docs, "k", "t", entries, "e").collect()), key=str)
     assert got == sorted(plain_matches(rows, names), key=str)
     assert (5, "stanbul", 1) in got and (5, "a a", 3) in got and (5, "++", 1) in got and (7, "e", 1) not in got
+
+
+def test_grids_are_chosen_once_a_row(spark):
+    """The boxes of a grid don't choose it anew for each side of each tile."""
+    boxes = spark.range(3).select(F.size(parsing.tile_boxes(parsing.tile_grid(F.col("id") + 1, F.lit(10)), 448)).alias("n"))
+    assert boxes._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 1
