@@ -4,6 +4,7 @@ import json
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -279,3 +280,11 @@ def test_whole_document_in_blocks(spark):
                 want[doc, n] = texts[int(np.sum(ends < text.index(chunk) + 1))][0], chunk
         got = {(r.doc, r.chunk_no): (r.page, r.chunk) for r in chunks.by_whole_document(df, size, overlap).collect()}
         assert got == want
+
+
+def test_chunks_go_out_by_the_megabyte():
+    """A batch of many texts doesn't give one batch of all their chunks."""
+    texts = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": ["ab " * 200_000] * 7 + [None]})
+    out = list(chunks.cut_batches("text", ["id"], lambda t: [t[i : i + 3000] for i in range(0, len(t), 3000)])(iter([texts])))
+    assert len(out) > 3 and max(b.nbytes for b in out) < 1_200_000
+    assert [(r["id"], r["chunk_no"]) for b in out for r in b.select(["id", "chunk_no"]).to_pylist()] == [(i, n) for i in range(7) for n in range(200)]
