@@ -55,9 +55,11 @@ def answer_questions(
     state = questions.withColumns({"_q": F.monotonically_increasing_id(), "_query": F.col("question"), "memory": F.array().cast("array<string>"), "answer": F.lit(None).cast("string"), "hops": F.lit(0)})
     live, out = settled(state, "questions"), None
     for hop in range(1, rounds + 1):
-        found = retrieve(live.filter("_query IS NOT NULL").select("_q", F.col("_query").alias("query")))
+        # Questions that ask the same are searched for once: many meet at a few queries after a hop.
+        asked = settled(live.filter("_query IS NOT NULL").groupBy("_query").agg(F.min("_q").alias("_q")), "asked")
+        found = retrieve(asked.select("_q", F.col("_query").alias("query")))
         texts = found.groupBy("_q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("_texts"))  # as many as the retriever gives
-        step = live.join(texts, "_q", "left").withColumn("_texts", F.coalesce("_texts", F.array().cast("array<string>")))
+        step = live.join(asked.join(texts, "_q").drop("_q"), "_query", "left").withColumn("_texts", F.coalesce("_texts", F.array().cast("array<string>")))
         step = step.withColumn("_note", extract(F.col("question"), F.col("_query"), F.col("_texts")))
         fresh = (F.col("_note") != "") & ~F.array_contains("memory", F.col("_note"))
         step = step.withColumn("memory", F.when(fresh, F.concat("memory", F.array("_note"))).otherwise(F.col("memory")))

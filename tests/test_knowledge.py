@@ -132,3 +132,19 @@ def test_reports_of_numbered_nodes(spark):
     report = lambda c: F.concat(F.lit("<"), F.replace(c, F.lit("\n"), F.lit("+")), F.lit(">"))
     got = {(r.level, r.community): r.report for r in K.community_reports(schema, texts, 3, report).collect()}
     assert got == {(1, 2): "<one two+three>", (1, 10): "<four>", (0, 7): "<five+six+<four>+<one two+three>>"}
+
+
+def test_equal_queries_are_searched_once(spark):
+    from siltstone.operators import multihop
+
+    seen = []
+
+    def retrieve(queries):
+        seen.append(sorted(r.query for r in queries.collect()))
+        return queries.select("_q", F.lit(1).alias("rank"), F.concat(F.lit("about "), "query").alias("text"))
+
+    questions = spark.createDataFrame([(i, f"q{i % 3}") for i in range(12)] + [(99, None)], "id int, question string")
+    critic = lambda question, memory: F.struct(F.when(F.size(memory) > 1, F.concat_ws("+", memory)).alias("answer"), F.lit("the same").alias("query"))
+    found = multihop.answer_questions(questions.filter("id < 50"), retrieve, lambda question, query, texts: F.get(texts, F.lit(0)), critic, 3)
+    assert {r.id: r.answer for r in found.collect()} == {i: f"about q{i % 3}+about the same" for i in range(12)}
+    assert seen == [["q0", "q1", "q2"], ["the same"]]
