@@ -1,31 +1,43 @@
 """A stored positional index of several text fields: phrases by positions, best documents by skipping blocks.
 
-A row holds one term of one field in one block of at most BLOCK documents: their keys, lengths and positions, and the largest
-frequency and smallest length among them, from which the best score in the block follows without its documents. Rows are
-sorted by field, term and block in files that are cut by range, so a search reads the row groups of its terms, and of these
-only blocks that can still hold one of the k best.
+A row holds one term of one field in one block of at most BLOCK documents: their keys, lengths, frequencies and places, and the
+largest frequency and smallest length among them, from which the best score in the block follows without its documents. Rows
+are sorted by field, term and block in each file, so a search reads the row groups of its terms, and of these only blocks that
+can still hold one of the k best.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.session import importable
 
 from .graph import shared_path
 
 BLOCK = 1024
+#: Words with which a block ends before it has BLOCK documents; a task holds no more than these and one document's.
+BLOCK_WORDS = 1 << 20
 #: Blocks that are scored first, for the score that others must reach; and blocks up to which their numbers go into the filter.
 SEEDS, LISTED = 4, 500
 
 
 @dataclass(frozen=True)
 class PositionalIndex:
-    """postings (field, term, block, n, tf_max, length_min, docs of key, length, positions), terms (field, term, df), fields (field, n, mean), docs (key)."""
+    """postings, terms (field, term, df), fields (field, n, mean), docs (key).
+
+    postings: field, term, block, n, tf_max, length_min, words, and for the term's n documents keys, lengths and tfs; places has
+    all places of the term, the document's number in the block times 2^32 plus the position.
+    """
 
     key: str
     lower: bool
@@ -38,26 +50,69 @@ class PositionalIndex:
         return (query.lower() if self.lower else query).split()
 
 
+def _inverted(field: str, block: int, keys: pa.Array, lists: pa.Array) -> pa.RecordBatch | None:
+    """One row for each term in the word lists of a block's documents."""
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    if not len(code):
+        return None
+    order = np.argsort(code, kind="stable")  # by term, and in it by document and position
+    code, doc = code[order], np.repeat(np.arange(len(length), dtype=np.int32), length)[order]
+    at = (doc.astype(np.int64) << 32) + (np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length))[order]
+    term = np.r_[True, code[1:] != code[:-1]]
+    start = np.flatnonzero(term | np.r_[True, doc[1:] != doc[:-1]])  # where a document of a term starts
+    first = np.flatnonzero(term[start])  # which of these are a term's first
+    tf, own = np.diff(np.r_[start, len(code)]).astype(np.int32), length[doc[start]].astype(np.int32)
+    n, terms = np.diff(np.r_[first, len(start)]), coded.dictionary.take(pa.array(code[start[first]]))
+    lists_of = lambda values, starts: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), values)
+    columns = [pa.array([field]).take(pa.array(np.zeros(len(first), np.int32))), terms, pa.array(np.full(len(first), block, np.int64)), pa.array(n.astype(np.int64))]
+    columns += [pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.add.reduceat(tf, first, dtype=np.int64))]
+    columns += [lists_of(keys.take(pa.array(doc[start])), first), lists_of(pa.array(own), first), lists_of(pa.array(tf), first), lists_of(pa.array(at), start[first])]
+    return pa.RecordBatch.from_arrays(columns, ["field", "term", "block", "n", "tf_max", "length_min", "words", "keys", "lengths", "tfs", "places"])
+
+
 def build(docs: DataFrame, key: str, fields: list[str], path: str, lower: bool = True) -> None:
-    """Writes the index to the folder path. Tokens are words between white space; a null field has none."""
-    place = F.monotonically_increasing_id()
-    numbered = docs.select(F.col(key).alias("key"), *fields, (F.shiftright(place, 33) * (1 << 32) + F.floor(place.bitwiseAND((1 << 33) - 1) / BLOCK)).cast("long").alias("block"))
-    words = lambda f: T.tokens(F.lower(F.col(f)) if lower else F.col(f))
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(f).alias("t")) for f in fields]))
-    tokens = numbered.select("key", "block", each.alias("f")).select("key", "block", "f.field", F.size("f.t").alias("length"), F.posexplode("f.t").alias("pos", "term"))
-    # Dealt once: a frequent term's rows go to as many tasks as it has blocks, and both groupings keep to that.
-    dealt = tokens.repartition("field", "term", "block")
-    one = dealt.groupBy("field", "term", "block", "key", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    rows = one.groupBy("field", "term", "block").agg(
-        F.count("*").alias("n"), F.max(F.size("positions")).alias("tf_max"), F.min("length").alias("length_min"), F.array_sort(F.collect_list(F.struct("key", "length", "positions"))).alias("docs")
-    )
-    ordered = rows.repartitionByRange("field", "term", "block").sortWithinPartitions("field", "term", "block")
-    ordered.write.option("parquet.block.size", 1 << 20).option("parquet.page.size", 1 << 16).parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.sum("n").alias("df")).sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
+    """Writes the index to the folder path. Tokens are words between white space; a null field has none.
+
+    A block is of documents that lie side by side, so the task that reads them makes its rows; words don't go through a shuffle.
+    """
+    spark, kind, most, full = importable(docs.sparkSession), dict(docs.dtypes)[key], BLOCK, BLOCK_WORDS
+    words = [T.tokens(F.lower(F.col(f)) if lower else F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, m, block = [], 0, 0, TaskContext.get().partitionId() << 32
+
+        def made() -> Iterator[pa.RecordBatch]:
+            for i, f in enumerate(fields):
+                row = _inverted(f, block, pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(i + 1) for b in held]))
+                if row is not None:
+                    yield row
+
+        for batch in batches:
+            sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]]
+            ends, i = np.r_[0, np.cumsum(sum(sizes))], 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, i + most - n, int(np.searchsorted(ends[1:], ends[i] + full - m)) + 1)
+                held, n, m = [*held, batch.slice(i, j - i)], n + j - i, m + int(ends[j] - ends[i])
+                if n >= most or m >= full:
+                    yield from made()
+                    held, n, m, block = [], 0, 0, block + 1
+                i = j
+        if held:
+            yield from made()
+
+    kinds = f"field string, term string, block long, n long, tf_max int, length_min int, words long, keys array<{kind}>, lengths array<int>, tfs array<int>, places array<long>"
+    made = docs.select(F.col(key).alias("key"), *words).mapInArrow(run, kinds).sortWithinPartitions("field", "term", "block")
+    made.write.option("parquet.block.size", 1 << 20).option("parquet.page.size", 1 << 16).parquet(f"{path}/postings")
+    rows = spark.read.schema(made.schema).parquet(f"{path}/postings")
+    rows.groupBy("field", "term").agg(F.sum("n").alias("df")).sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
     docs.select(F.col(key).alias("key")).write.parquet(f"{path}/docs")
-    sizes = docs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.col(f).isNotNull(), F.size(words(f))).alias("length")) for f in fields])).alias("f")).select("f.*")
-    sizes.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/fields")
+    known = docs.agg(F.count("*").alias("n"), *[F.count(f).alias(f"k{i}") for i, f in enumerate(fields)]).filter("n > 0")
+    known = known.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"k{i}").alias("known")) for i, f in enumerate(fields)])).alias("f")).select("n", "f.*")
+    sizes = known.join(rows.groupBy("field").agg(F.sum("words").alias("words")), "field", "left")
+    mean = F.when(F.col("known") > 0, F.coalesce("words", F.lit(0)) / F.col("known"))
+    sizes.select("field", "n", mean.alias("mean")).coalesce(1).write.parquet(f"{path}/fields")
 
 
 def open_index(spark: SparkSession, key: str, path: str, lower: bool = True) -> PositionalIndex:
@@ -86,6 +141,11 @@ def _about(index: PositionalIndex, fields: list[str], terms: list[str]) -> DataF
     return F.broadcast(few.join(F.broadcast(index.fields), "field"))
 
 
+def _documents() -> Column:
+    """keys, lengths and tfs of a row's documents, one struct each."""
+    return F.arrays_zip("keys", "lengths", "tfs")
+
+
 def _bm25(tf: Column, length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
     idf = F.log(1 + (F.col("df_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
@@ -109,10 +169,10 @@ def ranked(index: PositionalIndex, fields: list[str], terms: list[str], k: int,
     bound = bound.groupBy("block").agg(F.max("most").alias("most"))
 
     def scores(rows: DataFrame) -> DataFrame:
-        each = rows.select("field", "term", F.explode("docs").alias("d")).join(about, ["field", "term"])
-        own = each.groupBy("d.key", "field").agg(F.sum(weight(F.size("d.positions"), F.col("d.length"))).alias("s"), F.count("*").alias("_m"))
+        each = rows.select("field", "term", F.explode(_documents()).alias("d")).join(about, ["field", "term"])
+        own = each.groupBy("d.keys", "field").agg(F.sum(weight(F.col("d.tfs"), F.col("d.lengths"))).alias("s"), F.count("*").alias("_m"))
         own = own.filter(F.col("_m") == len(terms)) if every else own
-        best = own.groupBy("key").agg(F.round(F.max("s"), decimals).alias("score"))
+        best = own.groupBy(F.col("keys").alias("key")).agg(F.round(F.max("s"), decimals).alias("score"))
         return best.orderBy(F.desc("score"), "key").limit(k).select(F.col("key").alias(index.key), "score")
 
     seeds = [r.block for r in bound.orderBy(F.desc("most"), "block").limit(SEEDS).collect()]
@@ -129,14 +189,19 @@ def phrase(index: PositionalIndex, field: str, query: str) -> DataFrame:
     if not words:
         return index.docs.select(F.col("key").alias(index.key), F.lit(0).alias("n")).filter("false")
     few = index.postings.filter((F.col("field") == field) & F.col("term").isin(words))
-    both = few.groupBy("block").agg(F.count("*").alias("_m")).filter(F.col("_m") == len(set(words))).select("block")  # blocks with all words
-    own = few.join(both, "block", "left_semi").select("term", "block", F.explode("docs").alias("d"))
-    own = own.groupBy("block", "d.key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d.positions"))).alias("at"), F.count("*").alias("_m")).filter(F.col("_m") == len(set(words)))
+    row = F.struct("term", F.struct("keys", "places").alias("r"))
+    at = few.groupBy("block").agg(F.map_from_entries(F.collect_list(row)).alias("at")).filter(F.size("at") == len(set(words)))  # blocks with all words
     starts = None
     for i, w in enumerate(words):
-        here = F.transform(F.col("at")[w], lambda p: p - i)  # noqa: B023  called at once
+        here = F.transform(F.col("at")[w]["places"], lambda p: p - i)  # noqa: B023  called at once
         starts = here if starts is None else F.array_intersect(starts, here)
-    return own.select(F.col("key").alias(index.key), F.size(starts).alias("n")).filter("n > 0")
+    # The first word's documents have their keys in the order of their places.
+    first = F.col("at")[words[0]]
+    owners = F.zip_with(F.array_distinct(F.transform(first["places"], lambda p: F.shiftright(p, 32))), first["keys"], lambda p, k: F.struct(p.alias("place"), k.alias("key"), F.lit(0).alias("n")))
+    hits = F.transform("starts", lambda p: F.struct(F.shiftright(p, 32).alias("place"), F.lit(None).cast(index.docs.schema["key"].dataType).alias("key"), F.lit(1).alias("n")))
+    own = at.withColumn("starts", starts).filter(F.size("starts") > 0).select("block", F.explode(F.concat(owners, hits)).alias("d"))
+    counted = own.groupBy("block", "d.place").agg(F.first("d.key", ignorenulls=True).alias("key"), F.sum("d.n").cast("int").alias("n")).filter("n > 0")
+    return counted.select(F.col("key").alias(index.key), "n")
 
 
 def multi_match(index: PositionalIndex, fields: list[str], query: str, k: int) -> DataFrame:
@@ -167,8 +232,8 @@ def ranked_many(index: PositionalIndex, field: str, queries: DataFrame, query_ke
     """query_key, key, score, rank: the k best documents of each row of queries by BM25 over one field; a repeated word counts once."""
     asked = queries.select(query_key, F.explode(F.array_distinct(T.tokens(F.lower(F.col(query)) if index.lower else F.col(query)))).alias("term"))
     about = index.terms.filter(F.col("field") == field).join(F.broadcast(index.fields.withColumnRenamed("n", "df_n")), "field").select("term", "df", "df_n", "mean")
-    hits = index.postings.filter(F.col("field") == field).select("term", "docs").join(asked.join(about, "term"), "term")
-    each = hits.select(query_key, "df", "df_n", "mean", F.explode("docs").alias("d"))
-    scored = each.groupBy(query_key, F.col("d.key").alias(index.key)).agg(F.round(F.sum(_bm25(F.size("d.positions"), F.col("d.length"))), 6).alias("score"))
+    hits = index.postings.filter(F.col("field") == field).select("term", "keys", "lengths", "tfs").join(asked.join(about, "term"), "term")
+    each = hits.select(query_key, "df", "df_n", "mean", F.explode(_documents()).alias("d"))
+    scored = each.groupBy(query_key, F.col("d.keys").alias(index.key)).agg(F.round(F.sum(_bm25(F.col("d.tfs"), F.col("d.lengths"))), 6).alias("score"))
     first = Window.partitionBy(query_key).orderBy(F.desc("score"), index.key)
     return scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)

@@ -101,3 +101,17 @@ def test_an_index_of_files_is_built_once(spark, sf_dir):
     assert postings.index_of(docs, "doc_id", ["text"]).postings.inputFiles() == one.postings.inputFiles()
     n = one.postings.select(F.sum("n")).first()[0]
     assert n == docs.select(F.size(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))).alias("n")).agg(F.sum("n")).first()[0]
+
+
+def test_blocks_end_by_words_and_repeated_keys_stay_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_WORDS", 60)
+    rows = corpus() + [(1003, "y", "or to be  or not TO BE"), (None, "z", "to be")]
+    docs = spark.createDataFrame(rows, "id long, name string, body string").coalesce(1)
+    path = graph.shared_path(spark, "positions")
+    postings.build(docs, "id", ["body"], path)
+    index = postings.open_index(spark, "id", path)
+    per = {r.block: r.s for r in index.postings.groupBy("block").agg(F.sum("words").alias("s")).collect()}
+    assert sum(per.values()) == sum(len(tokens(r[2])) for r in rows) and len(per) > 50
+    assert max(per.values()) < 60 + 40  # what a block has before its last document, and that
+    got = sorted(map(tuple, postings.phrase(index, "body", "to be").collect()), key=str)
+    assert got == [(1003, 2), (1003, 3), (None, 1)]
