@@ -148,3 +148,15 @@ def test_equal_queries_are_searched_once(spark):
     found = multihop.answer_questions(questions.filter("id < 50"), retrieve, lambda question, query, texts: F.get(texts, F.lit(0)), critic, 3)
     assert {r.id: r.answer for r in found.collect()} == {i: f"about q{i % 3}+about the same" for i in range(12)}
     assert seen == [["q0", "q1", "q2"], ["the same"]]
+
+
+def test_words_are_counted_where_their_rows_are_read(spark):
+    rows = [(1, "b a b\n a  b"), (2, ""), (3, None), (4, "x " * 5000 + "y")]
+    plan = search.postings(spark.createDataFrame(rows, "id long, body string"), "id", "body")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for more in ([], [(1, "c b a a c"), (1, "a b"), (None, "a b"), (None, "b b"), (None, "b")]):
+        docs = spark.createDataFrame(rows + more, "id long, body string")
+        own = docs.select("id", T.tokens(F.col("body")).alias("t")).withColumn("length", F.size("t"))
+        want = own.select("id", "length", F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+        got = search.postings(docs, "id", "body").select(want.columns)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
