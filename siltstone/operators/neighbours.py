@@ -96,33 +96,40 @@ def neighbour_graph(nodes: DataFrame, vector: str, p: LayoutParams = LayoutParam
         for batch in batches:
             if batch.num_rows:
                 x = _unit(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["node", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["node", "v", "raw"])
 
-    own = nodes.select("node", F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("node IS NOT NULL AND v IS NOT NULL")
-    vectors = settled(own.mapInArrow(unit, f"node {kind}, v array<double>"), "units")
+    own = nodes.select("node", F.col(vector).alias("raw")).filter("node IS NOT NULL AND raw IS NOT NULL")
+    vectors = settled(own.mapInArrow(unit, f"node {kind}, v array<double>, raw {dict(own.dtypes)['raw']}"), "units")
     if vectors.isEmpty():
         return spark.createDataFrame([], f"src {kind}, tgt {kind}, d double")
     found = None
     for turn in range(p.directions):
         one = _along(vectors, p, turn, kind)
         found = one if found is None else found.unionByName(one)
-    best = settled(_first(found.distinct(), p.spare * p.neighbours), "neighbours")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d = np.round(1 - np.einsum("ij,ij->i", _matrix(batch.column(2)), _matrix(batch.column(3))), 10)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["src", "tgt", "d"])
+    most = p.spare * p.neighbours
+    best = settled(_first(found.repartition("src").distinct(), most), "neighbours")
+
+    def score(tried: pa.Table) -> pa.Table:
+        """The neighbours of one node with each other, as far as they can be among an end's best."""
+        tried = tried.combine_chunks()
+        ids, reach = tried.column("tgt").combine_chunks(), tried.column("reach").to_numpy()
+        x = _unit(_matrix(tried.column("raw").combine_chunks()))
+        a, b = np.triu_indices(len(ids), 1)
+        d = np.round(1 - np.einsum("ij,ij->i", x[a], x[b]), 10)
+        a, b, d = np.r_[a, b], np.r_[b, a], np.r_[d, d]
+        kept = d <= reach[a]
+        return pa.table([ids.take(pa.array(a[kept])), ids.take(pa.array(b[kept])), pa.array(d[kept])], ["src", "tgt", "d"])
 
     for turn in range(p.descents):
-        links = both_ways(best.select("src", "tgt")).distinct()
+        links = both_ways(best.select("src", "tgt")).repartition("src").distinct()
         # Nearest first would try the same ones in every round; a hash of the round gives all their turn, and bounds hubs.
         some = Window.partitionBy("src").orderBy(F.xxhash64("src", "tgt", F.lit(turn)))
-        few = settled(links.withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= p.tried).select("src", "tgt"), "tried")
-        pairs = few.select(F.col("src").alias("_m"), F.col("tgt").alias("a")).join(few.select(F.col("src").alias("_m"), F.col("tgt").alias("b")), "_m").filter("a < b").select("a", "b").distinct()
-        full = pairs.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
-        more = full.select("a", "b", "va", "vb").mapInArrow(score, f"src {kind}, tgt {kind}, d double")
-        best = settled(_first(best.unionByName(both_ways(more).select(*best.columns)).distinct(), p.spare * p.neighbours), "neighbours")
+        few = links.withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= p.tried).select("src", "tgt")
+        # Vectors move once for each node that tries them, not for each pair; what is further away than a full list reaches doesn't move.
+        reach = best.groupBy(F.col("src").alias("tgt")).agg(F.when(F.count("*") >= most, F.max("d")).alias("reach"))
+        asked = vectors.select(F.col("node").alias("tgt"), "raw").join(reach, "tgt", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        more = few.join(asked, "tgt").groupBy("src").applyInArrow(score, f"src {kind}, tgt {kind}, d double")
+        best = settled(_first(best.unionByName(more).repartition("src").distinct(), most), "neighbours")
     return _first(best, p.neighbours)
 
 
@@ -188,7 +195,8 @@ def layout(nodes: DataFrame, vector: str, p: LayoutParams = LayoutParams(), grap
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, y, w, h = _matrix(batch.column("x")), _matrix(batch.column("y")), batch.column("w").to_numpy(), batch.column("h").to_numpy()
+                x, y = (np.column_stack([batch.column(f"{c}{i}").to_numpy() for i in range(dim)]) for c in "xy")
+                w, h = batch.column("w").to_numpy(), batch.column("h").to_numpy()
                 away = x - y
                 d = (away**2).sum(1)
                 pull = np.where(d > 0, -2 * p.a * p.b * np.power(d, p.b - 1, where=d > 0, out=np.zeros_like(d)) / (1 + p.a * d**p.b), 0.0)
@@ -202,9 +210,10 @@ def layout(nodes: DataFrame, vector: str, p: LayoutParams = LayoutParams(), grap
                 g = np.round(g * w[:, None] * 2**20)  # whole numbers: sums don't depend on the order
                 yield pa.RecordBatch.from_arrays([batch.column("src"), *(pa.array(g[:, i].astype(np.int64)) for i in range(dim))], ["src", *columns])
 
-        at = lambda c, name: now.select(F.col("node").alias(c), F.col("x").alias(name))  # noqa: B023, E731
-        full = edges.join(at("src", "x"), "src").join(at("tgt", "y"), "tgt").withColumn("h", F.xxhash64("src", "tgt", F.lit(p.seed + epoch)))
-        moved = full.select("src", "x", "y", "w", "h").mapInArrow(force, f"src {kind}, " + ", ".join(f"{c} long" for c in columns))
+        at = lambda c, name: now.select(F.col("node").alias(c), *[F.get("x", F.lit(i)).alias(f"{name}{i}") for i in range(dim)])  # noqa: B023, E731
+        # By src last, so that a node's moves are together and are summed before they are sent on.
+        full = edges.join(at("tgt", "y"), "tgt").join(at("src", "x"), "src").withColumn("h", F.xxhash64("src", "tgt", F.lit(p.seed + epoch)))
+        moved = full.select("src", *[f"{c}{i}" for c in "xy" for i in range(dim)], "w", "h").mapInArrow(force, f"src {kind}, " + ", ".join(f"{c} long" for c in columns))
         sums = moved.groupBy(F.col("src").alias("node")).agg(*[F.sum(c).alias(c) for c in columns])
         step = F.array(*[F.coalesce(F.col(c), F.lit(0)) * (rate / 2**20) for c in columns])
         now = settled(now.join(sums, "node", "left").select("node", F.zip_with("x", step, lambda a, b: a + b).alias("x")), "places")

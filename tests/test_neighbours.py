@@ -109,3 +109,25 @@ def test_several_groups_and_clusters_of_bounded_size(spark):
     assert cluster.mixture(df, "features", 10, starts=2).weights.__len__() == 3
     assert len(cluster.mixture(df, "features", 10, size=20).weights) == 15
     assert cluster.mixture(df.filter("false"), "features", 3) is None
+
+
+def test_a_round_of_descent_moves_vectors_by_node_and_finds_what_all_pairs_would(spark, monkeypatch):
+    """One round from the same start, against all pairs of the neighbours that are tried; no join carries two vectors."""
+    p, rng = N.LayoutParams(neighbours=4, spare=1, descents=1, directions=1, block=16), np.random.default_rng(8)
+    x = {i: rng.normal(size=6).astype(np.float32).tolist() for i in range(60)}
+    nodes = spark.createDataFrame(list(x.items()), "node long, vector array<float>")
+    plans, settled = [], N.settled
+    monkeypatch.setattr(N, "settled", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settled(df, name))
+    before = {i: [] for i in x}
+    for r in N.neighbour_graph(nodes, "vector", N.LayoutParams(neighbours=4, spare=1, descents=0, directions=1, block=16)).collect():
+        before[r.src].append((r.d, r.tgt))
+    got = {i: [] for i in x}
+    for r in N.neighbour_graph(nodes, "vector", p).collect():
+        got[r.src].append((r.d, r.tgt))
+    unit = {i: np.float64(v) / np.linalg.norm(np.float64(v)) for i, v in x.items()}
+    links = {i: {t for _, t in before[i]} | {s for s in x if i in [t for _, t in before[s]]} for i in x}
+    assert max(map(len, links.values())) <= p.tried
+    want = {i: {t for _, t in before[i]} | {t for m in x if i in links[m] for t in links[m]} - {i} for i in x}
+    for i in x:
+        assert sorted(got[i]) == sorted((round(float(1 - unit[i] @ unit[t]), 10), t) for t in want[i])[:4]
+    assert not any("va#" in x and "vb#" in x for x in plans)
