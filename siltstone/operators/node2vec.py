@@ -1,6 +1,6 @@
 """Node vectors from walks that remember where they came from.
 
-A step proposes a neighbour by its number among the node's edges, so that a node's neighbours are never gathered in one row,
+A step proposes a neighbour by its number among the node's edges, which lie in rows of bounded length so that each moves little,
 and takes it with a probability that depends on the node before: 1/p to go back, 1 to a common neighbour, 1/q elsewhere, all
 over the largest of these. Walks whose proposals were all refused propose again. Spark's own Word2Vec then learns vectors from
 the walks as if they were sentences.
@@ -37,42 +37,70 @@ def _chance(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
+#: Neighbours in a row.
+LIST = 1024
+#: Up to so many waiting walks, only the lists of the nodes where they are and were are joined.
+FEW = 50_000
+
+
+def _lists(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """src, part, tgts: each node's neighbours in order, LIST a part from 0 on; of nodes with more, also dealt by hash to parts below 0. And src, degree."""
+    w = Window.partitionBy("src").orderBy("tgt")
+    step = both_ways(edges.select("src", "tgt")).filter("src <> tgt").select("src", "tgt", F.lag("tgt").over(w).alias("_same"), (F.dense_rank().over(w) - 1).alias("number")).filter("_same IS NULL OR _same <> tgt")
+    lists = settled(step.groupBy("src", F.floor(F.col("number") / LIST).cast("int").alias("part")).agg(F.array_sort(F.collect_list("tgt")).alias("tgts")), "lists")
+    degree = settled(lists.groupBy("src").agg(F.sum(F.size("tgts")).alias("degree")), "degrees")
+    long = lists.join(degree.filter(F.col("degree") > LIST), "src").select("src", "degree", F.explode("tgts").alias("tgt"))
+    dealt = settled(long.groupBy("src", _hashed("tgt", "degree").alias("part")).agg(F.collect_list("tgt").alias("tgts")), "dealt")
+    return lists.unionByName(dealt), degree
+
+
+def _hashed(node: str, degree: str) -> Column:
+    """The part below 0 that holds a neighbour."""
+    return (-1 - F.pmod(F.xxhash64(node), F.ceil(F.col(degree) / LIST))).cast("int")
+
+
 def walks(nodes: DataFrame, edges: DataFrame, p: WalkParams = WalkParams()) -> DataFrame:
     """walk (array of nodes): per_node walks of length nodes from each of nodes (node) over undirected edges (src, tgt).
 
     Repeated edges and loops count once and not at all. A node without edges has walks of itself alone. Choices come from
     hashes, so every run gives the same walks.
     """
-    step = both_ways(edges.select("src", "tgt")).filter("src <> tgt").distinct()
-    numbered = settled(step.withColumn("number", F.row_number().over(Window.partitionBy("src").orderBy("tgt")) - 1), "numbered")
-    degree = settled(numbered.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
-    pairs = numbered.select(F.col("src").alias("before"), F.col("tgt").alias("next"), F.lit(True).alias("common"))
+    lists, degree = _lists(edges)
     most = max(1.0, 1 / p.back, 1 / p.away)
     each = nodes.select("node").distinct().select("node", F.explode(F.sequence(F.lit(1), F.lit(p.per_node))).alias("copy"))
-    now = settled(each.select(F.xxhash64("node", "copy").alias("id"), F.array("node").alias("walk"), F.col("node").alias("here"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("before")), "walks")
-    done, turn = None, 0
+    first = each.select(F.xxhash64("node", "copy").alias("id"), F.array("node").alias("walk"), F.col("node").alias("here"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("before"), F.lit(None).cast("long").alias("degree_before"))
+    of = lambda df: df.join(degree.withColumnRenamed("src", "here"), "here", "left")
+    first = settled(of(first), "walks")
+    now, alone = first.filter("degree IS NOT NULL"), first.filter("degree IS NULL")
+    turn = 0
     for size in range(2, p.length + 1):
-        waiting, took = now, None
+        waiting, took, held = now, None, lists
         while True:
             turn += 1
-            asked = waiting.join(degree, F.col("here") == F.col("src")).select("id", "here", "before", "degree", F.explode(F.sequence(F.lit(1), F.lit(p.tries))).alias("try"))
             key = [F.col("id"), F.col("try"), F.lit(p.seed + turn)]
-            asked = asked.withColumn("number", F.floor(_chance(*key, F.lit("which")) * F.col("degree")).cast("int"))
-            found = asked.join(numbered.select(F.col("src").alias("here"), "number", F.col("tgt").alias("next")), ["here", "number"])
-            found = found.join(pairs, ["before", "next"], "left")
+            asked = waiting.select("id", "here", "before", "degree_before", "degree", F.explode(F.sequence(F.lit(1), F.lit(p.tries))).alias("try"))
+            asked = asked.withColumn("number", F.floor(_chance(*key, F.lit("which")) * F.col("degree")).cast("int")).withColumn("part", F.floor(F.col("number") / LIST).cast("int"))
+            found = asked.join(held.withColumnRenamed("src", "here"), ["here", "part"]).select("id", "try", "before", "degree_before", F.get("tgts", F.col("number") % LIST).alias("next"))
+            if size > 2 and p.away != 1:
+                found = found.withColumn("part", F.when(F.col("degree_before") <= LIST, 0).otherwise(_hashed("next", "degree_before")))
+                found = found.join(held.withColumnRenamed("src", "before"), ["before", "part"], "left").withColumn("common", F.array_contains("tgts", F.col("next"))).drop("tgts")
+            else:
+                found = found.withColumn("common", F.lit(p.away == 1))
             weight = F.when(F.col("before").isNull(), 1.0).when(F.col("next") == F.col("before"), 1 / p.back).when(F.col("common"), 1.0).otherwise(1 / p.away)
             top = F.when(F.col("before").isNull(), 1.0).otherwise(most)
             taken = found.filter(_chance(*key, F.lit("whether")) < weight / top).groupBy("id").agg(F.min(F.struct("try", "next"))["next"].alias("next"))
-            both = settled(waiting.join(taken, "id", "left").join(degree.select(F.col("src").alias("here"), F.lit(True).alias("_goes")), "here", "left"), "step")
-            went = both.filter("next IS NOT NULL").select("id", F.concat("walk", F.array("next")).alias("walk"), F.col("next").alias("here"), F.col("here").alias("before"))
+            both = settled(waiting.join(taken, "id", "left"), "step")
+            went = both.filter("next IS NOT NULL").select("id", F.concat("walk", F.array("next")).alias("walk"), F.col("next").alias("here"), F.col("here").alias("before"), F.col("degree").alias("degree_before"))
             took = went if took is None else took.unionByName(went)
-            stuck = both.filter("_goes IS NULL").select("walk")  # no edges at all
-            done = stuck if done is None else done.unionByName(stuck)
-            waiting = both.filter("_goes AND next IS NULL").select("id", "walk", "here", "before")
-            if waiting.isEmpty():
+            waiting = both.filter("next IS NULL").drop("next")
+            left = waiting.count()
+            if not left:
                 break
-        now = settled(took, "walks")
-    return now.select("walk") if done is None else now.select("walk").unionByName(done)
+            if left <= FEW:
+                ends = waiting.select(F.explode(F.array("here", "before")).alias("src")).filter("src IS NOT NULL").distinct()
+                held = settled(held.join(F.broadcast(ends), "src", "left_semi"), "near")
+        now = settled(of(took), "walks")
+    return now.select("walk").unionByName(alone.select("walk"))
 
 
 def node_vectors(nodes: DataFrame, edges: DataFrame, p: WalkParams = WalkParams()) -> DataFrame:

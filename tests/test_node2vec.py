@@ -46,3 +46,19 @@ def test_neighbours_have_like_vectors(spark):
     x = {k: np.array(v) / np.linalg.norm(v) for k, v in one.items()}
     like = lambda same: np.mean([x[a] @ x[b] for a in x for b in x if a < b and (a // 10 == b // 10) == same])
     assert like(True) > like(False) + 0.2
+
+
+def test_walks_move_lists_of_bounded_length(spark, monkeypatch):
+    """A step joins rows of neighbours, not edges; how many lie in a row, and whether only what is near is joined, changes no walk."""
+    pairs = [(0, k) for k in range(1, 40)] + [(k, k % 7) for k in range(8, 40)] + [(0, 1), (1, 0)]
+    nodes, edges = frames(spark, pairs, [99])
+    p = N.WalkParams(length=4, per_node=3, back=2.0, away=4.0, tries=1)
+    got = sorted(r.walk for r in N.walks(nodes, edges, p).collect())
+    lists, degree = N._lists(edges)
+    assert lists.count() == degree.count() == 40
+    monkeypatch.setattr(N, "LIST", 3)
+    monkeypatch.setattr(N, "FEW", 5)
+    lists = N._lists(edges)[0]
+    kept = {(r.src, t) for r in lists.filter("part >= 0").collect() for t in r.tgts}
+    assert kept == {x for a, b in pairs for x in ((a, b), (b, a)) if a != b} and lists.filter("part >= 0 AND size(tgts) > 3").isEmpty()
+    assert got == sorted(r.walk for r in N.walks(nodes, edges, p).collect())
