@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,7 +35,8 @@ def first_seen(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-RUNS = "user_id long, first timestamp, last timestamp, n long, total double, first_type string, last_type string"
+#: Times in microseconds.
+_RUNS = "user_id long, first long, last long, n long, total double, first_type string, last_type string"
 
 
 class _Runs(StatefulProcessor):
@@ -47,15 +47,27 @@ class _Runs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long, total double, first_type string, last_type string")
+        # All runs of a user are one value, as each element of a list state would be a message of its own.
+        self.open = handle.getValueState("open", "first array<long>, last array<long>, n array<long>, total array<double>, first_type array<string>, last_type array<string>")
+
+    def _spans(self) -> list[tuple]:
+        held = self.open.get()
+        return list(zip(*held)) if held else []
 
     def _due(self, last: int) -> int:
         return last // 1000 + self.gap_ms + 1
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = [tuple(x) for x in self.open.get()]
-        for part in rows:
-            spans += [(int(t), int(t), 1, float(v), k, k) for t, v, k in zip(part["us"], part["value"], part["event_type"])]
+    def _keep(self, spans: list[tuple]) -> None:
+        """One timer for all, at the earliest end; when it goes off it gives out all that are due and sets the next."""
+        if spans:
+            self.open.update(tuple(list(x) for x in zip(*spans)))
+            self.handle.registerTimer(min(self._due(x[1]) for x in spans))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        spans = self._spans()
+        spans += [(r["us"], r["us"], 1, r["value"], r["event_type"], r["event_type"]) for r in rows]
         spans.sort(key=lambda x: (x[0], x[4]))
         out: list[tuple] = []
         for x in spans:
@@ -65,35 +77,36 @@ class _Runs(StatefulProcessor):
                 out[-1] = (y[0], last, y[2] + x[2], y[3] + x[3], y[4], kind)
             else:
                 out.append(x)
-        self.open.put(out)
-        for x in out:
-            self.handle.registerTimer(self._due(x[1]))
+        self._keep(out)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        spans = [tuple(x) for x in self.open.get()]
+        spans = self._spans()
         done = [x for x in spans if self._due(x[1]) <= now]
         left = [x for x in spans if self._due(x[1]) > now]
-        self.open.put(left) if left else self.open.clear()
         if done:
-            yield pd.DataFrame([(key[0], pd.Timestamp(x[0], unit="us"), pd.Timestamp(x[1], unit="us"), *x[2:]) for x in done], columns=["user_id", "first", "last", "n", "total", "first_type", "last_type"])
+            self._keep(left)
+        elif left:  # the timer had been set before its run grew
+            self.handle.registerTimer(min(self._due(x[1]) for x in left))
+        return (Row(user_id=key[0], first=x[0], last=x[1], n=x[2], total=x[3], first_type=x[4], last_type=x[5]) for x in done)
 
     def close(self) -> None:
         pass
 
 
 def user_runs(events: DataFrame, gap_seconds: int, late: str) -> DataFrame:
-    """RUNS rows: each run of a user's events (user_id, ts, value, event_type) less than gap_seconds apart, once the watermark has passed its end by the gap.
+    """user_id, first, last, n, total, first_type, last_type: each run of a user's events (user_id, ts, value, event_type) less than gap_seconds apart, once the watermark has passed its end by the gap.
 
     Rows may come in any order within the watermark: a late one can lengthen a run or join two. A user's open runs are all the
-    state there is; a timer gives each out and drops it. Of events at one time the smallest type counts as first, the largest
+    state there is; a user's timer gives out and drops all that have ended. Of events at one time the smallest type counts as first, the largest
     as last. Rows with a null user, time or value are left out.
     """
     importable(events.sparkSession).conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = events.filter("user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.coalesce("event_type", F.lit("")).alias("event_type"))
+    rows = events.filter("user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"), F.coalesce("event_type", F.lit("")).alias("event_type"))
     rows = rows.withColumn("us", F.unix_micros("ts"))
-    return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(_Runs(1000 * gap_seconds), RUNS, "Append", "eventTime")
+    runs = rows.withWatermark("ts", late).groupBy("user_id").transformWithState(_Runs(1000 * gap_seconds), _RUNS, "Append", "eventTime")
+    return runs.withColumns({c: F.timestamp_micros(c) for c in ("first", "last")})
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:

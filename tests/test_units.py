@@ -288,3 +288,30 @@ def test_chunks_go_out_by_the_megabyte():
     out = list(chunks.cut_batches("text", ["id"], lambda t: [t[i : i + 3000] for i in range(0, len(t), 3000)])(iter([texts])))
     assert len(out) > 3 and max(b.nbytes for b in out) < 1_200_000
     assert [(r["id"], r["chunk_no"]) for b in out for r in b.select(["id", "chunk_no"]).to_pylist()] == [(i, n) for i in range(7) for n in range(200)]
+
+
+def test_a_user_has_one_timer_for_all_open_runs():
+    class Handle:
+        timers, value = [], None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        get = lambda self: self.value
+        update = lambda self, x: setattr(self, "value", x)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 25_000  # noqa: E731, N815
+
+    h, runs = Handle(), streams._Runs(1000)
+    runs.init(h)
+    assert list(runs.handleInputRows((7,), iter([{"us": s * 1_000_000, "value": 1.0, "event_type": "a"} for s in (10, 20, 20.5, 30)]), Now())) == []
+    assert h.timers == [11_001]
+    got = [(r.first, r.last, r.n, r.total) for r in runs.handleExpiredTimer((7,), Now(), None)]
+    assert got == [(10_000_000, 10_000_000, 1, 1.0), (20_000_000, 20_500_000, 2, 2.0)]
+    assert h.timers == [11_001, 31_001]
+    assert list(runs.handleExpiredTimer((7,), Now(), None)) == [] and h.timers[-1] == 31_001
