@@ -131,3 +131,14 @@ def test_a_round_of_descent_moves_vectors_by_node_and_finds_what_all_pairs_would
     for i in x:
         assert sorted(got[i]) == sorted((round(float(1 - unit[i] @ unit[t]), 10), t) for t in want[i])[:4]
     assert not any("va#" in x and "vb#" in x for x in plans)
+
+
+def test_very_many_components_are_those_of_sparks_estimator(spark):
+    """The fit in blocks, narrow components and labels of several included, gives what the dense fit gives."""
+    df = gauss(spark, 280, [(5 * i, 3 * j) for i in range(4) for j in range(4)], 3).cache()
+    got = cluster.mixture(df, "features", 3, size=4)
+    want = cluster.GaussianMixture(k=70, featuresCol="features", seed=7, maxIter=30).fit(df)
+    assert isinstance(got, cluster.Many) and got.likely == pytest.approx(want.summary.logLikelihood)
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.means, [g.mean for g in want.gaussians])
+    told = {r.node: (r.community, r.labels) for r in cluster.hard_labels(got, cluster.soft_labels(got, df, 0.2).drop("prediction")).collect()}
+    assert told == {r.node: (r.community, r.labels) for r in cluster.hard_labels(want, cluster.soft_labels(want, df, 0.2).drop("prediction", "probability")).collect()}
