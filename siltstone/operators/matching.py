@@ -32,9 +32,11 @@ def match_dictionary(docs: DataFrame, key: str, text: str, entries: DataFrame, e
     """
     names = settled(entries.select(F.lower(F.trim(entry)).alias("entry")).filter("entry <> ''").distinct(), "entries")
     rows = settled(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.lower(F.col(text)).alias("_low")), "texts")
-    has = rows.select("_row", F.explode(F.array_distinct(pieces(F.col("_low")))).alias("piece"))
     parts = names.select("entry", F.explode(F.array_distinct(pieces(F.col("entry")))).alias("piece"))
-    often = has.join(parts.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
+    wanted = settled(parts.select("piece").distinct(), "pieces")
+    # Texts are cut once, and only pieces of some entry are kept.
+    has = settled(rows.select("_row", F.explode(F.array_distinct(pieces(F.col("_low")))).alias("piece")).join(wanted, "piece", "left_semi"), "held")
+    often = has.groupBy("piece").agg(F.count("*").alias("df"))
     # An entry with a piece that no text has can't stand anywhere.
     rarest = parts.join(often, "piece", "left").groupBy("entry").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "piece")).alias("r")).select("entry", "r.piece")
     held = has.join(rarest, "piece").groupBy("_row").agg(F.collect_list("entry").alias("_entries"))

@@ -126,3 +126,11 @@ def test_grids_are_chosen_once_a_row(spark):
     """The boxes of a grid don't choose it anew for each side of each tile."""
     boxes = spark.range(3).select(F.size(parsing.tile_boxes(parsing.tile_grid(F.col("id") + 1, F.lit(10)), 448)).alias("n"))
     assert boxes._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 1
+
+
+def test_texts_are_cut_into_pieces_once(spark):
+    """Counting the pieces and joining them read the same table of pieces that entries have."""
+    docs, entries = spark.createDataFrame([(1, "new york and more")], "k long, t string"), spark.createDataFrame([("new york",)], "e string")
+    found = matching.match_dictionary(docs, "k", "t", entries, "e")
+    assert "array_distinct(regexp_extract_all(_low" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "new york", 1)]
