@@ -108,3 +108,60 @@ def test_levels_have_bounded_connected_communities(spark, most):
         if level:  # each lies in one community of the level before, by its name too
             assert all(c.startswith(by[level - 1][n] + "/") for n, c in label.items())
     assert len({last[1000 + i] for i in range(24)}) <= 24 // (most // 2)  # the clique isn't cut to pieces
+
+
+def test_blocks_choose_by_the_rule_of_all_nodes(spark, monkeypatch):
+    """A round's moves, made in blocks that know only their nodes and neighbours, are those of the rule over the whole graph."""
+    pairs = [(a, b, w * (1 + (a + 3 * b) % 4)) for a, b, w in planted(6, 12)]
+    edges = frames(spark, pairs)[1]
+    label = {x: x % 24 for a, b, _ in pairs for x in (a, b)}
+    k, near = Counter(), defaultdict(Counter)
+    for a, b, w in pairs:
+        for x, y in ((a, b), (b, a)):
+            k[x] += w
+            near[x][label[y]] += w
+    total, m2 = Counter(), sum(k.values())
+    for x, c in label.items():
+        total[c] += k[x]
+    takes = {c: c % 2 == 1 for c in total}
+    gain = lambda x, c: round(near[x][c] - k[x] * (total[c] - (k[x] if c == label[x] else 0)) / m2, L.DECIMALS)
+    want = {}
+    for x, c in label.items():
+        best = min(((-gain(x, d), d) for d in near[x] if takes[d]), default=(0, None))
+        want[x] = best[1] if not takes[c] and -best[0] > gain(x, c) else None
+    monkeypatch.setattr(L, "BLOCK_EDGES", 100)
+    labels = spark.createDataFrame([(x, 0, float(k[x]), float(m2), c) for x, c in label.items()], "node long, scope int, k double, m2 double, community long")
+    lists, blocks = L._near(labels, L.both_ways(edges))
+    known = spark.createDataFrame([(x, c, float(total[c]), takes[c]) for x, c in label.items()], "node long, community long, total double, takes boolean").join(blocks, "node")
+    got = {}
+    for (b,) in lists.select("block").distinct().collect():
+        found = L._choices(known.filter(F.array_contains("blocks", b)).toArrow(), lists.filter(F.col("block") == b).toArrow(), 1.0)
+        got |= dict(zip(found["node"].to_pylist(), found["new"].to_pylist()))
+    assert lists.select("block").distinct().count() > 3 and got == want and any(x is not None for x in want.values())
+
+
+def test_blocks_change_no_answer(spark, monkeypatch):
+    monkeypatch.setattr(L, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(L, "FLAT", 0.02)
+    edges = frames(spark, planted(5, 12))[1].select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "tgt").alias("tgt"), "weight")
+    nodes = edges.select(F.explode(F.array("src", "tgt")).alias("node")).distinct()
+    found = []
+    for size in (10**6, 60):
+        monkeypatch.setattr(L, "BLOCK_EDGES", size)
+        found.append({r.node: r.community for r in L.leiden(nodes, edges, rounds=5, levels=2).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) < 30
+
+
+def test_small_scopes_are_cut_without_rounds(spark):
+    """Cutting many small scopes takes a fixed number of jobs."""
+    pairs = [(100 * g + a, 100 * g + b, 1.0) for g in range(30) for a in range(12 + g % 3) for b in range(a)]
+    nodes, edges = frames(spark, pairs)
+    members = nodes.withColumn("scope", F.floor(F.col("node") / 100))
+    spark.sparkContext.setJobGroup("cuts", "cuts")
+    label = {r.node: r.community for r in L.bounded_parts(members, edges, 5).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cuts"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sizes = Counter(label.values())
+    assert set(sizes) <= set(label) and all(c // 100 == n // 100 for n, c in label.items())
+    assert max(sizes.values()) <= 5 and len(sizes) == 90 and all(is_connected(m, pairs) for m in groups_of(label).values())
+    assert jobs < 40
